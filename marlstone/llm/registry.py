@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from marlstone.llm import mixing, quality
 from marlstone.llm.bpe import op1_bpe
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op4_mixing": mixing.op4_mixing,
+    "op7_quality": quality.op7_quality,
 }
 
-ORACLE = {}
+ORACLE = {
+    "op4_mixing": mixing.ORACLE_SQL,
+    "op7_quality": quality.ORACLE_SQL,
+}
