@@ -361,13 +361,14 @@ def bpe_round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(run, "key long, ids array<int>, decoded string").withColumnRenamed("key", id_col)
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """Per document: token count, and SHA-256 of the comma-joined ids and of the decoded text."""
+def digests(coded: DataFrame, *more: str) -> DataFrame:
+    """Per document: token count, and SHA-256 of the comma-joined ids and of the decoded text; then ``more`` columns."""
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )
 
 

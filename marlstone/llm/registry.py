@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from marlstone.llm import mixing, quality
-from marlstone.llm.bpe import op1_bpe
+from marlstone.llm import bpe, licenses, mixing, ngram_join, quality, secrets, topk
 
 QUERIES = {
-    "op1_bpe": op1_bpe,
+    "op1_bpe": bpe.op1_bpe,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_mixing": mixing.op4_mixing,
+    "op5_topk": topk.op5_topk,
     "op7_quality": quality.op7_quality,
+    "op9_secrets": secrets.op9_secrets,
+    "op10_licenses": licenses.op10_licenses,
 }
 
 ORACLE = {
+    "op3_ngram_join": ngram_join.ORACLE_SQL,
     "op4_mixing": mixing.ORACLE_SQL,
+    "op5_topk": topk.ORACLE_SQL,
     "op7_quality": quality.ORACLE_SQL,
 }
