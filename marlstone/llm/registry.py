@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe, licenses, mixing, ngram_join, quality, secrets, topk
+from marlstone.llm import bpe, licenses, maxent, mixing, ngram_join, quality, secrets, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_topk": topk.op5_topk,
     "op7_quality": quality.op7_quality,
+    "op8_maxent": maxent.op8_maxent,
     "op9_secrets": secrets.op9_secrets,
     "op10_licenses": licenses.op10_licenses,
 }
