@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe, licenses, maxent, mixing, ngram_join, quality, secrets, topk
+from marlstone.llm import bpe, fixity, licenses, maxent, mixing, ngram_join, quality, secrets, sharding, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_sharding": sharding.op2_sharding,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_mixing": mixing.op4_mixing,
     "op5_topk": topk.op5_topk,
+    "op6_fixity": fixity.op6_fixity,
     "op7_quality": quality.op7_quality,
     "op8_maxent": maxent.op8_maxent,
     "op9_secrets": secrets.op9_secrets,
@@ -19,5 +21,6 @@ ORACLE = {
     "op3_ngram_join": ngram_join.ORACLE_SQL,
     "op4_mixing": mixing.ORACLE_SQL,
     "op5_topk": topk.ORACLE_SQL,
+    "op6_fixity": fixity.ORACLE_SQL,
     "op7_quality": quality.ORACLE_SQL,
 }
