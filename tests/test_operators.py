@@ -152,7 +152,7 @@ def test_vector_search(spark, tmp_path):
 
 def test_search_and_answers(spark):
     chunks = spark.createDataFrame([(f"c{i}", "d", i, i, t) for i, t in enumerate(["red apples are sweet.", "green pears. they grow slowly.", "blue plums"])], "chunk_id string, doc_name string, chunk_index int, page_start int, text string")
-    asked = spark.createDataFrame([(1, "d", "how do pears grow", "they grow slowly.")], "query_id int, doc_name string, question string, ground_truth string")
+    asked = spark.createDataFrame([(1, "d", "how do they grow", "they grow slowly.")], "query_id int, doc_name string, question string, ground_truth string")
     terms = spark.createDataFrame([("d", 1, "pears", "a fruit"), ("d", 2, "pear", "no")], "doc_name string, ord int, term string, definition string")
     hits = retrieval.search(asked, chunks, 2, glossary=terms)
     top = hits.where("rank = 1").first()
