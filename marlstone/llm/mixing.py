@@ -12,9 +12,10 @@
    then its first blocks; a document's take is its share of that.
 
 Defined results: null and blank texts have size 0 and are taken 0 times. A null source is a source of its
-own. Ties in the seeded order go to the smaller id; repeated rows are separate documents of equal place
+own, and a null id hashes like an empty one. Ties in the seeded order go to the smaller id; repeated rows are separate documents of equal place
 (their order does not change the sum). An empty table gives no rows. Only the columns named by the
-parameters are read, so others can't clash.
+parameters are read, so others can't clash; ``mixed_documents`` returns all columns. A repeated id's rows
+are taken equally often.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ BROADCAST_ROWS = 20_000
 
 def seeded(key: Column, salt: str) -> Column:
     """A 60-bit number from a key and the seed."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(salt + ":"), key.cast("string"))), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.concat(F.lit(salt + ":"), F.coalesce(key.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -132,10 +133,10 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents: each row as often as its take, rounded to whole texts, is its size."""
-    taken = mix(docs, **how).select(F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times"))
-    times = taken.where("_times > 0").groupBy("_id").agg(F.max("_times").alias("_times"))
-    names = docs.columns
-    return docs.join(times, F.col("doc_id") == F.col("_id")).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*names)
+    taken = mix(docs, **how).select("doc_id", F.floor(F.try_divide("taken", "size") + 0.5).cast("int").alias("times"))
+    times = taken.where("times > 0").groupBy(F.col("doc_id").alias("of")).agg(F.max("times").alias("times"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(times, F.col("key").eqNullSafe(F.col("of"))).select(F.explode(F.array_repeat("row", F.col("times"))).alias("row")).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

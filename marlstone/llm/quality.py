@@ -10,8 +10,8 @@ documents, so the removed lines travel as one short array per host.
 
 Defined results: a null or blank text has no words, fails the base rules and is not kept. A null host is
 a host of its own. Repeated rows of one id count as the documents they are. Empty tables give no rows.
-Columns of the input other than the three named by the parameters are not read, so their names can't
-clash; ``quality_filter`` returns all columns of its input unchanged.
+Other columns of the input, whatever their names, pass through ``quality_filter`` unchanged;
+``quality_rules`` replaces those that have a measure's name.
 """
 
 from __future__ import annotations
@@ -90,18 +90,18 @@ def frequent_lines(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int
     return over.groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("frequent"))
 
 
-def quality_rules(
-    docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT, host: str = "source", text: str = "text"
-) -> DataFrame:
-    """The input with the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words,
-    base_failed and kept added (the input must not have them)."""
-    spark = docs.sparkSession
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
+
+
+def judged(docs: DataFrame, max_share: float, min_docs: int, min_left: float, host: str, text: str) -> DataFrame:
+    """``row`` (the input's columns as a struct) and the measures."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"), F.col(host).alias("host"))
     found = frequent_lines(docs, max_share, min_docs, host, text).select(F.col("host").alias("_host"), F.col("frequent").alias("_frequent"))
     found = materialize(found, "frequent-lines")
     if found.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         found = F.broadcast(found)
-    t = F.col(text)
-    wide = docs.join(found, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
+    t = F.col("text")
+    wide = rows.join(found, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
     # arrays that several columns need are made once
     wide = wide.withColumn("_words", words(t)).withColumn("_lines", line_table(t))
     none = F.array().cast("array<long>")
@@ -114,7 +114,7 @@ def quality_rules(
         lambda s, x: s + F.size(words(x)).cast("long"),
     )
     wide = wide.select(
-        *[c for c in docs.columns],
+        "row",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count(F.coalesce(t, F.lit("")), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -127,10 +127,19 @@ def quality_rules(
     return wide.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
-def quality_filter(docs: DataFrame, **limits) -> DataFrame:
-    """The rows that the rules keep, with the columns of the input."""
-    names = docs.columns
-    return quality_rules(docs, **limits).where("kept").select(*names)
+def quality_rules(
+    docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT, host: str = "source", text: str = "text"
+) -> DataFrame:
+    """The input with the measures added; they replace columns of the same names."""
+    names = [c for c in docs.columns if c not in MEASURES]
+    return judged(docs, max_share, min_docs, min_left, host, text).select(*[F.col(f"row.`{c}`") for c in names], *MEASURES)
+
+
+def quality_filter(
+    docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT, host: str = "source", text: str = "text"
+) -> DataFrame:
+    """The rows that the rules keep, with all columns of the input."""
+    return judged(docs, max_share, min_docs, min_left, host, text).where("kept").select("row.*")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

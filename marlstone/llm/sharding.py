@@ -12,7 +12,7 @@
 The manifest has one entry per shard, not per row, and is all that passes the driver.
 
 Defined results: empty arrivals commit no shard. Nulls, repeated rows and any columns are kept as they are;
-all arrivals must have the columns of the first. Sizes are the bytes of the ``size_col`` text plus 64 a row.
+all arrivals must have the columns of the first, and ``read`` replaces a column named shard. Sizes are the bytes of the ``size_col`` text plus 64 a row.
 """
 
 from __future__ import annotations
@@ -162,7 +162,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in arrivals, compacted; per document its arrival, its shard and that shard's tier, rows and bytes."""
     docs = read_table(spark, sf_dir, "documents")
     store = ShardStore(spark, f"{scratch_root(spark)}/marlstone/store-{uuid.uuid4().hex}")
-    arrival = F.pmod(F.col("doc_id"), F.lit(ARRIVALS))
+    arrival = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(ARRIVALS))
     for i in range(ARRIVALS):
         store.append(docs.where(arrival == i), f"arrival {i}")
     manifest = store.compact()
