@@ -10,17 +10,20 @@ pairs of a group of copies:
    (its content's hash) for its class, and for the next one when it is large enough to have partners there.
    Nodes with an equal key share a *cell*. Passages that many documents share don't make hot cells, as a
    key is equal only when a whole group of shingles is.
-3. *Stars.* The members of a cell are held against its smallest member, each member once; linked ones are
-   in one component and need no further look. One more such round joins the components that cells share.
-4. *R-trees.* Cells that still hold several components get a tree over their members' points, the numbers
+3. *Stars.* A cell's hub is its member with the most cells and fellows (the original of a group of edited
+   copies); cells with one hub form a family, which a node joins once. Each node is held against the hub
+   that it meets most often; linked ones are in one component and need no further look. One more such
+   round goes from component to component of a family.
+4. *R-trees.* Families that still hold several components get a tree over their members' points, the numbers
    of shingles in each of the m groups. A box, or a point, is left out when the summed minima of the
-   coordinates, an upper bound of the overlap, are too small. What survives across components is verified.
-   Cells of more than ``CELL`` members are dealt to pairs of parts.
+   coordinates, an upper bound of the overlap, are too small. For what survives across components the
+   shared shingles are counted. Families of more than ``FAMILY`` members are dealt to pairs of parts.
 
 Verification counts the shared shingles of the whole texts.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; repeated rows of one
-id are copies of each other. Empty tables give no rows. Only the id and text columns are read.
+id are documents of their own, with that id. A row without an id joins documents of an equal set only.
+Empty tables give no rows. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -39,8 +42,8 @@ from marlstone.llm.common import materialize, read_table
 WIDTH = 4
 #: Least similarity, in hundredths.
 PERCENT = 85
-#: Members of a cell that one tree holds.
-CELL = 2048
+#: Members, and shingles, of a family that one tree holds.
+FAMILY, FAMILY_SHINGLES = 2048, 1 << 21
 #: Bytes of text hashed at once.
 CHUNK = 4 << 20
 CLASS_RATIO = 1.6
@@ -226,14 +229,14 @@ def node_keys(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def shared_cells(docs: DataFrame, seed: int) -> DataFrame:
-    """``cell, c, members, low, node``: cells of two nodes or more; cells with the same members are one."""
+    """``cell, c, members, node, keys``: cells of two nodes or more; ``keys`` cells with the same members are one row."""
     rows = node_keys(docs, seed).select(F.explode("keys").alias("key"), "node", "c")
     by = Window.partitionBy("key")
     once = rows.withColumn("_last", F.lag("node").over(by.orderBy("node"))).where("_last is null or _last <> node")
     kept = once.select(
-        "node", "c", F.count(F.lit(1)).over(by).cast("int").alias("members"), F.min("node").over(by).alias("low"), F.bit_xor(F.xxhash64("node")).over(by).alias("cell")
+        "node", "c", F.count(F.lit(1)).over(by).cast("int").alias("members"), F.bit_xor(F.xxhash64("node", F.lit(1))).over(by).alias("cell")
     ).where("members > 1")
-    return kept.distinct()
+    return kept.groupBy("cell", "c", "members", "node").agg(F.count(F.lit(1)).alias("keys"))
 
 
 def node_texts(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
@@ -332,47 +335,66 @@ class RTree:
         return self.order[some]
 
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate pairs ``a, b`` between components of a cell, from rows ``cell, c, part, node, label, n, point``
-    (sorted by cell within partitions). ``part`` is 0 or 1 where a cell is a pair of parts, else null."""
-
-    def pairs_of(group: list[tuple]) -> tuple[list[int], list[int]]:
-        a, b = [], []
-        nodes = np.array([g[0] for g in group], np.int64)
-        labels = np.array([g[1] for g in group], np.int64)
-        sizes = np.array([g[2] for g in group], np.int64)
-        points = np.stack([np.frombuffer(g[3], np.uint16) for g in group])
-        parts = [g[4] for g in group]
-        split = None not in parts
-        inner = np.array([p == 1 for p in parts]) if split else np.ones(len(group), bool)
-        if not inner.any() or (labels == labels[0]).all():
-            return a, b
-        of = np.flatnonzero(inner)
-        tree = RTree(points[of], sizes[of], labels[of])
-        for i in range(len(group)):
-            if split and inner[i]:
-                continue
-            for j in of[tree.search(points[i], sizes[i], labels[i])]:
-                if split or nodes[i] < nodes[j]:
-                    a.append(int(min(nodes[i], nodes[j])))
-                    b.append(int(max(nodes[i], nodes[j])))
-        return a, b
+def _bits(sets: list[np.ndarray]) -> np.ndarray:
+    """Sets as rows of bits over the shingles that two of them or more hold."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(u) for u in sets])
+    _, place, often = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.cumsum(often > 1) - 1
+    shared = often[place] > 1
+    owner, column = owner[shared], column[place[shared]]
+    bits = np.zeros((len(sets), int(column.max(initial=-1)) // 8 + 1), np.uint8)
+    np.bitwise_or.at(bits, (owner, column >> 3), (1 << (column & 7)).astype(np.uint8))
+    return bits
+
+
+def family_links(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], c: int, parts: list[int | None]) -> list[tuple[int, int]]:
+    """Links between components of a family: a tree over its points finds candidates, shared shingles are counted.
+    With parts (0 and 1) only pairs across them are looked at. What a link joins is not looked at again."""
+    out: list[tuple[int, int]] = []
+    split = None not in parts
+    inner = np.array([p == 1 for p in parts]) if split else np.ones(len(nodes), bool)
+    if not inner.any() or inner.all() and split or (labels == labels[0]).all():
+        return out
+    sizes = np.array([len(u) for u in sets], np.int64)
+    points = np.stack([group_counts(u, c) for u in sets])
+    bits, now, of = _bits(sets), labels.copy(), np.flatnonzero(inner)
+    tree = RTree(points[of], sizes[of], labels[of])
+    for i in np.flatnonzero(~inner) if split else range(len(nodes)):
+        near = of[tree.search(points[i], sizes[i], labels[i])]
+        near = near[now[near] != now[i]]
+        if not split:
+            near = near[near > i]
+        if len(near):
+            shared = np.bitwise_count(bits[near] & bits[i]).sum(axis=1, dtype=np.int64)
+            for j in near[100 * shared >= PERCENT * (sizes[i] + sizes[near] - shared)]:
+                if now[i] != now[j]:
+                    now[now == now[j]] = now[i]
+                    out.append((int(nodes[i]), int(nodes[j])))
+    return out
+
+
+def search_families(rows: DataFrame, seed: int) -> DataFrame:
+    """Links ``a, b`` from rows ``family, c, part, node, label, text`` (sorted by family within partitions)."""
 
     def run(batches):
         key, group = None, []
 
         def flush():
-            a, b = pairs_of(group) if len(group) > 1 else ([], [])
+            found = []
+            if len(group) > 1:
+                sets = shingle_sets([g[2].encode() for g in group], seed)
+                found = family_links(np.array([g[0] for g in group], np.int64), np.array([g[1] for g in group], np.int64), sets, key[1], [g[3] for g in group])
+            a, b = zip(*found) if found else ((), ())
             return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            for cell, c, part, node, label, n, point in zip(*columns):
-                if (cell, c) != key:
+        for batch in _slices(batches, 1024):
+            for family, c, part, node, label, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if (family, c) != key:
                     if len(group) > 1:
                         yield flush()
-                    key, group = (cell, c), []
-                group.append((node, label, n, point, part))
+                    key, group = (family, c), []
+                group.append((node, label, text, part))
         yield flush()
 
     return rows.mapInArrow(run, "a long, b long")
@@ -406,11 +428,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def labelled(cells: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the cells that hold several components, with the members' ``label``."""
-    named = cells.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = named.groupBy("cell", "c").agg(F.min("label").alias("first"), F.max("label").alias("_last")).where("first <> _last").drop("_last")
-    return named.join(open_, ["cell", "c"])
+def labelled(families: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the families that hold several components, with the members' ``label`` and the family's ``members`` and
+    ``shingles``."""
+    named = families.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = named.groupBy("family", "c").agg(
+        F.min("label").alias("first"), F.max("label").alias("_last"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")
+    )
+    return named.join(open_.where("first <> _last").drop("_last"), ["family", "c"])
 
 
 def similar_components(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -427,36 +452,42 @@ def similar_components(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", t
     texts = materialize(node_texts(docs, cells.select("node").distinct().join(own, "node"), seed), "texts")
     points = _points(texts)
 
-    # first stars: each member against the smallest member of the cells, the one it meets most often
-    stars = cells.where("node <> low").groupBy(F.col("low").alias("a"), F.col("node").alias("b"), "c").agg(F.count(F.lit(1)).alias("often"))
+    # families: cells with one hub are one, so that a node comes once to each hub that it meets
+    fame = cells.groupBy("node").agg(F.sum(F.col("members") * F.col("keys")).alias("fame"))
+    cells = materialize(cells.join(fame, "node"), "famed")
+    first = F.max_by("node", F.struct("fame", "node"))
+    hubs = cells.groupBy("cell", "c").agg(first.alias("family"))
+    met = cells.join(hubs, ["cell", "c"]).groupBy("family", "c", "node").agg(F.sum("keys").alias("often"), F.first("fame").alias("fame"))
+    families = materialize(met.join(found.where("n > 0").groupBy("node").agg(F.first("n").alias("n")), "node"), "families")
+
+    # first stars: each node against the hub that it meets most often
+    stars = families.where("node <> family").select(F.col("family").alias("a"), F.col("node").alias("b"), "c", "often")
     near = bounded(stars, points).groupBy("b").agg(F.max_by("a", F.struct("often", "a")).alias("a"))
     links = materialize(verify(near, texts, seed), "links-1")
     labels = components(links)
 
-    # second stars: components of a cell against the first of them, by their smallest members
-    reps = labelled(cells, labels).groupBy("cell", "c", "first", "label").agg(F.min("node").alias("node"))
-    heads = reps.where("label = first").select("cell", "c", F.col("node").alias("head"))
-    met = reps.where("label <> first").join(heads, ["cell", "c"]).select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"), "c").distinct()
-    more = bounded(met, points).select("a", "b").distinct()
+    # second stars: the components of a family against the first of them, by their own hubs
+    reps = labelled(families, labels).groupBy("family", "c", "label").agg(first.alias("node"), F.max("fame").alias("fame"))
+    heads = reps.groupBy("family", "c").agg(first.alias("head"))
+    pairs = reps.join(heads, ["family", "c"]).where("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"), "c").distinct()
+    more = bounded(pairs, points).select("a", "b").distinct()
     links = links.union(materialize(verify(more, texts, seed), "links-2"))
     labels = components(links)
 
-    # the rest, exactly: trees over the members of cells that still hold several components
-    rest = labelled(cells, labels).select("cell", "c", "members", "node", "label")
-    parts = F.ceil(F.col("members") / CELL).cast("int")
-    mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    other = F.explode(F.sequence(F.lit(0), parts - 1))
-    dealt = rest.withColumn("parts", parts).withColumn("mine", mine).withColumn("other", other)
+    # the rest, exactly: trees over the members of families that still hold several components
+    rest = labelled(families, labels)
+    parts = F.ceil(F.greatest(F.col("members") / FAMILY, F.col("shingles") / FAMILY_SHINGLES)).cast("int")
+    dealt = rest.withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select(
-        F.when(F.col("parts") == 1, F.col("cell")).otherwise(F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other"))).alias("cell"),
+        F.when(F.col("parts") == 1, F.col("family")).otherwise(F.xxhash64("family", F.least("mine", "other"), F.greatest("mine", "other"))).alias("family"),
         "c",
         F.when(F.col("mine") == F.col("other"), F.lit(None).cast("int")).otherwise((F.col("mine") > F.col("other")).cast("int")).alias("part"),
         "node",
         "label",
     )
-    dealt = dealt.join(points, ["node", "c"]).select("cell", "c", "part", "node", "label", "n", "point")
-    last = cross_pairs(dealt.repartition("cell", "c").sortWithinPartitions("cell", "c")).distinct()
-    links = links.union(materialize(verify(last, texts, seed), "links-3"))
+    dealt = dealt.join(texts.select("node", "text"), "node").select("family", "c", "part", "node", "label", "text")
+    links = links.union(materialize(search_families(dealt.repartition("family", "c").sortWithinPartitions("family", "c"), seed), "links-3"))
     labels = components(links)
 
     smallest = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -467,9 +498,10 @@ def similar_components(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", t
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """The documents whose id is their component's; ids must be unique."""
-    kept = similar_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    """The documents whose id is their component's (all rows of it), and those without an id; all columns stay."""
+    dropped = similar_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return rows.join(dropped, F.col("_key") == F.col("_dropped"), "left_anti").select("_row.*")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
