@@ -10,7 +10,7 @@ Depths grow geometrically, so that the reads beyond the stopping point stay with
 Queries and candidates meet in cells (query block, candidate block), each a task-sized piece of the work;
 a query's best of all cells are ranked at the end, k rows from each cell.
 
-Defined results: vectors that are null, or hold null, NaN or infinite components, take no part, neither as
+Defined results: rows with a null id, and vectors that are null, or hold null, NaN or infinite components, take no part, neither as
 queries nor as candidates. Vectors of different lengths are compared as if the shorter ended in zeros; an
 empty vector is a zero vector. A query's own row is no candidate of it; other rows with its id are not
 either. Repeated rows are ranked as the rows they are. No queries, or no candidates, give no rows.
@@ -27,8 +27,8 @@ from marlstone.llm.common import materialize, read_table
 
 K = 5
 QUERY_EVERY = 50
-CANDIDATE_BLOCK, QUERY_BLOCK = 1024, 512
-FIRST_DEPTH, DEEPER = 16, 4
+CANDIDATE_BLOCK, QUERY_BLOCK = 2048, 512
+FIRST_DEPTH, DEEPER = 8, 16
 
 
 def whole_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id", scale: float = 256.0) -> DataFrame:
@@ -36,7 +36,7 @@ def whole_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
     v = F.col(vector).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     whole = F.transform(v, lambda x: F.floor(x * scale).cast("long"))
-    return df.where(v.isNotNull() & ~F.coalesce(bad, F.lit(True))).select(F.col(key).cast("long").alias("key"), whole.alias("v"))
+    return df.where(F.col(key).isNotNull() & v.isNotNull() & ~F.coalesce(bad, F.lit(True))).select(F.col(key).cast("long").alias("key"), whole.alias("v"))
 
 
 def _matrix(lists: list[list[int]], width: int) -> np.ndarray:
@@ -66,22 +66,32 @@ class SortedLists:
         """Up to k (score, key) by score, then smaller key."""
         n = len(self.keys)
         up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        seen = np.zeros(n, bool)
+        unseen = self.keys != key
         rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         depth, done = min(FIRST_DEPTH, n), 0
         while True:
-            new = np.concatenate([self.order[n - depth : n - done][:, up].ravel(), self.order[done:depth][:, down].ravel()])
             if depth == n:
-                new = np.flatnonzero(~seen)
-            new = np.unique(new[~seen[new]])
-            seen[new] = True
-            new = new[self.keys[new] != key]
-            rows, scores = np.concatenate([rows, new]), np.concatenate([scores, self.scores(new, q)])
+                new = np.flatnonzero(unseen)
+            else:
+                met = np.zeros(n, bool)
+                met[self.order[n - depth : n - done][:, up]] = True
+                met[self.order[done:depth][:, down]] = True
+                met &= unseen
+                unseen &= ~met
+                new = np.flatnonzero(met)
+            found = self.scores(new, q)
+            if len(rows) == k:  # only these can enter
+                good = found >= scores[-1]
+                new, found = new[good], found[good]
+            elif len(found) > k:
+                good = found >= np.partition(found, -k)[-k]
+                new, found = new[good], found[good]
+            rows, scores = np.concatenate([rows, new]), np.concatenate([scores, found])
             top = np.lexsort((self.keys[rows], -scores))[:k]
             rows, scores = rows[top], scores[top]
             if depth == n:
                 break
-            bound = int((q[up] * self.values[n - depth, up]).sum() + (q[down] * self.values[depth - 1, down]).sum())
+            bound = int(q[up] @ self.values[n - depth, up] + q[down] @ self.values[depth - 1, down])
             if len(rows) == k and bound < scores[-1]:
                 break
             done, depth = depth, min(n, depth * DEEPER)
