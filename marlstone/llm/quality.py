@@ -93,38 +93,41 @@ def frequent_lines(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
 
 
+def measures(text: Column, frequent: Column, min_left: float) -> Column:
+    """All measures of a text as one struct. Words and lines are bound once, inside one expression: as columns of
+    their own, a filter on the verdict would put their making into every use of them."""
+    none = F.array().cast("array<long>")
+    bound = F.array(F.struct(words(text).alias("w"), line_table(text).alias("l"), F.coalesce(frequent, none).alias("f")))
+
+    def counted(x: Column) -> Column:
+        often = F.filter(x["l"], lambda y: F.array_contains(x["f"], F.xxhash64(normal_line(y))))
+        gone = F.aggregate(F.when(F.size(x["f"]) > 0, often).otherwise(F.array().cast("array<string>")), F.lit(0).cast("long"), lambda s, y: s + F.size(words(y)).cast("long"))
+        return F.struct(
+            F.size(x["w"]).cast("long").alias("n_words"),
+            F.length(F.array_join(x["w"], "")).cast("long").alias("word_chars"),
+            F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+            (F.size(x["l"]) - F.size(F.array_distinct(x["l"]))).cast("long").alias("n_dup_lines"),
+            repeated_window_words(x["w"]).alias("n_repeat_words"),
+            gone.alias("removed_words"),
+        )
+
+    def judged_(m: Column) -> Column:
+        failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        depleted = m["n_words"] - m["removed_words"] < min_left * m["n_words"]
+        return F.struct(*[m[c].alias(c) for c in MEASURES[:6]], failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+
+    return F.get(F.transform(F.transform(bound, counted), judged_), F.lit(0))
+
+
 def judged(docs: DataFrame, max_share: float, min_docs: int, min_left: float, host: str, text: str) -> DataFrame:
-    """``row`` (the input's columns as a struct) and the measures."""
+    """``row`` (the input's columns as a struct) and ``m``, the measures."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"), F.col(host).alias("host"))
     found = frequent_lines(docs, max_share, min_docs, host, text).select(F.col("host").alias("_host"), F.col("frequent").alias("_frequent"))
     found = materialize(found, "frequent-lines")
     if found.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         found = F.broadcast(found)
-    t = F.col("text")
-    wide = rows.join(found, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
-    # arrays that several columns need are made once
-    wide = wide.withColumn("_words", words(t)).withColumn("_lines", line_table(t))
-    none = F.array().cast("array<long>")
-    gone = F.aggregate(
-        F.when(
-            F.size(F.coalesce("_frequent", none)) > 0,
-            F.filter("_lines", lambda x: F.array_contains(F.col("_frequent"), F.xxhash64(normal_line(x)))),
-        ).otherwise(F.array().cast("array<string>")),
-        F.lit(0).cast("long"),
-        lambda s, x: s + F.size(words(x)).cast("long"),
-    )
-    wide = wide.select(
-        "row",
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.regexp_count(F.coalesce(t, F.lit("")), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_window_words(F.col("_words")).alias("n_repeat_words"),
-        gone.alias("removed_words"),
-    )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    depleted = F.col("n_words") - F.col("removed_words") < min_left * F.col("n_words")
-    return wide.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
+    wide = rows.join(found, F.col("host").eqNullSafe(F.col("_host")), "left")
+    return wide.select("row", measures(F.col("text"), F.col("_frequent"), min_left).alias("m"))
 
 
 def quality_rules(
@@ -132,14 +135,14 @@ def quality_rules(
 ) -> DataFrame:
     """The input with the measures added; they replace columns of the same names."""
     names = [c for c in docs.columns if c not in MEASURES]
-    return judged(docs, max_share, min_docs, min_left, host, text).select(*[F.col(f"row.`{c}`") for c in names], *MEASURES)
+    return judged(docs, max_share, min_docs, min_left, host, text).select(*[F.col(f"row.`{c}`") for c in names], *[F.col(f"m.{c}") for c in MEASURES])
 
 
 def quality_filter(
     docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT, host: str = "source", text: str = "text"
 ) -> DataFrame:
     """The rows that the rules keep, with all columns of the input."""
-    return judged(docs, max_share, min_docs, min_left, host, text).where("kept").select("row.*")
+    return judged(docs, max_share, min_docs, min_left, host, text).where("m.kept").select("row.*")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
