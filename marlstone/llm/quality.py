@@ -2,16 +2,18 @@
 
 Lines are normalised (A-Z lower-cased, white space collapsed, ends trimmed) and hashed; the distinct
 documents that hold a line are counted per host. A line above the limits
-(``documents > max(min_docs, max_share * documents of the host)``) is boilerplate and removed. A document
-is depleted when less than ``min_left`` of its words stay, and is rejected.
+(``documents > max(min_docs, min(max_share * documents of the host, max_docs))``) is boilerplate;
+``quality_filter`` removes it from the texts that it returns. A document is depleted when less than
+``min_left`` of its words stay, and is rejected. The rules judge the text as it came.
 
-Per host at most ``lines per document / max_share`` lines can be above the limit, whatever the number of
-documents, so the removed lines travel as one short array per host.
+``max_docs`` holds on large hosts, where a share alone would let any line pass; None is no such limit, as
+in the SQL of ``op7_quality``. Up to ``LONGEST`` frequent lines a host they travel as one array per host; beyond
+it the line hashes are joined, and each document gets the array of those that it holds.
 
 Defined results: a null or blank text has no words, fails the base rules and is not kept. A null host is
 a host of its own. Repeated rows of one id count as the documents they are. Empty tables give no rows.
-Other columns of the input, whatever their names, pass through ``quality_filter`` unchanged;
-``quality_rules`` replaces those that have a measure's name.
+Other columns of the input, whatever their names, pass through ``quality_filter`` unchanged, but for the
+length column, which follows a text that lost lines; ``quality_rules`` replaces those that have a measure's name.
 """
 
 from __future__ import annotations
@@ -24,8 +26,12 @@ from marlstone.llm.common import WS_CHARS, WS_CLASS, materialize, read_table, wo
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_SHARE, MIN_DOCS, MIN_LEFT = 0.1, 5, 0.5
+#: Documents of a host beyond which a line is boilerplate whatever its share.
+MAX_DOCS = 1_000
 #: Hosts up to which the per-host table is broadcast; beyond it the join is left to Spark.
 BROADCAST_HOSTS = 10_000
+#: Frequent lines of a host up to which all its documents get them as one array.
+LONGEST = 1_000
 
 
 def repeated_window_words(tokens: Column) -> Column:
@@ -79,15 +85,22 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.regexp_replace(F.btrim(line, F.lit(WS_CHARS)), WS_CLASS + "+", " "))
 
 
-def frequent_lines(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, host: str = "source", text: str = "text") -> DataFrame:
-    """``host, frequent array<long>``: hashes of the lines that too many documents of the host hold."""
-    rows = docs.select(F.col(host).alias("host"), F.array_distinct(F.transform(line_table(F.col(text)), lambda x: F.xxhash64(normal_line(x)))).alias("h"))
+def line_hashes(text: Column) -> Column:
+    return F.array_distinct(F.transform(line_table(text), lambda x: F.xxhash64(normal_line(x))))
+
+
+def frequent_lines(
+    docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, host: str = "source", text: str = "text", max_docs: int | None = None
+) -> DataFrame:
+    """``host, h``: hashes of the lines that too many documents of the host hold."""
+    rows = docs.select(F.col(host).alias("host"), line_hashes(F.col(text)).alias("h"))
     # size and lines in one aggregate: a document adds one row with a null hash
     counts = rows.select("host", F.explode(F.array_append("h", F.lit(None).cast("long"))).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.where(F.col("h").isNull()).select(F.col("host").alias("of"), F.greatest(F.lit(float(min_docs)), F.col("n") * max_share).alias("limit"))
+    share = F.col("n") * max_share
+    share = share if max_docs is None else F.least(share, F.lit(float(max_docs)))
+    total = counts.where(F.col("h").isNull()).select(F.col("host").alias("of"), F.greatest(F.lit(float(min_docs)), share).alias("limit"))
     kept = counts.where(F.col("h").isNotNull() & (F.col("n") > min_docs))
-    over = kept.join(total, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.col("limit"))
-    return over.groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("frequent"))
+    return kept.join(total, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.col("limit")).select("host", "h")
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
@@ -119,30 +132,74 @@ def measures(text: Column, frequent: Column, min_left: float) -> Column:
     return F.get(F.transform(F.transform(bound, counted), judged_), F.lit(0))
 
 
-def judged(docs: DataFrame, max_share: float, min_docs: int, min_left: float, host: str, text: str) -> DataFrame:
-    """``row`` (the input's columns as a struct) and ``m``, the measures."""
+def with_frequent(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (row, text, host) with ``frequent array<long>``: frequent lines of the host, or of the document."""
+    sizes = found.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    hosts, longest = sizes.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if longest <= LONGEST:
+        lists = found.groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_list("h")).alias("frequent"))
+        lists = F.broadcast(lists) if hosts <= BROADCAST_HOSTS else lists
+        return rows.join(lists, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
+    # written, so that a row's key stays the same
+    keyed = materialize(rows.withColumn("_key", F.monotonically_increasing_id()), "keyed-rows")
+    held = keyed.select("_key", "host", F.explode(line_hashes(F.col("text"))).alias("_h"))
+    hits = held.join(found.select(F.col("host").alias("_host"), "h"), F.col("host").eqNullSafe(F.col("_host")) & (F.col("_h") == F.col("h")))
+    return keyed.join(hits.groupBy("_key").agg(F.collect_list("h").alias("frequent")), "_key", "left").drop("_key")
+
+
+def judged(docs: DataFrame, max_share: float, min_docs: int, min_left: float, host: str, text: str, max_docs: int | None) -> DataFrame:
+    """``row`` (the input's columns as a struct), ``text``, ``frequent`` and ``m``, the measures."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"), F.col(host).alias("host"))
-    found = frequent_lines(docs, max_share, min_docs, host, text).select(F.col("host").alias("_host"), F.col("frequent").alias("_frequent"))
-    found = materialize(found, "frequent-lines")
-    if found.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        found = F.broadcast(found)
-    wide = rows.join(found, F.col("host").eqNullSafe(F.col("_host")), "left")
-    return wide.select("row", measures(F.col("text"), F.col("_frequent"), min_left).alias("m"))
+    found = materialize(frequent_lines(docs, max_share, min_docs, host, text, max_docs), "frequent-lines")
+    wide = with_frequent(rows, found)
+    return wide.select("row", "text", "frequent", measures(F.col("text"), F.col("frequent"), min_left).alias("m"))
+
+
+def without_lines(text: Column, frequent: Column) -> Column:
+    """The text without the lines whose hashes are listed; all others stay as they are."""
+    stay = F.filter(F.split(text, "\n"), lambda y: ~F.array_contains(frequent, F.xxhash64(normal_line(y))))
+    return F.when(F.size(frequent) > 0, F.array_join(stay, "\n")).otherwise(text)
 
 
 def quality_rules(
-    docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT, host: str = "source", text: str = "text"
+    docs: DataFrame,
+    max_share: float = MAX_SHARE,
+    min_docs: int = MIN_DOCS,
+    min_left: float = MIN_LEFT,
+    host: str = "source",
+    text: str = "text",
+    max_docs: int | None = None,
 ) -> DataFrame:
     """The input with the measures added; they replace columns of the same names."""
     names = [c for c in docs.columns if c not in MEASURES]
-    return judged(docs, max_share, min_docs, min_left, host, text).select(*[F.col(f"row.`{c}`") for c in names], *[F.col(f"m.{c}") for c in MEASURES])
+    found = judged(docs, max_share, min_docs, min_left, host, text, max_docs)
+    return found.select(*[F.col(f"row.`{c}`") for c in names], *[F.col(f"m.{c}") for c in MEASURES])
 
 
 def quality_filter(
-    docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT, host: str = "source", text: str = "text"
+    docs: DataFrame,
+    max_share: float = MAX_SHARE,
+    min_docs: int = MIN_DOCS,
+    min_left: float = MIN_LEFT,
+    host: str = "source",
+    text: str = "text",
+    max_docs: int | None = MAX_DOCS,
+    length_col: str | None = "n_chars",
 ) -> DataFrame:
-    """The rows that the rules keep, with all columns of the input."""
-    return judged(docs, max_share, min_docs, min_left, host, text).where("m.kept").select("row.*")
+    """The rows that the rules keep, with all columns of the input, their texts without the frequent lines and the
+    length column, where there is one, brought up to date."""
+    kept = judged(docs, max_share, min_docs, min_left, host, text, max_docs).where("m.kept")
+    kept = kept.select("row", "text", without_lines(F.col("text"), F.col("frequent")).alias("_new"))
+
+    def column(c: str) -> Column:
+        old = F.col(f"row.`{c}`")
+        if c == text:
+            return F.col("_new").alias(c)
+        if c == length_col:
+            return F.when(F.col("_new") == F.col("text"), old).otherwise(F.length("_new").cast(docs.schema[c].dataType)).alias(c)
+        return old.alias(c)
+
+    return kept.select(*[column(c) for c in docs.columns])
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -346,6 +346,21 @@ def test_quality_filter_keeps_columns(spark):
     assert kept.columns == wide.columns and kept.first()["kept"] == EXTRA["kept"] and 0 < kept.count() < wide.count()
 
 
+@pytest.mark.parametrize("longest", [quality.LONGEST, 0])
+def test_quality_filter_returns_texts_without_frequent_lines(monkeypatch, spark, longest):
+    """By one array per host and by joined line hashes; on a large host the count limit holds beside the share."""
+    monkeypatch.setattr(quality, "LONGEST", longest)
+    body = lambda i: "\n".join(" ".join(f"o{i}x{j}x{k}" for k in range(7)) for j in range(12))
+    text = lambda i, n: f"Menu  of\tthe SHOP\n\n {body(i)}\nmenu of the shop" if i % 400 < n else body(i)
+    rows = [(i % 7, host, text(i, n), len(text(i, n))) for host, at, n in (("big", 0, 30), (None, 400, 30), ("few", 800, 15)) for i in range(at, at + 400)]
+    df = spark.createDataFrame(rows + [(1, "big", None, None)], "doc_id long, source string, text string, n_chars int")
+    out = lambda **k: Counter(map(tuple, quality.quality_filter(df, max_share=0.1, **k).collect()))
+    assert out(max_docs=None) == Counter(rows)
+    left = [(d, h, t if h == "few" or "SHOP" not in t else "\n " + t.split("\n\n ")[1].rpartition("\n")[0]) for d, h, t, _ in rows]
+    assert out(max_docs=20) == Counter((d, h, t, len(t)) for d, h, t in left)
+    assert quality.quality_filter(df, max_docs=20).schema == df.schema
+
+
 # 8
 
 
