@@ -40,7 +40,13 @@ SENSITIVE = {
     "apikey": 1.0, "api_key": 1.0, "access_key": 1.0, "private_key": 1.0, "secret_key": 1.0, "auth": 0.7, "signature": 0.6, "cookie": 0.6,
 }
 _HEAD = re.compile(r"""(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_.-]*)(["']?)[ \t]*(?::=|=>|=(?![=])|:)[ \t]*""")
-_TERM = re.compile(r"""(?:(["'`])([^"'`\n]*)\1|([A-Za-z0-9+/_.=-]+))(?:[ \t]*\+[ \t]*(?=["'`A-Za-z0-9_]))?""")
+#: A literal up to the closing quote of its own kind; a backslash escapes the next character.
+_QUOTED = re.compile(
+    r"""(?:[rRbBuUfFL@$]{1,2}(?=["'`]))?(?:"{3}([^\n]*?)"{3}|'{3}([^\n]*?)'{3}|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\\n]|\\.)*)`)"""
+)
+#: A bare value up to white space, a quote or a delimiter, also the next pair of a query string.
+_BARE = re.compile(r"""(?:(?!\+["'`]|&[A-Za-z_][A-Za-z0-9_.-]*=)[^\s"'`,;()\[\]{}<>])+""")
+_PLUS = re.compile(r"""[ \t]*\+[ \t]*(?=["'`A-Za-z0-9_])""")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 
@@ -62,30 +68,57 @@ def credential_score(literal: str) -> float:
     return min(1.0, entropy / 4) * (0.4 + 0.2 * min(3, kinds))
 
 
+class Value:
+    """What a name was given: literals, the values of other names, and the highest weight it was scored under."""
+
+    __slots__ = ("spans", "parts", "weight")
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
+        self.parts: list[Value] = []
+        self.weight = 0.0
+
+
 def assigned(text: str) -> list[tuple[int, int, float]]:
     """Literals that reach a sensitive name: start, end, score."""
-    known: dict[str, list[tuple[int, int]]] = {}
+    known: dict[str, Value] = {}
     found: dict[tuple[int, int], float] = {}
+    run = -1  # end of the last bare value, which is that of any bare value that starts inside it
     for head in _HEAD.finditer(text):
-        at, spans = head.end(), []
-        while m := _TERM.match(text, at):
-            if m[1]:
-                spans.append(m.span(2))
-            elif m[3] in known:
-                spans += known[m[3]]
-            elif not _NAME.match(m[3]) or any(c.isdigit() for c in m[3]):
-                spans.append(m.span(3))
-            at = m.end()
-            if not m[0].rstrip(" \t").endswith("+") or m.end() == m.end(3):
+        at, value = head.end(), Value()
+        while True:
+            if m := _QUOTED.match(text, at):
+                value.spans.append(m.span(m.lastindex))
+                end = m.end()
+            else:
+                at += text[at : at + 1] in ("'", '"', "`")  # not closed
+                if at >= run:
+                    if not (m := _BARE.match(text, at)):
+                        break
+                    run = m.end()
+                end = run
+                named = _NAME.match(text, at + (text[at] == "$"), end)
+                if named and named[0] in known:
+                    value.parts.append(known[named[0]])
+                elif not named or any(c.isdigit() for c in named[0]):
+                    value.spans.append((at, end))
+            if not (m := _PLUS.match(text, end)):
                 break
-        name = head[1]
-        if spans:
-            known[name] = spans[:64]
-            if weight := sensitivity(name):
-                for s in spans:
-                    score = weight * credential_score(text[s[0] : s[1]])
-                    if score >= THRESHOLD:
-                        found[s] = max(score, found.get(s, 0.0))
+            at = m.end()
+        if value.spans or value.parts:
+            known[head[1]] = value
+            if weight := sensitivity(head[1]):
+                todo = [value]
+                while todo:
+                    v = todo.pop()
+                    if v.weight >= weight:
+                        continue
+                    v.weight = weight
+                    todo += v.parts
+                    for a, b in v.spans:
+                        score = weight * credential_score(text[a:b])
+                        if score >= THRESHOLD:
+                            found[a, b] = max(score, found.get((a, b), 0.0))
     return [(a, b, s) for (a, b), s in found.items()]
 
 

@@ -451,6 +451,28 @@ def test_secrets_follow_constants():
     assert found('title = "Zx81kQ0vTr55"') == [] and found('password = "changeme now"') == [] and found("time: 10:30, note: see below") == []
 
 
+def test_secrets_lex_whole_literals():
+    found = lambda t: [t[a:b] for k, a, b, _ in secrets.find_secrets(t) if k == "literal"]
+    assert found("""db_password = "aB3'x9Kq!7" """) == ["aB3'x9Kq!7"] and found("db_password = 'aB3`x\"9Kq!7'") == ["aB3`x\"9Kq!7"]
+    assert found(r'db_password = "ab\"cd9Kq!7\\" + x') == [r"ab\"cd9Kq!7\\"]
+    assert found('db_password = b"aB3x9Kq!7"') == ["aB3x9Kq!7"] and found('db_password = """aB3x"9Kq!7"""') == ['aB3x"9Kq!7']
+    assert found('db_password = "aB3x9Kq!7\n') == ["aB3x9Kq!7"]
+    for bare in ("P@ssw0rd!2024", "a#B3$x%9&K*q", "pg://u1:Pw9@h"):
+        for after in ("", " ", "\n", ", x", ";", ")", '"'):
+            assert found(f"DB_PASSWORD={bare}{after}") == [bare]
+    assert found("DB_PASSWORD=$k") == [] and found("k=P@ss,\nDB_PASSWORD=k") == [] and found("k=P@ssw0rd!2024\nDB_PASSWORD=$k") == ["P@ssw0rd!2024"]
+    assert found("x?auth_token=aB3x9Kq!7&user=1") == ["aB3x9Kq!7"] and found('k="aB3x9Kq!7"\ndb_password=k+"Tr55LmQ2"') == ["aB3x9Kq!7", "Tr55LmQ2"]
+    assert secrets.masked("DB_PASSWORD=P@ssw0rd!2024 x") == "DB_PASSWORD=[SECRET] x"
+
+
+def test_secrets_propagate_all_literals():
+    found = lambda t: [t[a:b] for k, a, b, _ in secrets.find_secrets(t) if k == "literal"]
+    many = [f"Zx81kQ0v{i:05}" for i in range(3000)]
+    assert found("k = " + " + ".join(f'"{x}"' for x in many) + "\ndb_password = k") == many
+    assert found('k = "a"\n' + "\n".join(f'k = k + "{x}"' for x in many) + "\nauth = k\ndb_password = k") == many
+    assert found('k = "Zx81kQ0vTr55"\n' + "k = k + k\n" * 200 + "db_password = k") == ["Zx81kQ0vTr55"]
+
+
 def test_redaction(spark):
     wide = documents(spark, extra=True).union(documents(spark, n=1, extra=True).limit(1).withColumn("text", F.lit("x password=hunter2hunter2 AKIAABCDEFGHIJKLMN y")).withColumn("doc_id", F.lit(777).cast("long")))
     out = secrets.redact(wide)
