@@ -178,29 +178,70 @@ def _blocked_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str
     return to_long(q).groupBy("qb", "vb").cogroup(to_long(v).groupBy("qb", "vb")).applyInArrow(run, schema)
 
 
-def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int, planes: int = 8, tables: int = 8, seed: int = 7, query_id: str = "query_id", key: str = "id") -> DataFrame:
-    """Approximate: candidates share a bucket of signs of random planes in one of several tables; ranked exactly."""
-    n = vectors.selectExpr("max(size(vector))").first()[0] or 1
-    rng = np.random.default_rng(seed)
-    normals = rng.standard_normal((tables * planes, n))
-
-    def bucketed(df: DataFrame, id_col: str) -> DataFrame:
+def _centroids(vectors: DataFrame, lists: int, sample: int, seed: int, key: str) -> np.ndarray:
+    """Unit centroids by ten rounds of spherical k-means over the ``sample`` rows whose ids hash lowest."""
+    picked = vectors.where("vector is not null").orderBy(F.xxhash64(key), key).limit(sample).select(F.col("vector").cast("array<double>").alias("v"))
+    v = np.array(picked.toArrow().column(0).to_pylist(), float)
+    if not len(v):
+        return v
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+    c = unit(v[np.random.default_rng(seed).choice(len(v), max(1, min(lists, len(v) // 4)), replace=False)])
+    for _ in range(10):
+        near = (v @ c.T).argmax(axis=1)
+        c = unit(np.stack([v[near == j].sum(axis=0) if (near == j).any() else c[j] for j in range(len(c))]))
+    return c
+
+
+def ivf_top_k(
+    queries: DataFrame,
+    vectors: DataFrame,
+    k: int,
+    lists: int = 64,
+    probes: int = 36,
+    sample: int = 8192,
+    seed: int = 7,
+    query_id: str = "query_id",
+    key: str = "id",
+    block: int = 2048,
+) -> DataFrame:
+    """Approximate: a vector is in the list of its nearest centroid, a query looks into its ``probes`` nearest lists
+    (fewer lists on few vectors, and as large a share of them); ranked exactly. Centroids come from a sample of bounded
+    size. Lists and their queries are cut into blocks, so none grows with the table."""
+    centroids = _centroids(vectors, lists, sample, seed, key)
+    if not len(centroids):
+        return exact_top_k(queries, vectors, k, None, query_id, key)
+    p = -(-len(centroids) * probes // lists)
+
+    def listed(df: DataFrame, id_col: str, n: int) -> DataFrame:
         kind = df.schema[id_col].dataType.simpleString()
 
         def run(batches):
             for b in batches:
                 v = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
-                signs = (v @ normals.T > 0).reshape(b.num_rows, tables, planes)
-                codes = (signs * (1 << np.arange(planes))).sum(axis=2) + np.arange(tables) * (1 << planes)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes.tolist(), pa.list_(pa.int64()))], names=["k", "v", "codes"])
+                near = np.argsort(-(v @ centroids.T), axis=1, kind="stable")[:, :n] if b.num_rows else np.zeros((0, n), int)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.tolist(), pa.list_(pa.int64()))], names=[id_col, "vector", "lists"])
+
+        picked = df.where("vector is not null").select(id_col, F.col("vector").cast("array<double>").alias("vector"))
+        return picked.mapInArrow(run, f"{id_col} {kind}, vector array<double>, lists array<long>").select(id_col, "vector", F.explode("lists").alias("list"))
+
+    q, v = listed(queries, query_id, p), listed(vectors, key, 1)
+    blocks = lambda df: -(-(df.groupBy("list").count().agg(F.max("count")).first()[0] or 1) // block)
+    n_q, n_v = blocks(q), blocks(v)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = q.withColumn("qb", F.pmod(F.xxhash64(query_id), F.lit(n_q)).cast("long")).withColumn("vb", every(n_v))
+    v = v.withColumn("qb", every(n_q)).withColumn("vb", F.pmod(F.xxhash64(key), F.lit(n_v)).cast("long"))
+    kinds, schema = _kinds(queries, vectors, query_id, key)
+    names = [query_id, key, "score"]
 
-        return df.select(F.col(id_col).alias("k"), F.col("vector").cast("array<double>").alias("v")).mapInArrow(run, f"k {kind}, v array<double>, codes array<long>")
+    def run(q: pa.Table, v: pa.Table) -> pa.Table:
+        if not q.num_rows or not v.num_rows:
+            return _emit([], kinds, names)
+        a, b = (np.array(t.column("vector").to_pylist(), float) for t in (q, v))
+        return _emit(list(_best_of(q.column(query_id).to_pylist(), a, v.column(key).to_pylist(), b, k)), kinds, names)
 
-    q = bucketed(queries, query_id).select(F.col("k").alias(query_id), F.col("v").alias("_q"), F.explode("codes").alias("code"))
-    v = bucketed(vectors, key).select(F.col("k").alias(key), F.col("v").alias("_v"), F.explode("codes").alias("code"))
-    pairs = q.join(v, "code").dropDuplicates([query_id, key]).select(query_id, key, F.round(dot(F.col("_q"), F.col("_v")), 6).alias("score"))
+    met = q.groupBy("list", "qb", "vb").cogroup(v.groupBy("list", "qb", "vb")).applyInArrow(run, schema)
     w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), key)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, "rank", key, "score")
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, "rank", key, "score")
 
 
 class VectorStore:
@@ -232,4 +273,4 @@ class VectorStore:
         return exact_top_k(queries, vectors, k, scope) if scope or self.backend == "exact" else BACKENDS[self.backend](queries, vectors, k)
 
 
-BACKENDS: dict[str, Callable[..., DataFrame]] = {"exact": exact_top_k, "lsh": lsh_top_k}
+BACKENDS: dict[str, Callable[..., DataFrame]] = {"exact": exact_top_k, "ivf": ivf_top_k}

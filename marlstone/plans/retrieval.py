@@ -214,9 +214,9 @@ def ablate_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ablate_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of the hashed index against exact search."""
+    """Recall of the inverted lists against exact search."""
     q, v = _vectors(spark, sf_dir)
-    return ablation.recall_of(vectors.lsh_top_k(q, v, TOP, planes=6, tables=16), vectors.exact_top_k(q, v, TOP))
+    return ablation.recall_of(vectors.ivf_top_k(q, v, TOP), vectors.exact_top_k(q, v, TOP))
 
 
 @query(f"""

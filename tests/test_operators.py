@@ -165,3 +165,24 @@ def test_search_and_answers(spark):
     assert report.n_samples == 1 and report.token_f1 == 1.0
     assert metrics.aggregate_report(metrics.per_sample(answers.limit(0))).first().token_f1 == 0.0
     assert "[Passage 1] (doc=d, page=1)" in one.prompt
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_inverted_lists_recall(spark, sf):
+    """Of the registered query, and without each query's own row, which always hits."""
+    from marlstone.plans.registry import QUERIES
+
+    r = QUERIES["ablate_backend"](spark, f"/root/testdata/{sf}").selectExpr("avg(recall) r", "avg((n_found - 1) / (n_exact - 1)) other").first()
+    print(sf, r)
+    assert r.r >= 0.9 and r.other >= 0.9
+
+
+def test_inverted_lists_blocks_and_few_vectors(spark):
+    from marlstone.operators.vectors import exact_top_k, ivf_top_k
+
+    rows = [(i % 50, [float(i % 7), float(i % 5) - 2, 1.0]) for i in range(60)] + [(99, None)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    q = v.where("id < 9").withColumnRenamed("id", "query_id").dropDuplicates(["query_id"])
+    want = sorted(map(tuple, exact_top_k(q, v, 4).collect()))
+    assert sorted(map(tuple, ivf_top_k(q, v, 4, probes=64, block=7).collect())) == want and len(want) == 36
+    assert ivf_top_k(q, v.limit(2), 4).count() > 0 and ivf_top_k(q, v.limit(0), 4).count() == 0
