@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +39,10 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "credential": 0.9, "credentials": 0.9,
     "apikey": 1.0, "api_key": 1.0, "access_key": 1.0, "private_key": 1.0, "secret_key": 1.0, "auth": 0.7, "signature": 0.6, "cookie": 0.6,
 }
-_HEAD = re.compile(r"""(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_.-]*)(["']?)[ \t]*(?::=|=>|=(?![=])|:)[ \t]*""")
+#: What stands between a name and its value; the name is looked for backwards from it, so that no text is read twice.
+_SEPARATOR = re.compile(r"(?::=|=>|=(?!=)|:)[ \t]*")
+_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+_NAME_START = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_]")
 #: A literal up to the closing quote of its own kind; a backslash escapes the next character.
 _QUOTED = re.compile(
     r"""(?:[rRbBuUfFL@$]{1,2}(?=["'`]))?(?:"{3}([^\n]*?)"{3}|'{3}([^\n]*?)'{3}|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\\n]|\\.)*)`)"""
@@ -47,10 +50,14 @@ _QUOTED = re.compile(
 #: A bare value up to white space, a quote or a delimiter, also the next pair of a query string.
 _BARE = re.compile(r"""(?:(?!\+["'`]|&[A-Za-z_][A-Za-z0-9_.-]*=)[^\s"'`,;()\[\]{}<>])+""")
 _PLUS = re.compile(r"""[ \t]*\+[ \t]*(?=["'`A-Za-z0-9_])""")
+_QUOTES = frozenset("\"'`")
+#: First characters of a literal with its prefix, and of a plus.
+_MAY_QUOTE, _MAY_PLUS = frozenset("rRbBuUfFL@$\"'`"), frozenset(" \t+")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 
 
+@lru_cache(maxsize=1 << 12)
 def sensitivity(name: str) -> float:
     """Weight of the most sensitive part, or pair of parts, of a name; camel case and _ - . separate."""
     parts = [p.lower() for p in _PARTS.findall(name)]
@@ -58,56 +65,114 @@ def sensitivity(name: str) -> float:
     return max((SENSITIVE.get(p, 0.0) for p in [*parts, *pairs, "".join(parts)]), default=0.0)
 
 
+class Shape:
+    """Length, entropy and kinds of characters of a literal, kept up to date as characters are added."""
+
+    __slots__ = ("n", "counts", "weighted", "kinds", "blank")
+
+    def __init__(self):
+        self.n, self.counts, self.weighted, self.kinds, self.blank = 0, {}, 0.0, 0, False
+
+    def add(self, c: str) -> None:
+        k = self.counts.get(c, 0) + 1
+        self.counts[c] = k
+        self.n += 1
+        self.weighted += k * math.log2(k) - (k - 1) * math.log2(k - 1) if k > 1 else 0.0
+        self.kinds |= 1 if c.islower() else 2 if c.isupper() else 4 if c.isdigit() else 0
+        self.kinds |= 0 if c.isalnum() else 8
+        self.blank = self.blank or c.isspace()
+
+    def score(self) -> float:
+        """From 0 (prose, placeholder) to 1 (long, mixed, high entropy per character)."""
+        if self.n < 8 or self.blank:
+            return 0.0
+        entropy = math.log2(self.n) - self.weighted / self.n
+        return min(1.0, entropy / 4) * (0.4 + 0.2 * min(3, self.kinds.bit_count()))
+
+
 def credential_score(literal: str) -> float:
-    """From 0 (prose, placeholder) to 1 (long, mixed, high entropy per character)."""
-    n = len(literal)
-    if n < 8 or any(c.isspace() for c in literal):
-        return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    kinds = sum(any(t(c) for c in literal) for t in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in literal)
-    return min(1.0, entropy / 4) * (0.4 + 0.2 * min(3, kinds))
+    shape = Shape()
+    for c in literal:
+        shape.add(c)
+    return shape.score()
+
+
+class Bare:
+    """A bare value; values that start further on in it end with it, and are scored in one pass from the end."""
+
+    __slots__ = ("text", "start", "end", "tails")
+
+    def __init__(self, text: str, start: int, end: int):
+        self.text, self.start, self.end, self.tails = text, start, end, None
+
+    def score(self, at: int) -> float:
+        if at == self.start:
+            return credential_score(self.text[at : self.end])
+        if self.tails is None:
+            shape, tails = Shape(), []
+            for i in range(self.end - 1, self.start - 1, -1):
+                shape.add(self.text[i])
+                tails.append(shape.score())
+            self.tails = tails
+        return self.tails[self.end - 1 - at]
+
+
+def heads(text: str):
+    """``name, end`` of each name with a separator after it; end is where its value starts."""
+    low, chars = 0, _NAME_CHARS  # names don't reach back over the separator before
+    for m in _SEPARATOR.finditer(text):
+        at, past = m.span()
+        while at > low and text[at - 1] in " \t":
+            at -= 1
+        if at > low and text[at - 1] in "\"'":
+            at -= 1
+        end = at
+        while at > low and text[at - 1] in chars:
+            at -= 1
+        if at < end and (first := _NAME_START.search(text, at, end)):
+            yield text[first.start() : end], past
+        low = past
 
 
 class Value:
-    """What a name was given: literals, the values of other names, and the highest weight it was scored under."""
+    """What a name was given: literals (start, end, bare value or None), the values of other names, and the highest
+    weight it was scored under."""
 
     __slots__ = ("spans", "parts", "weight")
 
-    def __init__(self):
-        self.spans: list[tuple[int, int]] = []
-        self.parts: list[Value] = []
-        self.weight = 0.0
+    def __init__(self, spans: list[tuple[int, int, Bare | None]], parts: list[Value]):
+        self.spans, self.parts, self.weight = spans, parts, 0.0
 
 
 def assigned(text: str) -> list[tuple[int, int, float]]:
     """Literals that reach a sensitive name: start, end, score."""
     known: dict[str, Value] = {}
     found: dict[tuple[int, int], float] = {}
-    run = -1  # end of the last bare value, which is that of any bare value that starts inside it
-    for head in _HEAD.finditer(text):
-        at, value = head.end(), Value()
+    run = Bare(text, -1, -1)  # the last bare value
+    for name, at in heads(text):
+        spans, parts = [], []
         while True:
-            if m := _QUOTED.match(text, at):
-                value.spans.append(m.span(m.lastindex))
+            if text[at : at + 1] in _MAY_QUOTE and (m := _QUOTED.match(text, at)):
+                spans.append((*m.span(m.lastindex), None))
                 end = m.end()
             else:
-                at += text[at : at + 1] in ("'", '"', "`")  # not closed
-                if at >= run:
+                at += text[at : at + 1] in _QUOTES  # not closed
+                if not run.start <= at < run.end:
                     if not (m := _BARE.match(text, at)):
                         break
-                    run = m.end()
-                end = run
+                    run = Bare(text, at, m.end())
+                end = run.end
                 named = _NAME.match(text, at + (text[at] == "$"), end)
                 if named and named[0] in known:
-                    value.parts.append(known[named[0]])
+                    parts.append(known[named[0]])
                 elif not named or any(c.isdigit() for c in named[0]):
-                    value.spans.append((at, end))
-            if not (m := _PLUS.match(text, end)):
+                    spans.append((at, end, run))
+            if text[end : end + 1] not in _MAY_PLUS or not (m := _PLUS.match(text, end)):
                 break
             at = m.end()
-        if value.spans or value.parts:
-            known[head[1]] = value
-            if weight := sensitivity(head[1]):
+        if spans or parts:
+            value = known[name] = Value(spans, parts)
+            if weight := sensitivity(name):
                 todo = [value]
                 while todo:
                     v = todo.pop()
@@ -115,8 +180,8 @@ def assigned(text: str) -> list[tuple[int, int, float]]:
                         continue
                     v.weight = weight
                     todo += v.parts
-                    for a, b in v.spans:
-                        score = weight * credential_score(text[a:b])
+                    for a, b, bare in v.spans:
+                        score = weight * (credential_score(text[a:b]) if bare is None else bare.score(a))
                         if score >= THRESHOLD:
                             found[a, b] = max(score, found.get((a, b), 0.0))
     return [(a, b, s) for (a, b), s in found.items()]
