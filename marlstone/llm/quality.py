@@ -1,17 +1,18 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
-Lines are normalised (A-Z lower-cased, white space collapsed, ends trimmed) and hashed; the distinct
-documents that hold a line are counted per host. A line above the limits
+Lines are normalised (lower-cased, white space collapsed, ends trimmed) and hashed; the distinct
+documents (ids) that hold a line are counted per host. A line above the limits
 (``documents > max(min_docs, min(max_share * documents of the host, max_docs))``) is boilerplate;
 ``quality_filter`` removes it from the texts that it returns. A document is depleted when less than
 ``min_left`` of its words stay, and is rejected. The rules judge the text as it came.
 
 ``max_docs`` holds on large hosts, where a share alone would let any line pass; None is no such limit, as
-in the SQL of ``op7_quality``. Up to ``LONGEST`` frequent lines a host they travel as one array per host; beyond
-it the line hashes are joined, and each document gets the array of those that it holds.
+in the SQL of ``op7_quality``. Up to ``BROADCAST_LINES`` frequent lines in all (8 bytes each) are broadcast, as one
+array per host; beyond it the line hashes are joined, and each document gets the array of those that it holds.
 
 Defined results: a null or blank text has no words, fails the base rules and is not kept. A null host is
-a host of its own. Repeated rows of one id count as the documents they are. Empty tables give no rows.
+a host of its own. Rows of one id are judged one by one, and count as one document of their host; rows without an id
+count one by one. Empty tables give no rows.
 Other columns of the input, whatever their names, pass through ``quality_filter`` unchanged, but for the
 length column, which follows a text that lost lines; ``quality_rules`` replaces those that have a measure's name.
 """
@@ -28,52 +29,43 @@ MIN_WORDS = 50
 MAX_SHARE, MIN_DOCS, MIN_LEFT = 0.1, 5, 0.5
 #: Documents of a host beyond which a line is boilerplate whatever its share.
 MAX_DOCS = 1_000
-#: Hosts up to which the per-host table is broadcast; beyond it the join is left to Spark.
-BROADCAST_HOSTS = 10_000
-#: Frequent lines of a host up to which all its documents get them as one array.
-LONGEST = 1_000
+#: Frequent lines, and hosts, up to which they are broadcast (8 bytes a line).
+BROADCAST_LINES, BROADCAST_HOSTS = 1 << 20, 10_000
 
 
 def repeated_window_words(tokens: Column) -> Column:
     """Words that lie in a 3-word window found twice or more in the text.
 
-    Each window is one long: 40 bits of its hash, then its position. Sorting brings equal windows
-    together (the words themselves are compared where hashes agree); the positions found are then merged
-    as intervals of length 3."""
-    bits = 24
+    Where two windows have equal hashes, windows are sorted by hash, words and position, so that equal ones stand
+    together whatever else has their hash; the positions found are then merged as intervals of length 3."""
     n, zero = F.size(tokens), F.lit(0).cast("long")
-    coded = F.transform(
-        F.sequence(F.lit(1), n - 2),
-        lambda i: F.xxhash64(F.get(tokens, i - 1), F.get(tokens, i), F.get(tokens, i + 1)).bitwiseAND(F.lit(-1 << bits)) + i,
+    starts = F.sequence(F.lit(0), n - 3)
+    word = lambda i, k: F.get(tokens, i + k)
+    hashed = F.transform(starts, lambda i: F.xxhash64(word(i, 0), word(i, 1), word(i, 2)))
+    whole = F.transform(
+        starts,
+        lambda i: F.struct(
+            F.xxhash64(word(i, 0), word(i, 1), word(i, 2)).alias("h"), word(i, 0).alias("a"), word(i, 1).alias("b"), word(i, 2).alias("c"), i.alias("at")
+        ),
     )
 
-    def several(x: Column) -> Column:
-        return F.size(F.array_distinct(F.transform(x, lambda v: F.shiftright(v, bits)))) < F.size(x)
-
     def covered(x: Column) -> Column:
-        place = lambda v: F.pmod(v, F.lit(1 << bits)).cast("int")
-
-        def equal(a: Column, b: Column) -> Column:
-            same = F.shiftright(a, bits) == F.shiftright(b, bits)
-            for k in (-1, 0, 1):
-                same = same & (F.get(tokens, place(a) + k) == F.get(tokens, place(b) + k))
+        def equal(i: Column, j: Column) -> Column:
+            p, q = F.get(x, i), F.get(x, j)
+            same = p["h"] == q["h"]
+            for k in ("a", "b", "c"):
+                same = same & (p[k] == q[k])
             return F.coalesce(same, F.lit(False))
 
-        hit = F.transform(
-            F.filter(
-                F.sequence(F.lit(0), F.size(x) - 1),
-                lambda i: equal(F.get(x, i), F.get(x, i + 1)) | equal(F.get(x, i), F.get(x, i - 1)),
-            ),
-            lambda i: place(F.get(x, i)),
-        )
+        hit = F.transform(F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: equal(i, i + 1) | equal(i, i - 1)), lambda i: F.get(x, i)["at"])
         start = F.struct(zero.alias("sum"), F.lit(-3).alias("at"))
         step = lambda s, p: F.struct((s["sum"] + F.least(F.lit(3), p - s["at"])).alias("sum"), p.alias("at"))
         return F.aggregate(F.sort_array(hit), start, step, lambda s: s["sum"])
 
     # one-element arrays bind a value once, for the lambdas that read it again and again
-    in_order = lambda x: F.get(F.transform(F.array(F.sort_array(x)), covered), F.lit(0))
-    once = F.transform(F.array(coded), lambda x: F.when(several(x), in_order(x)).otherwise(zero))
-    return F.when(n < 4, zero).otherwise(F.get(once, F.lit(0)))
+    in_order = F.get(F.transform(F.array(F.sort_array(whole)), covered), F.lit(0))
+    several = F.get(F.transform(F.array(hashed), lambda x: F.size(F.array_distinct(x)) < F.size(x)), F.lit(0))
+    return F.when(n < 4, zero).when(several, in_order).otherwise(zero)
 
 
 def line_table(text: Column) -> Column:
@@ -90,12 +82,14 @@ def line_hashes(text: Column) -> Column:
 
 
 def frequent_lines(
-    docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, host: str = "source", text: str = "text", max_docs: int | None = None
+    docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, host: str = "source", text: str = "text", max_docs: int | None = None, id_col: str | None = "doc_id"
 ) -> DataFrame:
     """``host, h``: hashes of the lines that too many documents of the host hold."""
-    rows = docs.select(F.col(host).alias("host"), line_hashes(F.col(text)).alias("h"))
+    key = F.col(id_col) if id_col else F.lit(None).cast("long")
+    rows = docs.select(F.col(host).alias("host"), key.alias("id"), line_hashes(F.col(text)).alias("h"))
     # size and lines in one aggregate: a document adds one row with a null hash
-    counts = rows.select("host", F.explode(F.array_append("h", F.lit(None).cast("long"))).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
+    lines = rows.select("host", "id", F.explode(F.array_append("h", F.lit(None).cast("long"))).alias("h"))
+    counts = lines.groupBy("host", "h").agg((F.countDistinct("id") + F.count_if(F.col("id").isNull())).alias("n"))
     share = F.col("n") * max_share
     share = share if max_docs is None else F.least(share, F.lit(float(max_docs)))
     total = counts.where(F.col("h").isNull()).select(F.col("host").alias("of"), F.greatest(F.lit(float(min_docs)), share).alias("limit"))
@@ -103,7 +97,8 @@ def frequent_lines(
     return kept.join(total, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.col("limit")).select("host", "h")
 
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+COUNTED = (*MEASURES[:5], MEASURES[7])
 
 
 def measures(text: Column, frequent: Column, min_left: float) -> Column:
@@ -127,7 +122,7 @@ def measures(text: Column, frequent: Column, min_left: float) -> Column:
     def judged_(m: Column) -> Column:
         failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
         depleted = m["n_words"] - m["removed_words"] < min_left * m["n_words"]
-        return F.struct(*[m[c].alias(c) for c in MEASURES[:6]], failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+        return F.struct(*[m[c].alias(c) for c in COUNTED], failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
 
     return F.get(F.transform(F.transform(bound, counted), judged_), F.lit(0))
 
@@ -135,11 +130,10 @@ def measures(text: Column, frequent: Column, min_left: float) -> Column:
 def with_frequent(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``rows`` (row, text, host) with ``frequent array<long>``: frequent lines of the host, or of the document."""
     sizes = found.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    hosts, longest = sizes.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
-    if longest <= LONGEST:
+    hosts, lines = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if lines <= BROADCAST_LINES and hosts <= BROADCAST_HOSTS:
         lists = found.groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_list("h")).alias("frequent"))
-        lists = F.broadcast(lists) if hosts <= BROADCAST_HOSTS else lists
-        return rows.join(lists, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
+        return rows.join(F.broadcast(lists), F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
     # written, so that a row's key stays the same
     keyed = materialize(rows.withColumn("_key", F.monotonically_increasing_id()), "keyed-rows")
     held = keyed.select("_key", "host", F.explode(line_hashes(F.col("text"))).alias("_h"))
@@ -147,10 +141,10 @@ def with_frequent(rows: DataFrame, found: DataFrame) -> DataFrame:
     return keyed.join(hits.groupBy("_key").agg(F.collect_list("h").alias("frequent")), "_key", "left").drop("_key")
 
 
-def judged(docs: DataFrame, max_share: float, min_docs: int, min_left: float, host: str, text: str, max_docs: int | None) -> DataFrame:
+def judged(docs: DataFrame, max_share: float, min_docs: int, min_left: float, host: str, text: str, max_docs: int | None, id_col: str | None) -> DataFrame:
     """``row`` (the input's columns as a struct), ``text``, ``frequent`` and ``m``, the measures."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"), F.col(host).alias("host"))
-    found = materialize(frequent_lines(docs, max_share, min_docs, host, text, max_docs), "frequent-lines")
+    found = materialize(frequent_lines(docs, max_share, min_docs, host, text, max_docs, id_col), "frequent-lines")
     wide = with_frequent(rows, found)
     return wide.select("row", "text", "frequent", measures(F.col("text"), F.col("frequent"), min_left).alias("m"))
 
@@ -169,10 +163,11 @@ def quality_rules(
     host: str = "source",
     text: str = "text",
     max_docs: int | None = None,
+    id_col: str | None = "doc_id",
 ) -> DataFrame:
     """The input with the measures added; they replace columns of the same names."""
     names = [c for c in docs.columns if c not in MEASURES]
-    found = judged(docs, max_share, min_docs, min_left, host, text, max_docs)
+    found = judged(docs, max_share, min_docs, min_left, host, text, max_docs, id_col)
     return found.select(*[F.col(f"row.`{c}`") for c in names], *[F.col(f"m.{c}") for c in MEASURES])
 
 
@@ -185,10 +180,11 @@ def quality_filter(
     text: str = "text",
     max_docs: int | None = MAX_DOCS,
     length_col: str | None = "n_chars",
+    id_col: str | None = "doc_id",
 ) -> DataFrame:
     """The rows that the rules keep, with all columns of the input, their texts without the frequent lines and the
     length column, where there is one, brought up to date."""
-    kept = judged(docs, max_share, min_docs, min_left, host, text, max_docs).where("m.kept")
+    kept = judged(docs, max_share, min_docs, min_left, host, text, max_docs, id_col).where("m.kept")
     kept = kept.select("row", "text", without_lines(F.col("text"), F.col("frequent")).alias("_new"))
 
     def column(c: str) -> Column:
@@ -217,7 +213,7 @@ l AS (SELECT doc_id, source, unnest(ls) AS line FROM w),
 nl AS (SELECT doc_id, source, line,
        lower(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
        len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw FROM l),
-hosts AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
+hosts AS (SELECT source, count(DISTINCT doc_id) + count(*) FILTER (doc_id IS NULL) AS docs FROM documents GROUP BY source),
 often AS (SELECT n.source, n.norm FROM (SELECT source, norm, count(DISTINCT doc_id) AS c FROM nl GROUP BY source, norm) n
        JOIN hosts h ON n.source IS NOT DISTINCT FROM h.source WHERE n.c > greatest({MIN_DOCS}, {MAX_SHARE} * h.docs)),
 gone AS (SELECT nl.doc_id, sum(nw) AS removed FROM nl JOIN often o ON nl.source IS NOT DISTINCT FROM o.source AND nl.norm = o.norm GROUP BY nl.doc_id),

@@ -293,18 +293,42 @@ def test_topk_large_numbers_and_lengths(spark):
 # 6
 
 
+def fixity_status(spark, left, right, file_pages=300):
+    parts = fixity.file_parts(left, right, file_pages=file_pages)
+    records = [fixity.warc_records(x, parts, file_pages) for x in (left, right)]
+    return fixity.compare(*records)
+
+
 def test_fixity(spark):
     pages = spark.createDataFrame([(i, f"http://x/{i}", "<p>" + "y" * (i % 50)) for i in range(2500)] + [(7, None, None), (7, None, None), (None, "u", "h")], "page_id long, url string, html string")
-    good = fixity.warc_records(pages, 300)
+    good = fixity.warc_records(pages, None, 300)
     hurt = {5, 299, 300, 2499}
-    other = fixity.warc_records(pages.withColumn("html", F.when(F.col("page_id").isin(*hurt), F.regexp_replace("html", "^<", "#")).otherwise(F.col("html"))), 300)
-    got = fixity.compare(good, other)
-    assert {r.page_id for r in got.where("damaged").collect()} == hurt and got.count() == 2503
-    assert fixity.compare(good, good).where("damaged").count() == 0
-    files = good.groupBy("file").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    got = fixity_status(spark, pages, pages.withColumn("html", F.when(F.col("page_id").isin(*hurt), F.regexp_replace("html", "^<", "#")).otherwise(F.col("html"))))
+    assert {r.page_id for r in got.where("status <> 'intact'").collect()} == hurt and got.count() == 2503 and got.where("moved").count() == 0
+    assert fixity_status(spark, pages, pages).where("status <> 'intact' or moved").count() == 0
+    files = good.groupBy("file", "part").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
     assert files.where("n <> end").count() == 0
-    assert fixity.compare(good, other.where("page_id <> 2499")).where("damaged and page_id = 2499").count() == 1
-    assert fixity.compare(good.limit(0), good.limit(0)).count() == 0
+    assert fixity_status(spark, pages.limit(0), pages.limit(0)).count() == 0 and fixity_status(spark, pages, pages.limit(0)).where("status = 'missing'").count() == 2503
+    assert fixity_status(spark, pages.limit(0), pages).where("status = 'surplus'").count() == 2503
+
+
+def test_fixity_locates_losses_and_gains(spark):
+    """One lost page is one row, whatever moves behind it; so is a gained, a longer and a doubled one."""
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "<p>" + "y" * (i % 50)) for i in range(2000)], "page_id long, url string, html string")
+    more = spark.createDataFrame([(5000, "u", "new"), (700, "http://x/700", "second")], "page_id long, url string, html string")
+    other = pages.where("page_id <> 10").withColumn("html", F.when(F.col("page_id") == 950, F.lit("much longer than before")).otherwise(F.col("html"))).union(more)
+    got = fixity_status(spark, pages, other)
+    assert sorted((r.page_id, r.status) for r in got.where("status <> 'intact'").collect()) == [(10, "missing"), (700, "surplus"), (950, "changed"), (5000, "surplus")]
+    moved = {r.page_id for r in got.where("moved").collect()}
+    assert set(range(11, 300)) <= moved and not moved & set(range(10)) and not moved & set(range(300, 600))
+
+
+def test_fixity_cuts_files_of_repeated_ids(spark):
+    pages = spark.createDataFrame([(7, "u", f"body {i % 900}") for i in range(1500)] + [(None, "u", f"n{i}") for i in range(700)] + [(i, "u", "x") for i in range(100, 400)], "page_id long, url string, html string")
+    sizes = fixity.warc_records(pages, None, 100).groupBy("file", "part").count().collect()
+    assert max(r["count"] for r in sizes) <= 250 and sum(r["count"] for r in sizes) == 2500
+    got = fixity_status(spark, pages, pages.where("html <> 'n3' and html <> 'body 5'").union(pages.where("html = 'n9'")), 100)
+    assert Counter((r.page_id, r.status) for r in got.where("status <> 'intact'").collect()) == Counter({(7, "missing"): 2, (None, "missing"): 1, (None, "surplus"): 1})
 
 
 # 7
@@ -346,13 +370,13 @@ def test_quality_filter_keeps_columns(spark):
     assert kept.columns == wide.columns and kept.first()["kept"] == EXTRA["kept"] and 0 < kept.count() < wide.count()
 
 
-@pytest.mark.parametrize("longest", [quality.LONGEST, 0])
-def test_quality_filter_returns_texts_without_frequent_lines(monkeypatch, spark, longest):
+@pytest.mark.parametrize("lines", [quality.BROADCAST_LINES, 0])
+def test_quality_filter_returns_texts_without_frequent_lines(monkeypatch, spark, lines):
     """By one array per host and by joined line hashes; on a large host the count limit holds beside the share."""
-    monkeypatch.setattr(quality, "LONGEST", longest)
+    monkeypatch.setattr(quality, "BROADCAST_LINES", lines)
     body = lambda i: "\n".join(" ".join(f"o{i}x{j}x{k}" for k in range(7)) for j in range(12))
     text = lambda i, n: f"Menu  of\tthe SHOP\n\n {body(i)}\nmenu of the shop" if i % 400 < n else body(i)
-    rows = [(i % 7, host, text(i, n), len(text(i, n))) for host, at, n in (("big", 0, 30), (None, 400, 30), ("few", 800, 15)) for i in range(at, at + 400)]
+    rows = [(i, host, text(i, n), len(text(i, n))) for host, at, n in (("big", 0, 30), (None, 400, 30), ("few", 800, 15)) for i in range(at, at + 400)]
     df = spark.createDataFrame(rows + [(1, "big", None, None)], "doc_id long, source string, text string, n_chars int")
     out = lambda **k: Counter(map(tuple, quality.quality_filter(df, max_share=0.1, **k).collect()))
     assert out(max_docs=None) == Counter(rows)
@@ -361,6 +385,35 @@ def test_quality_filter_returns_texts_without_frequent_lines(monkeypatch, spark,
     assert quality.quality_filter(df, max_docs=20).schema == df.schema
 
 
+def test_quality_counts_documents_and_not_rows(spark, tmp_path):
+    """Eight rows of one id are one document; rows without an id count one by one. As the SQL does."""
+    body = lambda i: "\n".join(" ".join(f"o{i}x{j}x{k}" for k in range(7)) for j in range(12))
+    rows = [(1, "s", "one line of it\n" + body(i)) for i in range(8)] + [(None, "s", "no id at all\n" + body(i)) for i in range(10, 18)] + [(i, "s", body(i)) for i in range(20, 50)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = {r.h for r in quality.frequent_lines(df).collect()}
+    hashes = {t: df.select(F.xxhash64(F.lit(t))).first()[0] for t in ("one line of it", "no id at all")}
+    assert found == {hashes["no id at all"]}
+    df.where("doc_id >= 20").union(df.where("doc_id = 1").limit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    names, got = spark_rows(quality.op7_quality(spark, str(tmp_path)))
+    con = __import__("duckdb").connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert (names, got) == sql_rows(con, quality.ORACLE_SQL)
+    assert quality.op7_quality(spark, str(tmp_path)).columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_repeated_windows_with_colliding_hashes(monkeypatch, spark, collide):
+    if collide:
+        monkeypatch.setattr(quality.F, "xxhash64", lambda *c: F.pmod(F.ascii(c[0]), F.lit(2)).cast("long"))
+    rng = random.Random(5)
+    texts = [[rng.choice("abcdef"[: rng.randint(1, 6)]) for _ in range(rng.randint(0, 40))] for _ in range(150)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, w array<string>")
+    for r in df.select("i", quality.repeated_window_words(F.col("w")).alias("n")).collect():
+        ws = texts[r.i]
+        grams = Counter(zip(ws, ws[1:], ws[2:]))
+        assert r.n == len({j for i in range(len(ws) - 2) if grams[tuple(ws[i : i + 3])] > 1 for j in (i, i + 1, i + 2)})
+
+
 # 8
 
 
@@ -473,6 +526,68 @@ def test_secrets_propagate_all_literals():
     assert found('k = "Zx81kQ0vTr55"\n' + "k = k + k\n" * 200 + "db_password = k") == ["Zx81kQ0vTr55"]
 
 
+def test_secret_heads_equal_the_pattern():
+    """Names found backwards from separators are those of one pattern read forwards, in time that follows the text."""
+    import time
+
+    head = re.compile(r"""(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_.-]*)(["']?)[ \t]*(?::=|=>|=(?![=])|:)[ \t]*""")
+    rng = random.Random(1)
+    for _ in range(20_000):
+        t = "".join(rng.choice(["a", "Z", "9", "_", ".", "-", "=", ":", "=>", ":=", " ", "\t", '"', "'", "\n", "+", "é", "=="]) for _ in range(rng.randint(0, 24)))
+        assert list(secrets.heads(t)) == [(m[1], m.end()) for m in head.finditer(t)]
+    for unit in ("a.", "a-", "a=", "token=", "a b=", "= a.", "password: "):
+        took = []
+        for n in (100_000, 400_000):
+            start = time.process_time()
+            secrets.find_secrets(unit * (n // len(unit)))
+            took.append(time.process_time() - start)
+        assert took[1] < 5 and (took[1] < 0.3 or took[1] < 12 * took[0]), (unit, took)
+
+
+def plain_lexer(text):
+    """Literals that reach a sensitive name, by scanning for every name anew: slow and simple."""
+    quoted = re.compile(r"""(?:[rRbBuUfFL@$]{1,2}(?=["'`]))?(?:"([^"\\\n]*)"|'([^'\\\n]*)')""")
+    known, found = {}, set()
+    for m in re.finditer(r"""(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_.-]*)["']?[ \t]*(?::=|=>|=(?!=)|:)[ \t]*""", text):
+        at, spans = m.end(), set()
+        while True:
+            q = quoted.match(text, at)
+            if q:
+                spans.add(q.span(q.lastindex))
+                at = q.end()
+            else:
+                b = re.compile(r"[A-Za-z0-9_]+").match(text, at)
+                if not b:
+                    break
+                if b[0] in known:
+                    spans |= known[b[0]]
+                elif re.search(r"[0-9]", b[0]):
+                    spans.add(b.span())
+                at = b.end()
+            plus = re.compile(r"""[ \t]*\+[ \t]*(?=["'A-Za-z0-9_])""").match(text, at)
+            if not plus:
+                break
+            at = plus.end()
+        if spans:
+            known[m[1]] = spans
+            if w := secrets.sensitivity(m[1]):
+                found |= {s for s in spans if w * secrets.credential_score(text[slice(*s)]) >= secrets.THRESHOLD}
+    return sorted(found)
+
+
+def test_secrets_equal_a_plain_lexer():
+    rng = random.Random(12)
+    literals = ['"Zx81kQ0vTr55"', "'aB3x9Kq7Lm'", "Tr55LmQ2xx", '"plain words"', "short1", '"aaaaaaaaaa"']
+    names = ["k", "a1", "db_password", "authToken", "note", "cfg.secret_key"]
+    for _ in range(3000):
+        lines = []
+        for _ in range(rng.randint(1, 8)):
+            terms = [rng.choice([*literals, *["k", "a1", "note"]]) for _ in range(rng.randint(1, 3))]
+            lines.append(f"{rng.choice(names)}{rng.choice(['=', ' = ', ': ', ' := ', '=> '])}{' + '.join(terms)}")
+        text = rng.choice(["\n", " \n", "\n\n"]).join(lines)
+        assert sorted((a, b) for k, a, b, _ in secrets.find_secrets(text) if k == "literal") == plain_lexer(text)
+
+
 def test_redaction(spark):
     wide = documents(spark, extra=True).union(documents(spark, n=1, extra=True).limit(1).withColumn("text", F.lit("x password=hunter2hunter2 AKIAABCDEFGHIJKLMN y")).withColumn("doc_id", F.lit(777).cast("long")))
     out = secrets.redact(wide)
