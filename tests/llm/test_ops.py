@@ -36,6 +36,14 @@ def rows(docs):
     return docs.collect()
 
 
+@pytest.fixture(scope="module")
+def doc_dir(docs, tmp_path_factory):
+    """A table folder with these documents, extra columns included."""
+    path = str(tmp_path_factory.mktemp("tables"))
+    docs.withColumn("key", F.lit(3)).withColumn("block", F.lit("b")).write.parquet(f"{path}/documents.parquet")
+    return path
+
+
 # 1
 
 
@@ -95,23 +103,90 @@ def test_bpe_operator(spark, docs, rows, library):
 
 
 def test_sharding(spark, tmp_path):
-    store = sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=4000, fan_in=3)
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=1 << 20, fan_in=3)
     assert store.read() is None and store.compact()["version"] == 0
-    wide = documents(spark, n=12, extra=True)
+    wide = documents(spark, n=12, extra=True).coalesce(1)
     parts = [wide.where((F.col("doc_id") % 7 == i) | (F.col("doc_id").isNull() & (F.lit(i) == 0))) for i in range(7)]
     for p in parts:
         store.append(p)
     before = store.manifest()
     assert store.append(wide.limit(0))["version"] == before["version"] == 7
     after = store.compact()
-    assert sum(s["rows"] for s in after["shards"]) == wide.count() and len(after["shards"]) < 7
-    assert not store.runs(after) and after["version"] > 7
+    assert sum(s["rows"] for s in after["shards"]) == wide.count() and not store.runs(after)
     back = store.read()
     assert back.drop("shard").exceptAll(wide.drop("shard")).count() == 0 and back.count() == wide.count()
     assert store.read(7).count() == wide.count()  # older versions stay readable
     with pytest.raises(sharding.Conflict):
         store._commit(store.manifest(3), [], 1)
-    assert store.manifest(4)["version"] == 4 and store.vacuum() > 0 and store.read().count() == wide.count()
+    assert store.manifest(4)["version"] == 4 and store.vacuum() == 0 and store.read(7).count() == wide.count()
+    assert store.vacuum(-1) > 0 and store.read().count() == wide.count()
+
+
+def test_vacuum_spares_what_is_being_written(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "s"))
+    rows = spark.range(5).withColumn("text", F.lit("x"))
+    commit, spared = store._commit, []
+
+    def slow(*a):  # another process cleans up between the write and the commit
+        spared.append(sharding.ShardStore(spark, str(tmp_path / "s")).vacuum(60))
+        return commit(*a)
+
+    store._commit = slow
+    store.append(rows)
+    assert spared == [0] and store.read().count() == 5
+    name = store._mark()
+    rows.write.parquet(f"{store.path}/shards/{name}")  # a writer that died
+    assert store.vacuum(60) == 0 and store.vacuum(-1) == 1 and store.read().count() == 5
+
+
+def plain_compaction(shards, target, fan_in):
+    """Tiers and runs over (shard, rows, bytes, files), each merged shard with one file a target size."""
+    shards, after = list(shards), max((s[0] for s in shards), default=0) + 1
+    while True:
+        tiers = defaultdict(list)
+        for s in shards:
+            mean = max(s[2] / s[3], sharding.LEAST_BYTES)
+            if s[2] / s[3] < sharding.SEALED * target:
+                t = 0
+                while sharding.LEAST_BYTES * sharding.TIER_RATIO ** (t + 1) <= mean:
+                    t += 1
+                tiers[t].append(s)
+        due = [tiers[t] for t in sorted(tiers) if len(tiers[t]) >= fan_in]
+        if not due:
+            return sorted(shards)
+        size = sum(s[2] for s in due[0])
+        shards = [s for s in shards if s not in due[0]] + [(after, sum(s[1] for s in due[0]), size, max(1, math.ceil(size / target)))]
+        after += 1
+
+
+def test_sharding_equals_plain_tiers(spark, tmp_path):
+    rng = random.Random(4)
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=150_000, fan_in=3)
+    want = []
+    for i in range(14):
+        rows = [(k, "x" * rng.randint(0, 400)) for k in range(rng.choice([3, 10, 60, 200, 900]))]
+        store.append(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), f"a{i}")
+        want.append((i + 1, len(rows), sum(len(t) + 64 for _, t in rows), 1))
+    listed = lambda m: sorted((s["shard"], s["rows"], s["bytes"], s["files"]) for s in m["shards"])
+    assert listed(store.manifest()) == want
+    after = store.compact()
+    assert listed(after) == plain_compaction(want, 150_000, 3) and len(after["shards"]) < 14
+    assert sorted(x for s in after["shards"] for x in s["from"]) == sorted(f"a{i}" for i in range(14))
+    sizes = {r["shard"]: r["count"] for r in store.read().groupBy("shard").count().collect()}
+    assert sizes == {s["shard"]: s["rows"] for s in after["shards"]}
+
+
+def test_op2_query(spark, doc_dir, rows):
+    got = sharding.op2_sharding(spark, doc_dir).collect()
+    assert Counter((r.doc_id, r.arrival) for r in got) == Counter((r.doc_id, (r.doc_id or 0) % sharding.ARRIVALS) for r in rows)
+    size = defaultdict(lambda: [0, 0])
+    text = {}
+    for r in rows:
+        text.setdefault((r.doc_id, (r.doc_id or 0) % sharding.ARRIVALS), len((r.text or "").encode()) + 64)
+    for r in got:
+        size[r.shard][0] += 1
+        size[r.shard][1] += text[r.doc_id, r.arrival]
+    assert all((r.shard_rows, r.shard_bytes) == tuple(size[r.shard]) for r in got)
 
 
 # 3
