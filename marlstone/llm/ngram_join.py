@@ -1,15 +1,16 @@
 """N-gram Jaccard join with count-vector R-trees.
 
 Texts become sets of hashed 4-word shingles. All pairs of sets with 100 * |A n B| >= 85 * |A u B| link, and
-documents that links connect form a component. The join is exact (up to 64-bit hashes) and never lists the
-pairs of a group of copies:
-
-1. *Equal sets* are one node, known by a digest of the set.
-2. *Groups.* A size class c allows at most R sets differences, so shingles are hashed into m > R groups:
-   two similar sets agree in the whole content of at least m - R groups. A node sends one key per group
-   (its content's hash) for its class, and for the next one when it is large enough to have partners there.
-   Nodes with an equal key share a *cell*. Passages that many documents share don't make hot cells, as a
-   key is equal only when a whole group of shingles is.
+documents that links connect form a component. The join never lists the pairs of a group of copies:
+
+1. *Rows* are written once with a number of their own, so that ids may be null or repeated. *Equal sets* are one
+   node, known by a digest of the set.
+2. *Groups.* A size class c allows at most R differing shingles, so shingles are hashed into m > R groups:
+   two similar sets agree in the whole content of at least m - R groups. m is such that a set's filled groups
+   outnumber R by six deviations, so some group that agrees is filled (a set for which chance has it otherwise sends
+   its empty groups too). A node sends one key per filled group (its content's hash) for its class, and for the next
+   one when it is large enough to have partners there. Nodes with an equal key share a *cell*. Passages that many
+   documents share don't make hot cells, as a key is equal only when a whole group of shingles is.
 3. *Stars.* A cell's hub is its member with the most cells and fellows (the original of a group of edited
    copies); cells with one hub form a family, which a node joins once. Each node is held against the hub
    that it meets most often; linked ones are in one component and need no further look. One more such
@@ -19,15 +20,18 @@ pairs of a group of copies:
    coordinates, an upper bound of the overlap, are too small. For what survives across components the
    shared shingles are counted. Families of more than ``FAMILY`` members are dealt to pairs of parts.
 
-Verification counts the shared shingles of the whole texts.
+Candidates and decisions use hashes of different seeds: a pair is linked by shingles counted under a second, independent
+64-bit hash of the whole texts, and sets are equal only when their digests under both are. Word hashes mix
+whole blocks of eight bytes (words over 64 bytes are digested by BLAKE2), so no two words collide under every seed.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; repeated rows of one
-id are documents of their own, with that id. A row without an id joins documents of an equal set only.
-Empty tables give no rows. Only the id and text columns are read.
+id, and rows without an id, are documents of their own; ``component_id`` is the smallest id of a component's rows, null
+where none has one. Empty tables give no rows. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import OrderedDict
 from functools import lru_cache, reduce
@@ -47,6 +51,12 @@ FAMILY, FAMILY_SHINGLES = 2048, 1 << 21
 #: Bytes of text hashed at once.
 CHUNK = 4 << 20
 CLASS_RATIO = 1.6
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+#: Between the seed of candidates and that of decisions.
+SECOND = 1_000_003
+#: Ways in which the members of a family are dealt where they meet facts about their family.
+SALTS = 16
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -64,17 +74,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-@lru_cache(maxsize=4)
-def _tables(seed: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return rng.integers(0, 1 << 64, 256, dtype=_U), rng.integers(0, 1 << 64, 8, dtype=_U) | _U(1)
+@lru_cache(maxsize=8)
+def _constants(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 64, 8, dtype=_U) | _U(1)
 
 
-@lru_cache(maxsize=4)
-def _powers(seed: int, bits: int) -> np.ndarray:
-    odd = _tables(seed)[1][7]
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([np.ones(1, _U), np.full((1 << bits) - 1, odd, _U)]), dtype=_U)
+def _word_hashes(low: np.ndarray, starts: np.ndarray, lens: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """A hash of each word: its blocks of eight bytes, mixed one after the other. ``low`` ends with eight bytes to spare."""
+    blocks = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
+    h = _mix(lens.astype(_U) * c[5] + c[6])
+    todo = np.arange(len(starts)) if lens.max() <= LONG_WORD else np.flatnonzero(lens <= LONG_WORD)
+    k = 0
+    while len(todo):
+        rest = lens[todo] - k
+        cut = _U(8) * np.maximum(8 - rest, 0).astype(_U)
+        h[todo] = _mix(h[todo] * c[7] + (blocks[starts[todo] + k] & (~_U(0) >> cut)))
+        k += 8
+        todo = todo[rest > 8]
+    for i in np.flatnonzero(lens > LONG_WORD):
+        word = low[starts[i] : starts[i] + lens[i]].tobytes()
+        h[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=c[4:8].tobytes()).digest(), "little")
+    return h
 
 
 def shingle_sets(texts: list[bytes], seed: int = 0) -> list[np.ndarray]:
@@ -92,19 +112,15 @@ def shingle_sets(texts: list[bytes], seed: int = 0) -> list[np.ndarray]:
 
 
 def _shingle_sets(texts: list[bytes], seed: int) -> list[np.ndarray]:
-    table, c = _tables(seed)
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    inside = ~_SPACE[data]
+    c = _constants(seed)
+    low = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n" * 9, np.uint8)]
+    inside = ~_SPACE[low]
     edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
     starts, ends = edge[::2], edge[1::2]
     none = np.zeros(0, _U)
     if not len(starts):
         return [none] * len(texts)
-    lens = ends - starts
-    first = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    place = np.arange(int(lens.sum())) - np.repeat(first, lens)
-    powers = _powers(seed, max(8, int(lens.max()).bit_length()))
-    word = _mix(np.add.reduceat(table[_LOWER[data[inside]]] * powers[place], first))
+    word = _word_hashes(low, starts, ends - starts, c)
     padded = np.concatenate([word, np.zeros(WIDTH - 1, _U)])
     runs = _mix(reduce(np.add, (padded[k : k + len(word)] * c[k] for k in range(WIDTH))))
     at = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
@@ -124,6 +140,20 @@ def least_overlap(n1, n2):
     return -(-PERCENT * (n1 + n2) // (100 + PERCENT))
 
 
+def _groups(n: int, most: int) -> int:
+    """Groups for sets of n shingles or more and ``most`` differences: the filled ones outnumber these by six deviations,
+    or but for one set in 10^9 (small sets: as nearly as two groups a difference allow)."""
+    m = most + 1
+    while m < 2 * most + 2:
+        empty = math.exp(-n / m)
+        deviation = math.sqrt(max(0.0, m * empty * (1 - (1 + n / m) * empty)))
+        few = math.lgamma(m + 1) - math.lgamma(most + 1) - math.lgamma(m - most + 1) + n * math.log(most / m)
+        if few < math.log(1e-9) or m * (1 - empty) - 6 * deviation >= most + 1:
+            break
+        m += 1
+    return m
+
+
 @lru_cache(maxsize=1)
 def size_classes() -> list[tuple[int, int, int]]:
     """Of each class: its least size, R (differences allowed) and m (groups). Smaller sets link only when equal."""
@@ -132,7 +162,7 @@ def size_classes() -> list[tuple[int, int, int]]:
     while low < 1 << 31:
         after = max(low + 1, math.ceil(low * CLASS_RATIO))
         most = 2 * (100 - PERCENT) * (after - 1) // (100 + PERCENT)
-        out.append((low, most, most + 1 + max(2, most // 16)))
+        out.append((low, most, _groups(low, most)))
         low = after
     return out
 
@@ -161,7 +191,7 @@ def group_keys(u: np.ndarray, c: int, seed: int) -> np.ndarray:
     """Hashes of the contents of the groups; of empty ones only when they are so many that they could be all that agree."""
     _, most, m = size_classes()[c]
     counts = group_counts(u, c)
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(_mix(u + _tables(seed)[1][4]), dtype=_U)])
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(_mix(u + _constants(seed)[4]), dtype=_U)])
     bounds = np.concatenate([[0], np.cumsum(counts)])
     content = sums[bounds[1:]] - sums[bounds[:-1]]
     keys = _mix(content + _mix(np.arange(m, dtype=_U) + _U(c << 40)))
@@ -169,11 +199,9 @@ def group_keys(u: np.ndarray, c: int, seed: int) -> np.ndarray:
     return keys if empty.sum() >= m - most else keys[~empty]
 
 
-def digest(u: np.ndarray, seed: int) -> tuple[int, int]:
-    c = _tables(seed)[1]
-    a = _mix(_mix(u + c[5]).sum(keepdims=True) + _U(len(u)))[0]
-    b = _mix(u + c[6]).sum()
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+def digest(u: np.ndarray, seed: int) -> int:
+    c = _constants(seed)
+    return int(_mix(_mix(u + c[5]).sum(keepdims=True) + _U(len(u)))[0].astype(np.int64))
 
 
 def _texts(column) -> list[bytes]:
@@ -186,22 +214,26 @@ def _slices(batches, rows: int = 512):
             yield b.slice(i, rows)
 
 
-def document_nodes(docs: DataFrame, seed: int) -> DataFrame:
-    """``doc_id, n, node, check``: set size and digest of every text."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows, written, as ``row, value`` (their number and all their columns)."""
+    value = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), value.alias("value")), "rows")
+
+
+def document_nodes(rows: DataFrame, seed: int) -> DataFrame:
+    """``row, doc_id, n, node, check``: set size and digests of every text."""
 
     def run(batches):
         for b in _slices(batches):
-            sets = shingle_sets(_texts(b.column(1)), seed)
-            marks = [digest(u, seed) for u in sets]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(u) for u in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())],
-                names=["doc_id", "n", "node", "check"],
-            )
+            texts = _texts(b.column(2))
+            sets, others = shingle_sets(texts, seed), shingle_sets(texts, seed + SECOND)
+            marks = [pa.array(x, pa.int64()) for x in ([len(u) for u in sets], [digest(u, seed) for u in sets], [digest(u, seed + SECOND) for u in others])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *marks], names=["row", "doc_id", "n", "node", "check"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, check long")
+    return rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, node long, check long")
 
 
-def node_keys(docs: DataFrame, seed: int) -> DataFrame:
+def node_keys(rows: DataFrame, seed: int) -> DataFrame:
     """``node, c, keys``: the cells of every set. A task sends a set that it meets again only once."""
 
     def run(batches):
@@ -209,7 +241,7 @@ def node_keys(docs: DataFrame, seed: int) -> DataFrame:
         for b in _slices(batches):
             nodes, cs, keys = [], [], []
             for u in shingle_sets(_texts(b.column(1)), seed):
-                if not (cls := classes_of(len(u))) or (node := digest(u, seed)[0]) in seen:
+                if not (cls := classes_of(len(u))) or (node := digest(u, seed)) in seen:
                     continue
                 seen.add(node)
                 for c in cls:
@@ -225,12 +257,12 @@ def node_keys(docs: DataFrame, seed: int) -> DataFrame:
                     names=["node", "c", "keys"],
                 )
 
-    return docs.mapInArrow(run, "node long, c int, keys array<long>")
+    return rows.select("row", "text").mapInArrow(run, "node long, c int, keys array<long>")
 
 
-def shared_cells(docs: DataFrame, seed: int) -> DataFrame:
+def shared_cells(rows: DataFrame, seed: int) -> DataFrame:
     """``cell, c, members, node, keys``: cells of two nodes or more; ``keys`` cells with the same members are one row."""
-    rows = node_keys(docs, seed).select(F.explode("keys").alias("key"), "node", "c")
+    rows = node_keys(rows, seed).select(F.explode("keys").alias("key"), "node", "c")
     by = Window.partitionBy("key")
     once = rows.withColumn("_last", F.lag("node").over(by.orderBy("node"))).where("_last is null or _last <> node")
     kept = once.select(
@@ -239,8 +271,8 @@ def shared_cells(docs: DataFrame, seed: int) -> DataFrame:
     return kept.groupBy("cell", "c", "members", "node").agg(F.count(F.lit(1)).alias("keys"))
 
 
-def node_texts(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
-    """``node, n, text, points``: of each node (with its document ``rep``), its points by class."""
+def node_texts(rows: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
+    """``node, n, text, points``: of each node (with its row ``rep``), its points by class."""
 
     def run(batches):
         for b in _slices(batches):
@@ -251,12 +283,18 @@ def node_texts(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
                 [b.column(0), pa.array([len(u) for u in sets], pa.int64()), b.column(1), pa.array(points, kind)], names=["node", "n", "text", "points"]
             )
 
-    found = nodes.join(docs, nodes["rep"] == docs["doc_id"]).select("node", "text")
-    return found.dropDuplicates(["node"]).mapInArrow(run, "node long, n long, text string, points array<struct<c:int,point:binary>>")
+    found = nodes.join(rows, nodes["rep"] == rows["row"]).select("node", "text")
+    return found.mapInArrow(run, "node long, n long, text string, points array<struct<c:int,point:binary>>")
+
+
+def linked(u: np.ndarray, v: np.ndarray) -> bool:
+    shared = len(np.intersect1d(u, v, assume_unique=True))
+    return 100 * shared >= PERCENT * (len(u) + len(v) - shared)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
-    """The pairs ``a, b`` of nodes whose texts link."""
+    """The pairs ``a, b`` of nodes whose texts link, by the seed of decisions."""
+    seed += SECOND
 
     def run(batches):
         known: OrderedDict[int, np.ndarray] = OrderedDict()  # a star's centre comes again and again
@@ -272,11 +310,7 @@ def verify(pairs: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
         for b in _slices(batches, 256):
             a_, b_, ta, tb = (b.column(i).to_pylist() for i in range(4))
             sets = shingle_sets([t.encode() for t in tb], seed)
-            keep = []
-            for x, t, v in zip(a_, ta, sets):
-                u = of(x, t)
-                shared = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(100 * shared >= PERCENT * (len(u) + len(v) - shared))
+            keep = [linked(of(x, t), v) for x, t, v in zip(a_, ta, sets)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
@@ -348,14 +382,16 @@ def _bits(sets: list[np.ndarray]) -> np.ndarray:
     return bits
 
 
-def family_links(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], c: int, parts: list[int | None]) -> list[tuple[int, int]]:
-    """Links between components of a family: a tree over its points finds candidates, shared shingles are counted.
+def family_links(nodes: np.ndarray, labels: np.ndarray, texts: list[bytes], c: int, parts: list[int | None], seed: int) -> list[tuple[int, int]]:
+    """Links between components of a family: a tree over its points finds candidates, shared shingles are counted (at last
+    by the seed of decisions).
     With parts (0 and 1) only pairs across them are looked at. What a link joins is not looked at again."""
     out: list[tuple[int, int]] = []
     split = None not in parts
     inner = np.array([p == 1 for p in parts]) if split else np.ones(len(nodes), bool)
     if not inner.any() or inner.all() and split or (labels == labels[0]).all():
         return out
+    sets = shingle_sets(texts, seed)
     sizes = np.array([len(u) for u in sets], np.int64)
     points = np.stack([group_counts(u, c) for u in sets])
     bits, now, of = _bits(sets), labels.copy(), np.flatnonzero(inner)
@@ -368,7 +404,7 @@ def family_links(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray],
         if len(near):
             shared = np.bitwise_count(bits[near] & bits[i]).sum(axis=1, dtype=np.int64)
             for j in near[100 * shared >= PERCENT * (sizes[i] + sizes[near] - shared)]:
-                if now[i] != now[j]:
+                if now[i] != now[j] and linked(*shingle_sets([texts[i], texts[j]], seed + SECOND)):
                     now[now == now[j]] = now[i]
                     out.append((int(nodes[i]), int(nodes[j])))
     return out
@@ -383,8 +419,8 @@ def search_families(rows: DataFrame, seed: int) -> DataFrame:
         def flush():
             found = []
             if len(group) > 1:
-                sets = shingle_sets([g[2].encode() for g in group], seed)
-                found = family_links(np.array([g[0] for g in group], np.int64), np.array([g[1] for g in group], np.int64), sets, key[1], [g[3] for g in group])
+                texts = [g[2].encode() for g in group]
+                found = family_links(np.array([g[0] for g in group], np.int64), np.array([g[1] for g in group], np.int64), texts, key[1], [g[3] for g in group], seed)
             a, b = zip(*found) if found else ((), ())
             return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -428,6 +464,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def meet(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """Members joined to their family's one row of facts; facts stand in ``SALTS`` copies, so a large family is dealt to as many tasks."""
+    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = members.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, ["family", "c", "_salt"]).drop("_salt")
+
+
 def labelled(families: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the families that hold several components, with the members' ``label`` and the family's ``members`` and
     ``shingles``."""
@@ -435,30 +478,30 @@ def labelled(families: DataFrame, labels: DataFrame) -> DataFrame:
     open_ = named.groupBy("family", "c").agg(
         F.min("label").alias("first"), F.max("label").alias("_last"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")
     )
-    return named.join(open_.where("first <> _last").drop("_last"), ["family", "c"])
+    return meet(named, open_.where("first <> _last").drop("_last"))
 
 
-def similar_components(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = materialize(document_nodes(docs, seed), "nodes")
-    own = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("check").alias("_x"), F.max("check").alias("_y"))
-    own = materialize(own, "own")
+def row_components(rows: DataFrame, seed: int = 0) -> DataFrame:
+    """``row, doc_id, n, first`` of every row of ``row, doc_id, text``; ``first`` (``no_id, doc_id, row``) is its component's
+    row with the smallest id."""
+    found = materialize(document_nodes(rows, seed), "nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    filled = found.where("n > 0").groupBy("node")
+    own = materialize(filled.agg(first.alias("first"), F.min("row").alias("rep"), F.min("n").alias("n"), F.min("check").alias("_x"), F.max("check").alias("_y")), "own")
     if own.where("_x <> _y").limit(1).count():  # two sets with one digest: other hashes tell them apart
-        return similar_components(docs, seed + 1)
-    own = own.select("node", "rep")
+        return row_components(rows, seed + 1)
 
-    cells = materialize(shared_cells(docs, seed), "cells")
-    texts = materialize(node_texts(docs, cells.select("node").distinct().join(own, "node"), seed), "texts")
+    cells = materialize(shared_cells(rows, seed), "cells")
+    texts = materialize(node_texts(rows, cells.select("node").distinct().join(own.select("node", "rep"), "node"), seed), "texts")
     points = _points(texts)
 
     # families: cells with one hub are one, so that a node comes once to each hub that it meets
     fame = cells.groupBy("node").agg(F.sum(F.col("members") * F.col("keys")).alias("fame"))
     cells = materialize(cells.join(fame, "node"), "famed")
-    first = F.max_by("node", F.struct("fame", "node"))
-    hubs = cells.groupBy("cell", "c").agg(first.alias("family"))
+    most = F.max_by("node", F.struct("fame", "node"))
+    hubs = cells.groupBy("cell", "c").agg(most.alias("family"))
     met = cells.join(hubs, ["cell", "c"]).groupBy("family", "c", "node").agg(F.sum("keys").alias("often"), F.first("fame").alias("fame"))
-    families = materialize(met.join(found.where("n > 0").groupBy("node").agg(F.first("n").alias("n")), "node"), "families")
+    families = materialize(met.join(own.select("node", "n"), "node"), "families")
 
     # first stars: each node against the hub that it meets most often
     stars = families.where("node <> family").select(F.col("family").alias("a"), F.col("node").alias("b"), "c", "often")
@@ -467,9 +510,9 @@ def similar_components(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", t
     labels = components(links)
 
     # second stars: the components of a family against the first of them, by their own hubs
-    reps = labelled(families, labels).groupBy("family", "c", "label").agg(first.alias("node"), F.max("fame").alias("fame"))
-    heads = reps.groupBy("family", "c").agg(first.alias("head"))
-    pairs = reps.join(heads, ["family", "c"]).where("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"), "c").distinct()
+    reps = labelled(families, labels).groupBy("family", "c", "label").agg(most.alias("node"), F.max("fame").alias("fame"))
+    heads = reps.groupBy("family", "c").agg(most.alias("head"))
+    pairs = meet(reps, heads).where("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"), "c").distinct()
     more = bounded(pairs, points).select("a", "b").distinct()
     links = links.union(materialize(verify(more, texts, seed), "links-2"))
     labels = components(links)
@@ -490,18 +533,26 @@ def similar_components(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", t
     links = links.union(materialize(search_families(dealt.repartition("family", "c").sortWithinPartitions("family", "c"), seed), "links-3"))
     labels = components(links)
 
-    smallest = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    by_label = smallest.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_node = smallest.join(by_label, "label").select("node", "component_id")
-    linked = found.join(of_node, "node", "left")
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = own.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    by_label = named.groupBy("label").agg(F.min("first").alias("first"))
+    of_node = named.select("node", "label").join(by_label, "label").select(F.col("node").alias("_node"), "first")
+    alone = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    all_ = found.join(of_node, (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left")
+    return all_.select("row", "doc_id", "n", F.coalesce("first", alone).alias("first"))
+
+
+def similar_components(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row."""
+    rows = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).select("row", "value.*")
+    return row_components(rows, seed).select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"))
 
 
-def one_per_component(docs: DataFrame) -> DataFrame:
-    """The documents whose id is their component's (all rows of it), and those without an id; all columns stay."""
-    dropped = similar_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return rows.join(dropped, F.col("_key") == F.col("_dropped"), "left_anti").select("_row.*")
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component the row with the smallest id (of equal ids, one of them); all columns stay."""
+    rows = numbered(docs)
+    read = rows.select("row", F.col(f"value.`{id_col}`").cast("long").alias("doc_id"), F.col(f"value.`{text_col}`").cast("string").alias("text"))
+    dropped = row_components(read).where("row <> first.row").select("row")
+    return rows.join(dropped, "row", "left_anti").select("value.*")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

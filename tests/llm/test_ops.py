@@ -192,7 +192,8 @@ def test_op2_query(spark, doc_dir, rows):
 # 3
 
 
-def brute_components(rows):
+def brute_groups(rows):
+    """Sets of shingles, and the rows (by place) of each component."""
     sets = []
     for r in rows:
         ws = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
@@ -210,10 +211,23 @@ def brute_components(rows):
             if s and 100 * s >= 85 * (len(a) + len(sets[j]) - s):
                 parent[find(i)] = find(j)
     groups = defaultdict(list)
-    for i, r in enumerate(rows):
-        groups[find(i)].append(r.doc_id)
-    least = {g: min((x for x in ids if x is not None), default=None) for g, ids in groups.items()}
-    return Counter((r.doc_id, len(s), least[find(i)]) for i, (r, s) in enumerate(zip(rows, sets)))
+    for i in range(len(rows)):
+        groups[find(i)].append(i)
+    return sets, list(groups.values())
+
+
+def least_id(rows, group):
+    return min((rows[i].doc_id for i in group if rows[i].doc_id is not None), default=None)
+
+
+def brute_components(rows):
+    sets, groups = brute_groups(rows)
+    return Counter((rows[i].doc_id, len(sets[i]), least_id(rows, g)) for g in groups for i in g)
+
+
+def brute_kept(rows):
+    """Ids of the rows that stay when each component keeps its first."""
+    return Counter(least_id(rows, g) for g in brute_groups(rows)[1])
 
 
 def test_components(spark, docs, rows):
@@ -276,9 +290,62 @@ def test_tree_bound_is_safe():
 def test_one_per_component_keeps_columns(spark):
     wide = documents(spark, extra=True)
     kept = ngram_join.one_per_component(wide)
-    comp = brute_components(wide.collect())
-    assert kept.columns == wide.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter({k: 0 for k in ()}) + Counter([d for (d, _, c), n in comp.items() for _ in range(n) if d is None or d == c])
+    assert kept.columns == wide.columns and Counter(r.doc_id for r in kept.collect()) == brute_kept(wide.collect())
+
+
+def test_components_of_repeated_and_missing_ids(spark):
+    """Texts are told apart by rows: ids may stand for several texts, or be null."""
+    rng = random.Random(3)
+    text = lambda n=90: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    near = lambda ws: " ".join([*ws[:40], "other", *ws[41:]])
+    rows = []
+    for i in range(20):
+        a, b = text(), text()
+        rows += [(i, " ".join(a)), (i, " ".join(b)), (1000 + i, near(a)), (2000 + i, near(b))]
+    for _ in range(6):
+        a = text()
+        rows += [(None, " ".join(a)), (None, near(a)), (None, near(a))]
+    a, b = text(), text()
+    rows += [(3000, near(a)), (3005, " ".join(a)), (3005, " ".join(b)), (3006, " ".join(b))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    own = df.collect()
+    assert Counter(tuple(g) for g in ngram_join.similar_components(df).collect()) == brute_components(own)
+    kept = ngram_join.one_per_component(df).collect()
+    assert Counter(r.doc_id for r in kept) == brute_kept(own) and Counter(r.doc_id for r in kept)[None] == 6
+    assert {r.text for r in kept if r.doc_id in (3000, 3005)} == {near(a), " ".join(b)}
+
+
+def test_word_hashes_differ():
+    """Words that a polynomial takes for one, and words about the block and the long-word sizes."""
+    import numpy as np
+
+    tm = "a"
+    while len(tm) < 1024:
+        tm += tm.translate(str.maketrans("ab", "ba"))
+    for seed in range(3):
+        words = [x[:n] for n in (1, 7, 8, 9, 16, 17, 63, 64, 65, 66, 512, 1024) for x in (tm, tm.translate(str.maketrans("ab", "ba")))]
+        words += ["a" * n for n in range(2, 90)]
+        found = ngram_join.shingle_sets([w.encode() for w in words], seed)
+        assert len({int(u[0]) for u in found}) == len(set(words)) == len(words)
+    rng = random.Random(1)
+    for _ in range(100):
+        texts = [" ".join("".join(rng.choice("aAbcé") for _ in range(rng.choice([1, 3, 8, 9, 16, 64, 65]))) for _ in range(rng.randint(0, 9))) for _ in range(5)]
+        ws = [t.replace("A", "a").split(" ") if t else [] for t in texts]
+        sets = [{tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set() for w in ws]
+        hashed = ngram_join.shingle_sets([t.encode() for t in texts], 7)
+        assert [[len(np.intersect1d(u, v)) for v in hashed] for u in hashed] == [[len(x & y) for y in sets] for x in sets]
+
+
+@pytest.mark.parametrize("n", [93, 150, 238])
+def test_unrelated_sets_share_no_cells(n):
+    """10^5 sets: no set sends its empty groups, so no cell gathers sets that have nothing in common."""
+    import numpy as np
+
+    rng = np.random.default_rng(n)
+    c = ngram_join.classes_of(n)[0]
+    drawn = np.sort(rng.integers(0, 1 << 64, (100_000 if n == 150 else 20_000, n), dtype=np.uint64), axis=1)
+    keys = np.concatenate([ngram_join.group_keys(u, c, 0) for u in drawn])
+    assert np.unique(keys, return_counts=True)[1].max() <= 50
 
 
 # 4

@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline
 from marlstone.llm import secrets
 from tests.llm.cases import documents, empty
-from tests.llm.test_ops import brute_components, library  # noqa: F401
+from tests.llm.test_ops import brute_kept, library  # noqa: F401
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -23,8 +23,7 @@ def test_stages(spark, library):  # noqa: F811
     names = [n for n, _ in corpus_pipeline.STAGES]
     good, single, masked, mixed, coded = (seen[n] for n in names)
     assert all(len(WORD.findall(r.text or "")) >= 50 for r in good) and 0 < len(good) < docs.count()
-    comp = brute_components(good)
-    assert Counter(r.doc_id for r in single) == Counter([d for (d, _, c), n in comp.items() for _ in range(n) if d is None or d == c])
+    assert Counter(r.doc_id for r in single) == brute_kept(good)
     assert Counter((r.doc_id, r.text) for r in masked) == Counter((r.doc_id, secrets.masked(r.text)) for r in single)
     assert {r.doc_id for r in mixed} <= {r.doc_id for r in masked}
     want = Counter()
