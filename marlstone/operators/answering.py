@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
@@ -10,12 +11,11 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import answer_words, strip
 
-#: The instruction that goes with every prompt (a fixed value).
-SYSTEM_PROMPT = (
-    "You are a financial analyst assistant. Answer the question using ONLY the provided context passages. Be concise and precise. "
-    "After your answer, list the passage numbers you relied on in square brackets, e.g. [Passage 1, Passage 3]."
-)
+#: The default instruction of a model; ``ModelGenerator`` takes any other.
+SYSTEM_PROMPT = "You answer questions about company filings. Use nothing but the passages given. Keep it short, and close with the numbers of the passages that you used."
+#: Characters kept of a passage in answer records, of a question in reports, and of texts shown to readers.
 PASSAGE_CHARS = 500
+QUESTION_CHARS, NEIGHBOUR_CHARS, SNIPPET_CHARS = 120, 120, 150
 
 
 def evidence_text(evidence: Column) -> Column:
@@ -62,21 +62,27 @@ class Extractive(Generator):
 class ModelGenerator(Generator):
     """Any callable (system, prompt) -> answer, made once per worker by ``load``."""
 
-    def __init__(self, name: str, load: Callable[[], Callable[[str, str], str]]):
-        self.name, self.load = name, load
+    def __init__(self, name: str, load: Callable[[], Callable[[str, str], str]], system: str = SYSTEM_PROMPT):
+        self.name, self.load, self.system = name, load, system
 
     def generate(self, df: DataFrame) -> DataFrame:
         import pandas as pd
 
-        load = self.load
+        load, system = self.load, self.system
 
-        def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             model = load()
             for s in series:
-                yield s.map(lambda p: model(SYSTEM_PROMPT, p))
-
-        run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        return df.withColumn("generated_answer", F.pandas_udf(run, "string")("prompt"))
+                answers, took = [], []
+                for p in s:
+                    start = time.perf_counter()
+                    answers.append(model(system, p))
+                    took.append(time.perf_counter() - start)
+                yield pd.DataFrame({"generated_answer": answers, "generation_time_s": took})
+
+        run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+        made = df.withColumn("_made", F.pandas_udf(run, "generated_answer string, generation_time_s double")("prompt"))
+        return made.select(*[c for c in df.columns], "_made.generated_answer", F.round("_made.generation_time_s", 3).alias("generation_time_s"))
 
 
 GENERATORS: dict[str, Callable[[], Generator]] = {"extractive": Extractive}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import traceback
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -64,80 +67,113 @@ def packed_texts(docs: DataFrame, id_col: str, paragraphs_col: str, limit: int,
     return made.withColumn("n_tokens", count_tokens(F.col("text")))
 
 
+@dataclass
+class Draft:
+    """A chunk while its document is folded: texts joined by blank lines, whose tokens add up."""
+
+    chunk_type: str
+    texts: list[str]
+    n_tokens: int
+    page_start: int
+    page_end: int
+    section: str | None
+    section_id: str | None
+
+    def attach(self, group: list[dict], n_tokens: int) -> None:
+        self.texts += [p["text"] for p in group]
+        self.n_tokens += n_tokens
+        self.page_end = group[-1]["page"]
+
+    def row(self) -> dict:
+        return {**{k: v for k, v in vars(self).items() if k != "texts"}, "text": "\n\n".join(self.texts)}
+
+
+def _tokens(text: str | None) -> int:
+    return len((text or "").split())
+
+
+def stretches(events: list[dict]) -> Iterator[tuple[list[dict], dict | None]]:
+    """Runs of paragraphs, each with the event that ends it; the last run has none."""
+    run: list[dict] = []
+    for e in events:
+        if e["kind"] == "para":
+            run.append(e)
+        else:
+            yield run, e
+            run = []
+    yield run, None
+
+
+def settle(run: list[dict], chunks: list[Draft], last: bool, config: ExtractionConfig) -> list[dict]:
+    """Adds the chunks of one run of paragraphs; returns the paragraphs that wait for the next run.
+
+    A group that is large enough is a chunk, and a small one joins the narrative chunk before it. So only the head of a
+    run needs care, where no such chunk stands before: it is the shortest row of groups that is large enough together.
+    Where there is none, all of them wait, or are one chunk at the end of the document."""
+    sizes = [_tokens(p["text"]) for p in run]
+    groups = [(run[s:e], sum(sizes[s:e])) for s, e in pack(sizes, config.chunk_size, config.chunk_overlap)]
+    if groups and not (chunks and chunks[-1].chunk_type == "narrative"):
+        sums = list(accumulate(n for _, n in groups))
+        k = next((i for i, n in enumerate(sums) if n >= config.min_chunk_tokens), len(groups) - 1)
+        head = [p for g, _ in groups[: k + 1] for p in g]
+        if sums[k] < config.min_chunk_tokens and not last:
+            return head
+        named = groups[k][0][0]
+        chunks.append(Draft("narrative", [p["text"] for p in head], sums[k], head[0]["page"], head[-1]["page"], named["section"], named["section_id"]))
+        groups = groups[k + 1 :]
+    for group, n in groups:
+        if n < config.min_chunk_tokens:
+            chunks[-1].attach(group, n)
+        else:
+            chunks.append(Draft("narrative", [p["text"] for p in group], n, group[0]["page"], group[-1]["page"], group[0]["section"], group[0]["section_id"]))
+    return []
+
+
 def flush_events(events: list[dict], config: ExtractionConfig) -> list[dict]:
-    """Chunks of one document from its ordered events.
-
-    Events: ``para`` (text, page, section, section_id), ``flush`` (a changed heading), ``table`` (n chunks). Groups below the
-    least size join the chunk before when that is narrative, else wait for what follows; the end of the
-    document emits what waits."""
-    count = lambda text: len(text.split())
-    chunks: list[dict] = []
-    buffer: list[dict] = []
-
-    def flush(force: bool) -> None:
-        nonlocal buffer
-        waiting, buffer = buffer, []
-        pending: list[dict] = []
-        groups = pack([count(p["text"]) for p in waiting], config.chunk_size, config.chunk_overlap)
-        for k, (s, e) in enumerate(groups):
-            group = waiting[s:e]
-            joined = pending + group
-            text = "\n\n".join(p["text"] for p in joined)
-            if count(text) < config.min_chunk_tokens:
-                before = chunks[-1] if chunks else None
-                if before and before["chunk_type"] == "narrative":
-                    before["text"] += "\n\n" + text
-                    before["n_tokens"] = count(before["text"])
-                    before["page_end"] = joined[-1]["page"]
-                    pending = []
-                    continue
-                if not (force and k == len(groups) - 1):
-                    pending = joined
-                    continue
-            chunks.append(
-                {
-                    "chunk_type": "narrative", "page_start": joined[0]["page"], "page_end": joined[-1]["page"], "section": group[0]["section"],
-                    "section_id": group[0]["section_id"], "text": text, "n_tokens": count(text),
-                }
-            )
-            pending = []
-        buffer = pending
-
-    for event in events:
-        if event["kind"] == "para":
-            buffer.append(event)
-            continue
-        flush(False)
-        if event["kind"] == "table":
-            for _ in range(event["n"] or 0):
-                chunks.append({"chunk_type": "table", "page_start": event["page"], "page_end": event["page"], "section": event["section"], "section_id": event["section_id"], "text": event["text"], "n_tokens": count(event["text"] or "")})
-    flush(True)
-    return chunks
+    """Chunks of one document from its ordered events: ``para`` (text, page, section, section_id), ``flush`` (a changed
+    heading), ``table`` (n chunks with its text). Paragraphs that wait are put before those of the next run."""
+    chunks: list[Draft] = []
+    waiting: list[dict] = []
+    for run, end in stretches(events):
+        waiting = settle(waiting + run, chunks, end is None, config)
+        if end is not None and end["kind"] == "table":
+            made = (end["text"] or "", _tokens(end["text"]), end["page"])
+            chunks += [Draft("table", [made[0]], made[1], made[2], made[2], end["section"], end["section_id"]) for _ in range(end["n"] or 0)]
+    return [c.row() for c in chunks]
 
 
 EVENT = "struct<kind:string,page:int,section:string,section_id:string,text:string,n:int>"
 _CHUNK = "chunk_index int, chunk_type string, page_start int, page_end int, section string, section_id string, text string, n_tokens int"
 
 
-def flush_chunks(docs: DataFrame, doc: str, events: str, config: ExtractionConfig = ExtractionConfig()) -> DataFrame:
-    """Chunks of documents given as one ordered array of events each (no shuffle, a document is one row)."""
+def flush_chunks(docs: DataFrame, doc: str, events: str, config: ExtractionConfig = ExtractionConfig(), errors: bool = False) -> DataFrame:
+    """Chunks of documents given as one ordered array of events each (no shuffle, a document is one row).
+
+    With ``errors`` a document that fails gives one row with its traceback in the column ``error`` and no chunk, and the others
+    go on; without it the failure is raised."""
     names = [c.split()[0] for c in _CHUNK.split(", ")]
 
+    def folded(found: list[dict] | None) -> list[dict]:
+        try:
+            return [{"chunk_index": i, **c} for i, c in enumerate(flush_events(found or [], config))]
+        except Exception:
+            if not errors:
+                raise
+            return [{"error": traceback.format_exc(limit=3)}]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                keys, rows = [], []
-                for key, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for i, c in enumerate(flush_events(found or [], config)):
-                        keys.append(key)
-                        rows.append({"chunk_index": i, **c})
-                yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.types[0])] + [pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds)], names=[doc, *names])
+                rows = [(key, c) for key, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for c in folded(found)]
+                columns = [pa.array([k for k, _ in rows], b.schema.types[0])] + [pa.array([r.get(n) for _, r in rows], t) for n, t in zip([*names, "error"], [*kinds, pa.string()])]
+                yield pa.RecordBatch.from_arrays(columns, names=[doc, *names, "error"])
 
     kind = docs.schema[doc].dataType.simpleString()
-    made = docs.select(doc, events).mapInArrow(run, f"{doc} {kind}, {_CHUNK}")
-    return made.withColumn("chunk_id", chunk_id(F.col(doc).cast("string"), F.col("page_start"), F.col("chunk_index")))
+    made = docs.select(doc, events).mapInArrow(run, f"{doc} {kind}, {_CHUNK}, error string")
+    named = made.withColumn("chunk_id", chunk_id(F.col(doc).cast("string"), F.col("page_start"), F.col("chunk_index")))
+    return named if errors else named.drop("error")
 
 
 def link_neighbors(chunks: DataFrame, doc: str = "doc_name", index: str = "chunk_index", key: str = "chunk_id") -> DataFrame:

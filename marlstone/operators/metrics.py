@@ -27,15 +27,19 @@ def exact_match(pred: Column, gold: Column) -> Column:
 
 
 def token_f1(pred: Column, gold: Column) -> Column:
-    p, g = answer_words(pred), answer_words(gold)
-    return f_measure(shared_count(p, g), F.size(p), F.size(g))
+    # a one-element array binds the words, which the lambdas would else split anew for each word
+    words = F.array(F.struct(answer_words(pred).alias("p"), answer_words(gold).alias("g")))
+    return F.get(F.transform(words, lambda x: f_measure(shared_count(x["p"], x["g"]), F.size(x["p"]), F.size(x["g"]))), F.lit(0))
 
 
 def context_precision(passages: Column, evidence: Column) -> Column:
     """Share of passages with a word of the evidence; 0 without passages or evidence."""
-    asked = answer_words(evidence)
-    hits = F.size(F.filter(passages, lambda p: F.arrays_overlap(answer_words(p), asked)))
-    return F.when((F.size(passages) > 0) & (F.size(asked) > 0), hits / F.size(passages)).otherwise(F.lit(0.0))
+
+    def share(asked: Column) -> Column:
+        hits = F.size(F.filter(passages, lambda p: F.arrays_overlap(answer_words(p), asked)))
+        return F.when((F.size(passages) > 0) & (F.size(asked) > 0), hits / F.size(passages)).otherwise(F.lit(0.0))
+
+    return F.get(F.transform(F.array(answer_words(evidence)), share), F.lit(0))
 
 
 def rouge_words(c: Column) -> Column:
@@ -68,20 +72,24 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.when(F.size(b) == 0, F.lit(0)).otherwise(F.coalesce(F.element_at(F.aggregate(a, zeros, row), -1), F.lit(0)))
 
 
+def lcs_of(a: list[str], b: list[str]) -> int:
+    """The same by bits: a zero at i says that the table's row grows at word i of a; a word of b changes all of it at once."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for w in b:
+        hit = row & places.get(w, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
 def lcs_lengths(a: Column, b: Column) -> Column:
-    """The same through a pandas function, for long answers."""
+    """``lcs_of`` over columns, in Arrow batches."""
     import pandas as pd
 
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        def of(p, q):
-            row = [0] * (len(q) + 1)
-            for u in p:
-                corner = 0
-                for j, v in enumerate(q, 1):
-                    corner, row[j] = row[j], corner + 1 if u == v else max(row[j], row[j - 1])
-            return row[-1]
-
-        return pd.Series([of(list(p), list(q)) for p, q in zip(x, y)])
+        return pd.Series([lcs_of(list(p), list(q)) for p, q in zip(x, y)], dtype="int32")
 
     run.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "int")(a, b)
@@ -104,8 +112,16 @@ def with_rouge(rows: DataFrame, pred: str, gold: str, stemmed: bool = False, lon
 MEANS = ("exact_match", "token_f1", "context_precision", "rouge1", "rouge2", "rougeL", "retrieval_time_s", "generation_time_s", "total_inference_time_s")
 
 
+def with_total_time(answers: DataFrame) -> DataFrame:
+    """Adds ``total_inference_time_s``, the sum of the two measured times (absent or null ones count as 0), to three places."""
+    part = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in answers.columns else F.lit(0.0)
+    return answers.withColumn("total_inference_time_s", F.round(part("retrieval_time_s") + part("generation_time_s"), 3))
+
+
 def per_sample(answers: DataFrame, stemmed: bool = True) -> DataFrame:
-    """Metrics of answer records (``ground_truth, ground_truth_evidence, generated_answer, retrieved_passages``), rounded to four places."""
+    """Metrics of answer records (``ground_truth, ground_truth_evidence, generated_answer, retrieved_passages``), rounded to four
+    places; times that the records carry stay, with their sum."""
+    answers = with_total_time(answers) if {"retrieval_time_s", "generation_time_s"} & set(answers.columns) else answers
     gold, pred = F.coalesce("ground_truth", F.lit("")), F.coalesce("generated_answer", F.lit(""))
     passages = F.coalesce(F.transform("retrieved_passages", lambda p: F.coalesce(p["text"], F.lit(""))), F.array().cast("array<string>"))
     rows = answers.withColumn("_gold", gold).withColumn("_pred", pred)

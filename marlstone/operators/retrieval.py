@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.config import RetrievalConfig
 from marlstone.operators.glossary import match_terms
 from marlstone.operators.vectors import Embedder, HashedWords, exact_top_k
+from marlstone.sources.tables import written
 
 
 def resolve_hits(hits: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -28,7 +29,7 @@ def neighbours(hits: DataFrame, chunks: DataFrame, window: int, doc: str = "doc_
 
 def search(
     queries: DataFrame, chunks: DataFrame, k: int | None = None, config: RetrievalConfig = RetrievalConfig(), embedder: Embedder | None = None,
-    vectors: DataFrame | None = None, glossary: DataFrame | None = None, scope: str | None = None, text: str = "question",
+    vectors: DataFrame | None = None, glossary: DataFrame | None = None, scope: str | None = None, text: str = "question", doc: str = "doc_name",
 ) -> DataFrame:
     """``query_id, rank, score``, the chunk's columns, ``neighbors`` and ``glossary_matches`` (arrays, for display: neither goes
     into a prompt). Vectors are ranked on ids alone; texts are joined to the few hits."""
@@ -37,12 +38,14 @@ def search(
         vectors = embedder.encode(chunks.select("chunk_id", *([scope] if scope else []), "text"), "text").drop("text")
     asked = embedder.encode(queries, text)
     hits = exact_top_k(asked, vectors.withColumnRenamed("chunk_id", "id"), config.k(k), scope).withColumnRenamed("id", "chunk_id")
-    found = resolve_hits(hits, chunks)
+    found = written(resolve_hits(hits, chunks))  # read three times below
     near = neighbours(found, chunks, config.neighbor_window)
     listed = F.array_sort(F.collect_list(F.struct("offset", "neighbor_id", "neighbor_text")))
     out = found.join(near.groupBy("query_id", "rank").agg(listed.alias("neighbors")), ["query_id", "rank"], "left")
     if glossary is not None:
-        texts = out.withColumn("text", F.concat_ws("\n", "text", F.array_join(F.transform("neighbors", lambda x: x["neighbor_text"]), "\n")))
-        terms = match_terms(texts, glossary, ["query_id", "rank"]).groupBy("query_id", "rank").agg(F.array_sort(F.collect_list(F.struct("place", "term", "definition"))).alias("glossary_matches"))
+        texts = out.withColumn("text", F.concat_ws("\n", "text", F.array_join(F.transform("neighbors", lambda x: x["neighbor_text"]), "\n"))).select("query_id", "rank", doc, "text")
+        terms = match_terms(texts, glossary, ["query_id", "rank"], doc).groupBy("query_id", "rank").agg(F.array_sort(F.collect_list(F.struct("place", "term", "definition"))).alias("glossary_matches"))
         out = out.join(terms, ["query_id", "rank"], "left")
+    if "structured" in out.columns:  # an image of the table goes with a table's hit
+        out = out.withColumn("table_image", F.when(F.col("chunk_type") == "table", F.col("structured.table_image")))
     return out

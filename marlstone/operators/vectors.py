@@ -104,15 +104,13 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, scope: str | Non
     """``query_id, rank, id, score`` of each query's k best vectors, ties to the smaller id.
 
     ``scope`` names a column of both sides: only vectors of the query's own value are ranked (a filter before the
-    ranking), by an equi-join. Without it each partition of the vectors ranks all queries by a matrix product and
+    ranking), in blocks of each value. Without it each partition of the vectors ranks all queries by a matrix product and
     emits k rows a query. Queries travel by broadcast behind a check of their size, else in joined blocks."""
     if scope:
-        q = queries.select(query_id, F.col(scope).alias(scope), F.col("vector").alias("_q"))
-        met = vectors.select(key, scope, "vector").join(q, scope)
-        scored = met.select(query_id, key, F.round(dot("vector", "_q"), 6).alias("score"))
+        scored = _cells_top_k(queries.select(query_id, "vector", F.col(scope).alias("cell")), vectors.select(key, "vector", F.col(scope).alias("cell")), k, query_id, key)
     else:
-        width = 16 + 8 * (queries.selectExpr("coalesce(max(size(vector)), 0)").first()[0] or 0)
-        if queries.count() * width <= BROADCAST_BYTES:
+        size = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+        if size[0] * (16 + 8 * size[1]) <= BROADCAST_BYTES:
             scored = _matrix_top_k(queries, vectors, k, query_id, key)
         else:
             scored = _blocked_top_k(queries, vectors, k, query_id, key)
@@ -161,21 +159,34 @@ def _matrix_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str,
 
 
 def _blocked_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, key: str, block: int = 2048) -> DataFrame:
-    n_q, n_v = -(-queries.count() // block), -(-vectors.count() // block)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
-    q = queries.select(query_id, "vector", F.pmod(F.xxhash64(query_id), F.lit(max(n_q, 1))).alias("qb"), every(n_v).alias("vb"))
-    v = vectors.where("vector is not null").select(key, "vector", every(n_q).alias("qb"), F.pmod(F.xxhash64(key), F.lit(max(n_v, 1))).alias("vb"))
+    one = F.lit(0).alias("cell")
+    return _cells_top_k(queries.select(query_id, "vector", one), vectors.select(key, "vector", one), k, query_id, key, block)
+
+
+def _cells_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, key: str, block: int = 2048) -> DataFrame:
+    """Queries and vectors of one ``cell`` meet, by a matrix product and with k rows a query. Each cell is cut
+    into blocks, as many as its size needs, so that no task grows with the table."""
+
+    def blocks(df: DataFrame) -> DataFrame:
+        n = df.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        return n.select("cell", F.ceil(F.col("n") / block).cast("long").alias("n"))
+
+    n_q, n_v = blocks(queries), blocks(vectors.where("vector is not null"))
+    sizes = n_q.withColumnRenamed("n", "nq").join(n_v.withColumnRenamed("n", "nv"), "cell")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    mine = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    q = queries.where("vector is not null").join(sizes, "cell").select(F.col(query_id).alias(query_id), F.col("vector").alias("_q"), "cell", mine(query_id, "nq").alias("qb"), every("nv").alias("vb"))
+    v = vectors.where("vector is not null").join(sizes, "cell").select(key, "vector", "cell", every("nq").alias("qb"), mine(key, "nv").alias("vb"))
     kinds, schema = _kinds(queries, vectors, query_id, key)
     names = [query_id, key, "score"]
 
     def run(q: pa.Table, v: pa.Table) -> pa.Table:
         if not q.num_rows or not v.num_rows:
             return _emit([], kinds, names)
-        a, b = (np.array(t.column("vector").to_pylist(), float) for t in (q, v))
+        a, b = (np.array(t.column(c).to_pylist(), float) for t, c in ((q, "_q"), (v, "vector")))
         return _emit(list(_best_of(q.column(query_id).to_pylist(), a, v.column(key).to_pylist(), b, k)), kinds, names)
 
-    to_long = lambda df: df.withColumn("qb", F.col("qb").cast("long")).withColumn("vb", F.col("vb").cast("long"))
-    return to_long(q).groupBy("qb", "vb").cogroup(to_long(v).groupBy("qb", "vb")).applyInArrow(run, schema)
+    return q.groupBy("cell", "qb", "vb").cogroup(v.groupBy("cell", "qb", "vb")).applyInArrow(run, schema)
 
 
 def _centroids(vectors: DataFrame, lists: int, sample: int, seed: int, key: str) -> np.ndarray:
@@ -222,24 +233,9 @@ def ivf_top_k(
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.tolist(), pa.list_(pa.int64()))], names=[id_col, "vector", "lists"])
 
         picked = df.where("vector is not null").select(id_col, F.col("vector").cast("array<double>").alias("vector"))
-        return picked.mapInArrow(run, f"{id_col} {kind}, vector array<double>, lists array<long>").select(id_col, "vector", F.explode("lists").alias("list"))
-
-    q, v = listed(queries, query_id, p), listed(vectors, key, 1)
-    blocks = lambda df: -(-(df.groupBy("list").count().agg(F.max("count")).first()[0] or 1) // block)
-    n_q, n_v = blocks(q), blocks(v)
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    q = q.withColumn("qb", F.pmod(F.xxhash64(query_id), F.lit(n_q)).cast("long")).withColumn("vb", every(n_v))
-    v = v.withColumn("qb", every(n_q)).withColumn("vb", F.pmod(F.xxhash64(key), F.lit(n_v)).cast("long"))
-    kinds, schema = _kinds(queries, vectors, query_id, key)
-    names = [query_id, key, "score"]
+        return picked.mapInArrow(run, f"{id_col} {kind}, vector array<double>, lists array<long>").select(id_col, "vector", F.explode("lists").alias("cell"))
 
-    def run(q: pa.Table, v: pa.Table) -> pa.Table:
-        if not q.num_rows or not v.num_rows:
-            return _emit([], kinds, names)
-        a, b = (np.array(t.column("vector").to_pylist(), float) for t in (q, v))
-        return _emit(list(_best_of(q.column(query_id).to_pylist(), a, v.column(key).to_pylist(), b, k)), kinds, names)
-
-    met = q.groupBy("list", "qb", "vb").cogroup(v.groupBy("list", "qb", "vb")).applyInArrow(run, schema)
+    met = _cells_top_k(listed(queries, query_id, p), listed(vectors, key, 1), k, query_id, key, block)
     w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), key)
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, "rank", key, "score")
 
@@ -264,6 +260,20 @@ class VectorStore:
     def add(self, rows: DataFrame, overwrite: bool = False) -> None:
         rows.write.mode("overwrite" if overwrite else "append").parquet(self.path)
 
+    def upsert(self, rows: DataFrame, key: str = "id") -> None:
+        """Adds rows; those of an id that is there already take its place. The table is written anew beside the old one,
+        which goes last, so a reader finds one or the other."""
+        if not self.exists():
+            return self.add(rows)
+        kept = self.table().join(rows.select(key), key, "left_anti").unionByName(rows)
+        aside = f"{self.path}.new"
+        kept.write.mode("overwrite").parquet(aside)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(path(self.path), True)
+        fs.rename(path(aside), path(self.path))
+        self.spark.catalog.refreshByPath(self.path)
+
     def count(self) -> int:
         return self.table().count()
 

@@ -14,8 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, source, ord, text``: the lines of documents that are not blank."""
-    split = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
-    return split.withColumn("text", clean_line(F.col("text"))).where("text <> ''")
+    cleaned = F.transform(F.split("text", "\n"), clean_line)  # inside one expression, so that a line is cleaned once
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(cleaned).alias("ord", "text")).where("text <> ''")
 
 
 LINES = r"""

@@ -9,6 +9,7 @@ from marlstone.operators import ablation, answering, metrics, vectors
 from marlstone.operators import retrieval as search_ops
 from marlstone.plans.inputs import PACKED, QA, chunk_texts, qa_pairs, sql_words, table
 from marlstone.plans.registry import query
+from marlstone.sources.tables import written
 
 TOP = 5
 
@@ -64,7 +65,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Chunks for every benchmark text."""
-    chunks, embedder = chunk_texts(spark, sf_dir), vectors.HashedWords()
+    chunks, embedder = written(chunk_texts(spark, sf_dir)), vectors.HashedWords()  # packed once, for vectors and texts
     coded = embedder.encode(chunks.select("chunk_id", "text"), "text").select(F.col("chunk_id").alias("id"), "vector")
     hits = vectors.exact_top_k(embedder.encode(_questions(spark, sf_dir), "question"), coded, k).withColumnRenamed("id", "chunk_id")
     return search_ops.resolve_hits(hits, chunks)
@@ -223,7 +224,7 @@ def ablate_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH RECURSIVE {PACKED} SELECT count(*) AS n_chunks, round(count(*) / 250.0, 6) AS seconds, ceil(count(*) / 64.0)::BIGINT AS batches FROM ch
 """)
 def throughput_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Time to encode all chunks at a measured rate (here 250 a second) in batches of 64."""
+    """Time to encode all chunks at a given rate (250 a second) in batches of 64; ``jobs.encoding_rate`` measures a rate."""
     n = chunk_texts(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_chunks"))
     return n.select("n_chunks", F.round(F.col("n_chunks") / 250.0, 6).alias("seconds"), F.ceil(F.col("n_chunks") / 64.0).cast("long").alias("batches"))
 

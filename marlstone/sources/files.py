@@ -23,16 +23,16 @@ def read_chunks(spark: SparkSession, path: str, doc_name: str | None = None) ->
 
 
 def read_glossary(spark: SparkSession, path: str, doc_name: str | None = None) -> DataFrame:
-    """Longest terms first."""
+    """Longest terms first; equally long ones by document, page and term."""
     df = read_jsonl(spark, path, schema.GLOSSARY_ENTRY)
-    return (df.where(F.col("doc_name") == doc_name) if doc_name else df).orderBy(F.length("term").desc())
+    return (df.where(F.col("doc_name") == doc_name) if doc_name else df).orderBy(F.length("term").desc(), "doc_name", "page_num", "term")
 
 
 def read_questions(spark: SparkSession, path: str, doc_name: str | None = None, limit: int | None = None) -> DataFrame:
-    """Filtered by document first, then limited, in the order of the file."""
+    """Filtered by document first, then limited (None and 0: not), in the order of ``qa_id``."""
     df = read_jsonl(spark, path, schema.QA)
     df = df.where(F.col("doc_name") == doc_name) if doc_name else df
-    return df.limit(limit) if limit else df
+    return df.orderBy("qa_id").limit(limit) if limit else df
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
@@ -43,9 +43,9 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
-def line_count(spark: SparkSession, path: str) -> int:
-    """Lines of all files, blank ones too."""
-    return spark.read.text(path).count()
+def line_count(spark: SparkSession, path: str) -> DataFrame:
+    """``n_lines`` of all files, blank ones too."""
+    return spark.read.text(path).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
@@ -68,10 +68,10 @@ def write_json(spark: SparkSession, value: dict, path: str) -> None:
     out.close()
 
 
-def eval_report(aggregate: DataFrame, samples: DataFrame) -> dict:
-    """The report of one evaluation: a row of means and the samples, which a person reads."""
-    rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
-    return {"aggregate": rows(aggregate)[0], "per_sample": rows(samples)}
+def write_eval_report(aggregate: DataFrame, samples: DataFrame, path: str) -> None:
+    """The report of one evaluation: the row of means as a small JSON file, the samples as JSON lines beside it, which Spark writes."""
+    write_jsonl(samples, f"{path}/per_sample")
+    write_json(aggregate.sparkSession, {"aggregate": aggregate.first().asDict(recursive=True)}, f"{path}/report.json")
 
 
 def manifest(model: str, backend: str, n_chunks: int, batch_size: int) -> dict:

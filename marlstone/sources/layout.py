@@ -18,8 +18,19 @@ from marlstone import schema
 Parser = Callable[[bytes], dict]
 
 
-def open_documents(spark: SparkSession, path: str, parse: Parser) -> DataFrame:
+#: Parsers by name; a caller adds those of its libraries.
+PARSERS: dict[str, Parser] = {"json": json.loads}
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_name, content`` of the files below a path."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "").alias("doc_name"), "content")
+
+
+def open_documents(files: DataFrame, parse: Parser | str = "json") -> DataFrame:
     """``doc_name, status, error, layout`` (JSON) of every file; failures stay with their document."""
+    parse = PARSERS[parse] if isinstance(parse, str) else parse
 
     def run(batches):
         for b in batches:
@@ -30,9 +41,8 @@ def open_documents(spark: SparkSession, path: str, parse: Parser) -> DataFrame:
                     row = ("failed", traceback.format_exc(limit=3), None)
                 yield pa.RecordBatch.from_pydict({"doc_name": [name.as_py()], "status": [row[0]], "error": pa.array([row[1]], pa.string()), "layout": pa.array([row[2]], pa.string())})
 
-    files = spark.read.format("binaryFile").load(path)
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    return files.select(name.alias("doc_name"), "content").mapInArrow(run, "doc_name string, status string, error string, layout string")
+    named = files.select(F.col("doc_name").cast("string").alias("doc_name"), F.col("content").cast("binary").alias("content"))
+    return named.mapInArrow(run, "doc_name string, status string, error string, layout string")
 
 
 def layout_table(opened: DataFrame, part: str) -> DataFrame:

@@ -23,30 +23,39 @@ class Retry(Exception):
 def fetch_documents(
     jobs: DataFrame, session: Callable[[], Fetch], put: Callable[[str, Iterator[bytes]], None], exists: Callable[[str], bool] = lambda name: False,
     partitions: int = 4, delay_s: float = 0.3, attempts: int = 3, backoff_s: float = 1.0, viewer: tuple[str, str, str] | None = None,
+    budget_s: float | None = None, drop: Callable[[str], None] = lambda name: None, overwrite: bool = False,
 ) -> DataFrame:
     """``doc_name, doc_link, status, error`` of every job.
 
     ``session`` makes a fetcher (url to chunks of bytes) once per partition; ``put`` stores a stream under a name, whole
-    or not at all. Names that exist are skipped. ``viewer`` (host, path, parameter) names a viewer page whose parameter
+    or not at all; after a failure ``drop`` removes what is left of it. A stream that takes longer than ``budget_s`` fails.
+    Names that exist are skipped, unless ``overwrite``. ``viewer`` (host, path, parameter) names a viewer page whose parameter
     holds the real address."""
 
+    def within(chunks: Iterator[bytes], until: float | None) -> Iterator[bytes]:
+        for c in chunks:
+            if until is not None and time.monotonic() > until:
+                raise TimeoutError(f"not done within {budget_s} s")
+            yield c
+
     def run(batches):
         fetch = None
         for b in batches:
             status, errors = [], []
             for name, link in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                if exists(name):
+                if not overwrite and exists(name):
                     status.append("skipped")
                     errors.append(None)
                     continue
                 fetch = fetch or session()
                 for k in range(attempts):
                     try:
-                        put(name, fetch(link))
+                        put(name, within(fetch(link), budget_s and time.monotonic() + budget_s))
                         status.append("downloaded")
                         errors.append(None)
                         break
                     except Exception as e:
+                        drop(name)
                         if k + 1 == attempts or not isinstance(e, Retry):
                             status.append("failed")
                             errors.append(str(e))
@@ -58,3 +67,13 @@ def fetch_documents(
     link = unwrap_url(F.col("doc_link"), *viewer) if viewer else F.col("doc_link")
     dealt = jobs.select("doc_name", "doc_link", link.alias("to")).repartition(partitions, "doc_name")
     return dealt.mapInArrow(run, "doc_name string, doc_link string, status string, error string")
+
+
+def retried(report: DataFrame, catalog: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A report with its failed documents fetched again; ``fetch`` makes report rows of jobs. Rows that did not fail stay."""
+    from marlstone.sources.catalog import retry_merge
+    from marlstone.sources.tables import written
+
+    failed = report.where("status = 'failed'").select("doc_name")
+    again = written(fetch(catalog.join(failed, "doc_name", "left_semi")))
+    return retry_merge(report, again.select(*report.columns))

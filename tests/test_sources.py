@@ -35,7 +35,7 @@ def test_json_lines(spark, tmp_path):
         f.write(json.dumps({"chunk_id": "d__p0000__c0000", "doc_name": "d", "doc_period": 2018, "text": "é", "structured": {"row_range": [0, 4], "rows": [{"row_label": "x", "value": 1.5}]}}, ensure_ascii=False) + "\n\n")
     got = files.read_chunks(spark, path).collect()
     assert len(got) == 1 and got[0].doc_period == "2018" and got[0].structured.row_range == [0, 4] and got[0].text == "é" and got[0].section is None
-    assert files.line_count(spark, path) == 2 and files.read_chunks(spark, path, "other").count() == 0
+    assert files.line_count(spark, path).first()[0] == 2 and files.read_chunks(spark, path, "other").count() == 0
     out = str(tmp_path / "o")
     files.write_jsonl(files.read_chunks(spark, path), out)
     files.write_jsonl(files.read_chunks(spark, path), out, append=True)
@@ -90,7 +90,7 @@ def test_layout_parser(spark, tmp_path):
             raise ValueError("not a document")
         return {"spans": [{"page": 0, "page_height": 800.0, "block": 0, "line": 0, "span": 0, "text": content.decode(), "size": 10.0, "bold": False}], "toc": [{"level": 1, "title": "t", "page": 1}]}
 
-    opened = layout.open_documents(spark, f"{tmp_path}/*.pdf", parse)
+    opened = layout.open_documents(layout.read_files(spark, f"{tmp_path}/*.pdf"), parse)
     assert {(r.doc_name, r.status) for r in opened.collect()} == {("good", "ok"), ("bad", "failed")}
     assert layout.layout_table(opened, "spans").first().text == "hello" and layout.layout_table(opened, "toc").count() == 1
 
