@@ -133,6 +133,9 @@ def toc_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.toc_sections(toc, pages, "source")
 
 
+#: Tokens below which a group is joined to another.
+LEAST = 15
+
 _BOX = "({k} * 7) % 90 AS x0, ({k} * 11) % 90 AS y0, ({k} * 7) % 90 + 5 + {k} % 13 AS x1, ({k} * 11) % 90 + 5 + {k} % 17 AS y1"
 
 
@@ -158,8 +161,7 @@ def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.packed_ranges(docs.select("doc_id", kept.alias("sizes")), "doc_id", "sizes", LIMIT, OVERLAP).withColumnRenamed("id", "doc_id")
 
 
-@query()
-def flush_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _flushed(spark: SparkSession, sf_dir: str, chunk_size: int) -> DataFrame:
     """Lines as paragraphs; short lines without end mark change the section, lines of 7n characters stand for a table."""
     text = F.col("text")
     short = F.length(text).between(3, 90) & ~F.rlike(text, F.lit(r"[.,;]$"))
@@ -167,10 +169,42 @@ def flush_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = layout.carry_sections(lines(spark, sf_dir), short, ["doc_id"], ["ord"])
     event = F.struct("ord", kind.alias("kind"), F.col("ord").alias("page"), "section", "section_id", "text", F.lit(1).alias("n"))
     events = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(event)).alias("events"))
-    config = replace(ExtractionConfig(), chunk_size=LIMIT, chunk_overlap=OVERLAP, min_chunk_tokens=15)
+    config = replace(ExtractionConfig(), chunk_size=chunk_size, chunk_overlap=OVERLAP, min_chunk_tokens=LEAST)
     return chunking.flush_chunks(events.withColumn("events", F.transform("events", lambda x: x.dropFields("ord"))), "doc_id", "events", config)
 
 
+@query()
+def flush_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flushed(spark, sf_dir, LIMIT)
+
+
+@query(rf"""
+WITH RECURSIVE {LINES},
+ev AS (SELECT *, CASE WHEN length(text) BETWEEN 3 AND 90 AND NOT regexp_matches(text, '[.,;]$') THEN 'flush' WHEN length(text) % 7 = 0 THEN 'table' ELSE 'para' END AS kind, len(string_split(text, ' ')) AS t FROM ln),
+se AS (SELECT *, last_value(CASE WHEN kind = 'flush' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS section,
+      coalesce(sum((kind <> 'para')::INT) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS k FROM ev),
+ps AS (SELECT doc_id, k, sum(t)::BIGINT AS t, count(*) AS n FROM se WHERE kind = 'para' GROUP BY ALL),
+st AS (SELECT doc_id, k, kind AS e, ord FROM se WHERE kind <> 'para'),
+ks AS (SELECT doc_id, k FROM st UNION SELECT doc_id, coalesce(max(k) FILTER (kind <> 'para') + 1, 0)::INT FROM se GROUP BY doc_id),
+rn AS (SELECT ks.doc_id, ks.k, coalesce(ps.t, 0) AS t, coalesce(ps.n, 0) AS n, st.e FROM ks LEFT JOIN ps USING (doc_id, k) LEFT JOIN st USING (doc_id, k)),
+fold AS (SELECT DISTINCT doc_id, -1 AS k, 0 AS chunks, 'none' AS last, NULL::INT AS hf, 0::BIGINT AS ht, 0::BIGINT AS hn, NULL::INT AS emit, NULL::INT AS efrom, NULL::INT AS tab FROM se
+      UNION ALL
+      SELECT doc_id, rk, chunks + (act = 'new')::INT + coalesce(e = 'table', false)::INT, CASE WHEN e = 'table' THEN 'table' WHEN act IN ('new', 'join') THEN 'narrative' ELSE last END,
+        CASE WHEN act = 'hold' THEN coalesce(hf, rk) END, CASE WHEN act = 'hold' THEN ht + t ELSE 0 END, CASE WHEN act = 'hold' THEN hn + n ELSE 0 END,
+        CASE act WHEN 'new' THEN chunks WHEN 'join' THEN chunks - 1 END, CASE WHEN act IN ('new', 'join') THEN coalesce(hf, rk) END, CASE WHEN e = 'table' THEN chunks + (act = 'new')::INT END
+      FROM (SELECT f.*, r.k AS rk, r.t, r.n, r.e, CASE WHEN f.hn + r.n = 0 THEN 'none' WHEN f.last = 'narrative' THEN CASE WHEN f.ht + r.t >= {LEAST} THEN 'new' ELSE 'join' END
+        WHEN f.ht + r.t >= {LEAST} OR r.e IS NULL THEN 'new' ELSE 'hold' END AS act FROM fold f JOIN rn r ON r.doc_id = f.doc_id AND r.k = f.k + 1)),
+nc AS (SELECT f.doc_id, f.emit AS chunk_index, 'narrative' AS chunk_type, min(p.ord)::INT AS page_start, max(p.ord)::INT AS page_end, arg_min(struct_pack(s := p.section), p.ord).s AS section,
+      string_agg(p.text, chr(10) || chr(10) ORDER BY p.ord) AS text, sum(p.t)::INT AS n_tokens FROM fold f JOIN se p ON p.doc_id = f.doc_id AND p.kind = 'para' AND p.k BETWEEN f.efrom AND f.k GROUP BY f.doc_id, f.emit),
+tc AS (SELECT f.doc_id, f.tab, 'table', p.ord::INT, p.ord::INT, p.section, p.text, p.t::INT FROM fold f JOIN se p ON p.doc_id = f.doc_id AND p.kind = 'table' AND p.k = f.k WHERE f.tab IS NOT NULL),
+al AS (SELECT * FROM nc UNION ALL SELECT * FROM tc)
+SELECT doc_id, chunk_index, chunk_type, page_start, page_end, section, CASE WHEN section IS NOT NULL THEN {_SECTION_ID} END AS section_id, text, n_tokens, printf('%s__p%04d__c%04d', doc_id::VARCHAR, page_start, chunk_index) AS chunk_id FROM al
+""")
+def flush_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with runs of any size as one group each, so that SQL can follow what joins, waits and is forced."""
+    return _flushed(spark, sf_dir, 1 << 30)
+
+
 @query(f"""
 WITH RECURSIVE {PACKED} SELECT chunk_id, lag(chunk_id) OVER w AS prev_chunk_id, lead(chunk_id) OVER w AS next_chunk_id FROM ch WINDOW w AS (PARTITION BY doc_name ORDER BY chunk_index)
 """)

@@ -20,4 +20,4 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-from marlstone.plans import corpus, retrieval, tabular  # noqa: E402, F401
+from marlstone.plans import corpus, flows, retrieval, tabular  # noqa: E402, F401

@@ -65,7 +65,7 @@ def fetch_documents(
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(status, pa.string()), pa.array(errors, pa.string())], names=["doc_name", "doc_link", "status", "error"])
 
     link = unwrap_url(F.col("doc_link"), *viewer) if viewer else F.col("doc_link")
-    dealt = jobs.select("doc_name", "doc_link", link.alias("to")).repartition(partitions, "doc_name")
+    dealt = jobs.select(F.col("doc_name").cast("string").alias("doc_name"), "doc_link", link.alias("to")).repartition(partitions, "doc_name")
     return dealt.mapInArrow(run, "doc_name string, doc_link string, status string, error string")
 
 
