@@ -31,7 +31,6 @@ where none has one. Empty tables give no rows. Only the id and text columns are
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import OrderedDict
 from functools import lru_cache, reduce
@@ -42,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import materialize, read_table
+from marlstone.llm.hashing import constants, mix, word_hashes, word_places
 
 WIDTH = 4
 #: Least similarity, in hundredths.
@@ -51,50 +51,11 @@ FAMILY, FAMILY_SHINGLES = 2048, 1 << 21
 #: Bytes of text hashed at once.
 CHUNK = 4 << 20
 CLASS_RATIO = 1.6
-#: Words of more bytes are hashed one by one.
-LONG_WORD = 64
 #: Between the seed of candidates and that of decisions.
 SECOND = 1_000_003
 #: Ways in which the members of a family are dealt where they meet facts about their family.
 SALTS = 16
-
 _U = np.uint64
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer (two rounds of multiply and shift)."""
-    x = x ^ (x >> _U(32))
-    x = x * _U(0xD6E8FEB86659FD93)
-    x = x ^ (x >> _U(32))
-    x = x * _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(32))
-
-
-@lru_cache(maxsize=8)
-def _constants(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 1 << 64, 8, dtype=_U) | _U(1)
-
-
-def _word_hashes(low: np.ndarray, starts: np.ndarray, lens: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """A hash of each word: its blocks of eight bytes, mixed one after the other. ``low`` ends with eight bytes to spare."""
-    blocks = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
-    h = _mix(lens.astype(_U) * c[5] + c[6])
-    todo = np.arange(len(starts)) if lens.max() <= LONG_WORD else np.flatnonzero(lens <= LONG_WORD)
-    k = 0
-    while len(todo):
-        rest = lens[todo] - k
-        cut = _U(8) * np.maximum(8 - rest, 0).astype(_U)
-        h[todo] = _mix(h[todo] * c[7] + (blocks[starts[todo] + k] & (~_U(0) >> cut)))
-        k += 8
-        todo = todo[rest > 8]
-    for i in np.flatnonzero(lens > LONG_WORD):
-        word = low[starts[i] : starts[i] + lens[i]].tobytes()
-        h[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=c[4:8].tobytes()).digest(), "little")
-    return h
 
 
 def shingle_sets(texts: list[bytes], seed: int = 0) -> list[np.ndarray]:
@@ -112,24 +73,20 @@ def shingle_sets(texts: list[bytes], seed: int = 0) -> list[np.ndarray]:
 
 
 def _shingle_sets(texts: list[bytes], seed: int) -> list[np.ndarray]:
-    c = _constants(seed)
-    low = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n" * 9, np.uint8)]
-    inside = ~_SPACE[low]
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
-    starts, ends = edge[::2], edge[1::2]
+    c = constants(seed)
+    low, starts, lens, at = word_places(texts)
     none = np.zeros(0, _U)
     if not len(starts):
         return [none] * len(texts)
-    word = _word_hashes(low, starts, ends - starts, c)
+    word = word_hashes(low, starts, lens, c)
     padded = np.concatenate([word, np.zeros(WIDTH - 1, _U)])
-    runs = _mix(reduce(np.add, (padded[k : k + len(word)] * c[k] for k in range(WIDTH))))
-    at = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
+    runs = mix(reduce(np.add, (padded[k : k + len(word)] * c[k] for k in range(WIDTH))))
     out = []
     for a, b in zip(at[:-1], at[1:]):
         if b - a >= WIDTH:
             out.append(np.unique(runs[a : b - WIDTH + 1]))
         elif b > a:
-            out.append(_mix((word[a:b] * c[: b - a]).sum(keepdims=True) + _U(b - a)))
+            out.append(mix((word[a:b] * c[: b - a]).sum(keepdims=True) + _U(b - a)))
         else:
             out.append(none)
     return out
@@ -191,17 +148,17 @@ def group_keys(u: np.ndarray, c: int, seed: int) -> np.ndarray:
     """Hashes of the contents of the groups; of empty ones only when they are so many that they could be all that agree."""
     _, most, m = size_classes()[c]
     counts = group_counts(u, c)
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(_mix(u + _constants(seed)[4]), dtype=_U)])
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(u + constants(seed)[4]), dtype=_U)])
     bounds = np.concatenate([[0], np.cumsum(counts)])
     content = sums[bounds[1:]] - sums[bounds[:-1]]
-    keys = _mix(content + _mix(np.arange(m, dtype=_U) + _U(c << 40)))
+    keys = mix(content + mix(np.arange(m, dtype=_U) + _U(c << 40)))
     empty = counts == 0
     return keys if empty.sum() >= m - most else keys[~empty]
 
 
 def digest(u: np.ndarray, seed: int) -> int:
-    c = _constants(seed)
-    return int(_mix(_mix(u + c[5]).sum(keepdims=True) + _U(len(u)))[0].astype(np.int64))
+    c = constants(seed)
+    return int(mix(mix(u + c[5]).sum(keepdims=True) + _U(len(u)))[0].astype(np.int64))
 
 
 def _texts(column) -> list[bytes]:

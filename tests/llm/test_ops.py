@@ -559,8 +559,8 @@ def test_repeated_windows_with_colliding_hashes(monkeypatch, spark, collide):
 # 8
 
 
-def test_maxent(spark, docs, rows):
-    got = maxent.score_documents(docs, epochs=6).collect()
+def test_maxent(spark, docs, rows, doc_dir):
+    got = maxent.score_documents(docs).collect()
     tok = lambda t: (t or "").encode().lower().split() + [b"\n"]
     held = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 7 == 2
     count = Counter(w for r in rows if not held(r.doc_id) for w in tok(r.text))
@@ -570,45 +570,65 @@ def test_maxent(spark, docs, rows):
         ws = tok(r.text)
         base = sum(math.log10((count[w] + 1) / (total + len(count) + 1)) for w in ws)
         want[(r.doc_id, held(r.doc_id), len(ws), sum(w in count for w in ws), total, round(base, 6))] += 1
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got)
-    none = maxent.score_documents(empty(spark), epochs=2)
-    assert none.count() == 0
+    base_of = lambda got: Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got)
+    assert base_of(got) == want and all(r.score < 0 for r in got)
+    again = maxent.op8_maxent(spark, doc_dir).collect()
+    assert base_of(again) == want and Counter(round(r.score, 4) for r in again) == Counter(round(r.score, 4) for r in got)
+    assert docs.where(maxent.held_out(F.col("doc_id"))).count() == sum(held(r.doc_id) for r in rows)
+    assert maxent.score_documents(empty(spark)).count() == 0
+    assert {r.n_known for r in maxent.score_documents(docs.where("doc_id is not null").where(maxent.held_out(F.col("doc_id")))).collect()} == {0}
 
 
-def test_maxent_is_a_distribution_that_learns(spark):
-    """The model's probabilities of all words after a history sum to one, and beat the unigrams on held-out texts."""
-    rng = random.Random(3)
-    langs = [[f"{rng.choice('abcdefgh')}{i}{end}" for i in range(30)] for end in ("ung", "cion", "ment")]
-    rows = [(i, " ".join(rng.choice(langs[i % 3]) for _ in range(40))) for i in range(300)]
+def _trained(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [r for r in maxent.score_documents(df).collect() if r.held_out]
-    assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.2 * sum(r.n_tokens for r in got)
-    vocabulary = sorted({w for r in rows for w in r[1].split()})
-    probe = spark.createDataFrame([(i, f"{w}") for i, w in enumerate(vocabulary)] + [(10_000, "")], "doc_id long, text string")
-    train = df.union(probe.where("doc_id < 0"))
-    blocks = train.select(F.lit(0).cast("long").alias("block"), "doc_id", "text")
-    counted = maxent.count_blocks(blocks).cache()
-    weights = maxent.train(counted.where("follows is not null").select("follows"), 4)
-    counts = counted.where("n_train > 0").select("word", F.col("n_train").alias("n"))
+    counted = maxent.count_blocks(maxent.dealt(df, 2)).cache()
+    counts = counted.where("n_train > 0").groupBy("word").agg(F.sum("n_train").alias("n")).cache()
     t = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    first_of = probe.select(F.lit(0).cast("long").alias("block"), "doc_id", "text")
-    known = counts.select(F.lit(0).cast("long").alias("block"), "word", "n")
-    scored = maxent.score(first_of, known, counts, weights, t[0], t[1]).collect()
-    # P(first word) = P(word, end) / P(end | word): here only the sum over first words of P(word) is held against one
-    log_p = maxent.log_softmax(weights)
-    total = 0.0
-    for r in scored:
-        if r.doc_id == 10_000:
-            total += 10**r.score
-            continue
-        ws = [vocabulary[r.doc_id].encode(), maxent.END]
-        c = [maxent.word_class(w) for w in ws]
-        h = maxent.histories(__import__("numpy").array(c))
-        end_mass = (counts.where(F.col("word") == maxent.END).first()["n"] + 1) / (t[0] + t[1] + 1)
-        end = log_p[h[1], c[1]] / math.log(10) + math.log10(1 - 1 / (t[0] + t[1] + 1)) + math.log10(end_mass) - math.log10(end_mass)
-        total += 10 ** (r.score - end)
-    assert total + 1 / (t[0] + t[1] + 1) < 1 + 1e-6 and total > 0.95
+    model = maxent.train(df, maxent.untrained(counts, t[0], t[1]), 1000)
+    return df, counted, counts, {bytes(r.word): r.n for r in counts.collect()}, model
+
+
+def plain_log_p(model, counts, history, word):
+    """log10 P(word | history) by the formula, for one word: no slices, no tables of a block."""
+    if word not in counts:
+        return math.log10(1 / (model.total + model.distinct + 1))
+    end = maxent.END
+    texts = b" ".join([*history, *([word] if word != end else [])])
+    h, tails, cells, first = maxent.text_tokens(model, [texts])
+    i = len(history)
+    f = maxent.histories(h, tails, first)[:, i]
+    mask = (1 << 32) - 1
+    top = lambda x: (x & mask) >> (32 - model.bits)
+    c, k = divmod(int(cells[i]), maxent.WAYS)
+    def share(bias, weights, used, y):
+        z = [float(bias[j]) + sum(float(weights[u][j]) for u in used) for j in range(maxent.WAYS)]
+        return z[y] - max(z) - math.log(sum(math.exp(x - max(z)) for x in z))
+    log_p = share(model.class_bias, model.class_weights, [top(int(x)) for x in f], c)
+    log_p += share(model.cell_bias[c], model.cell_weights, [top(((int(x) ^ (((c + 1) * 0x85EBCA6B) & mask)) * 0xC2B2AE35)) for x in f], k)
+    unknown = 1 / (model.total + model.distinct + 1)
+    return (log_p + math.log(1 - unknown) + math.log((counts[word] + 1) * unknown) - math.log(model.mass[cells[i]])) / math.log(10)
+
+
+def test_maxent_is_a_distribution_that_learns(spark):
+    """Scores equal the formula, the probabilities of all words after a history sum to one, and words that follow each
+    other are learnt: by the word before, by the pair, and over a gap."""
+    rng = random.Random(3)
+    after = {f"w{i}": [f"w{rng.randint(0, 99)}" for _ in range(3)] for i in range(100)}
+    def text(n=40):
+        ws = [f"w{rng.randint(0, 99)}"]
+        while len(ws) < n:
+            ws.append(rng.choice(after[ws[-1]]) if rng.random() < 0.9 else f"w{rng.randint(0, 99)}")
+        return " ".join(ws)
+    df, counted, counts, count, model = _trained(spark, [(i, text()) for i in range(600)] + [(9000, None), (9001, "new W1 words \t w2")])
+    vocabulary = counted.join(counts, "word", "left").select("block", "word", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    got = {r.doc_id: r for r in maxent.score(maxent.dealt(df, 2), vocabulary, model).collect()}
+    for r in df.where("doc_id < 20 or doc_id >= 9000").collect():
+        ws = maxent.tokens(r.text)
+        assert abs(got[r.doc_id].score - sum(plain_log_p(model, count, ws[:i], w) for i, w in enumerate(ws))) < 1e-3
+    for history in ([], [b"w5"], [b"w7", b"w9"], [b"unheard", b"w3"]):
+        assert abs(sum(10 ** plain_log_p(model, count, history, w) for w in [*count, b"never seen"]) - 1) < 1e-4
+    held = [r for r in got.values() if r.held_out and r.doc_id < 9000]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.2 * sum(r.n_tokens for r in held)
 
 
 # 9
