@@ -1,14 +1,18 @@
 """License scans as an exact set-similarity join of text blocks with license templates.
 
-A block is any run of as many consecutive words as the template has; it matches when it holds at least
-``THRESHOLD`` of the template's distinct words. The join is exact:
+Templates are the paragraphs of whole license texts (the files of ``license_texts``; of a paragraph of few words, together
+with the next) and statements that name a license. A block is a run of consecutive words; it matches a template of n
+words when it holds at least ``THRESHOLD`` of the template's distinct words and is no longer than ``n / THRESHOLD``, so words
+may have been put in or left out. The join is exact:
 
 * *order*: the template words are counted over all documents and ordered, rarest first;
-* *prefix filter*: a matching block holds one of the first ``|T| - ceil(t |T|) + 1`` words of its template;
+* *prefix filter*: a matching block holds one of the first ``|T| - ceil(t |T|) + 1`` words of its template; an inverted index
+  from these words to templates names the few that a document can match;
 * *length filter*: the document has as many words, and as many of the template's words, as are needed;
 * *positional filter*: with its rarest prefix word at place i of the order, a block can hold at most
   ``|T| - i`` of them, which must be enough; words are counted only in blocks around such places;
-* surviving blocks are counted exactly, by one sliding window.
+* surviving blocks are counted exactly, by one sliding window of the greatest length (what a shorter block holds, the
+  window around it holds too), and cut to the template words at their ends.
 
 Base: the places where the words of a phrase stand consecutively.
 
@@ -19,8 +23,11 @@ independent (repeated rows give repeated results). Only the id and text columns
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterable
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +38,12 @@ from marlstone.llm.common import read_table
 
 THRESHOLD = 0.85
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: License statements and opening sentences of license notices: label and text.
-TEMPLATES = (
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "You may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("gpl", "Licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"),
-    ("cc", "Licensed under CC BY-NC 4.0"),
-)
+#: Names of licenses, and the forms of statements that name one.
+NAMES = (("mit", "the MIT License"), ("apache", "the Apache License, Version 2.0"), ("gpl", "the GNU General Public License, version 3"), ("bsd", "the BSD 3-Clause License"), ("cc", "CC BY-NC 4.0"), ("cc", "CC BY-SA 4.0"))
+FORMS = ("Released under {}", "Licensed under {}")
+#: Words of a paragraph below which it is joined to the next.
+PARAGRAPH_WORDS = 12
+TEXTS = Path(__file__).parent / "license_texts"
 _SPLIT = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -50,6 +52,28 @@ def license_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_SPLIT).split()
 
 
+def paragraph_templates(text: str) -> list[str]:
+    """The paragraphs of a license text; short ones go with the next (the last with the one before)."""
+    out, held = [], ""
+    for part in re.split(r"\n[ \t]*\n", text):
+        held = f"{held}\n{part}".strip()
+        if len(license_words(held)) >= PARAGRAPH_WORDS:
+            out.append(held)
+            held = ""
+    if held and out:
+        out[-1] = f"{out[-1]}\n{held}"
+    return out or ([held] if held else [])
+
+
+@lru_cache(maxsize=1)
+def default_templates() -> tuple[tuple[str, str], ...]:
+    """Label and text of every template."""
+    found = [(label, form.format(name)) for label, name in NAMES for form in FORMS]
+    for path in sorted(TEXTS.glob("*.txt")):
+        found += [(path.stem.split("-")[0], t) for t in paragraph_templates(path.read_text(encoding="utf-8"))]
+    return tuple(found)
+
+
 def template_counts(docs: DataFrame, vocabulary: set[bytes], text_col: str = "text") -> dict[bytes, int]:
     """Occurrences of each template word in all documents; the result is as large as the templates."""
 
@@ -70,47 +94,69 @@ class Template:
     def __init__(self, label: str, text: str, counts: dict[bytes, int], threshold: float):
         ws = license_words(text)
         order = sorted(set(ws), key=lambda w: (counts.get(w, 0), w))
-        self.label, self.size, self.place = label, len(ws), {w: i for i, w in enumerate(order)}
+        self.label, self.place = label, {w: i for i, w in enumerate(order)}
         self.need = math.ceil(threshold * len(order) - 1e-9)
-        self.prefix = set(order[: len(order) - self.need + 1])
+        self.longest = math.floor(len(ws) / threshold + 1e-9)
+        self.prefix = order[: len(order) - self.need + 1]
 
     def best(self, ws: list[bytes], present: set[bytes]) -> tuple[float, list[tuple[int, int]]]:
         """Highest containment, and the matching blocks as merged word ranges."""
-        if len(ws) < self.need or self.prefix.isdisjoint(present) or len(present & self.place.keys()) < self.need:
+        if len(ws) < self.need or len(present & self.place.keys()) < self.need:
             return 0.0, []
         at = np.fromiter((self.place.get(w, -1) for w in ws), np.int64, len(ws))
-        n, k = len(self.place), min(self.size, len(ws))
+        n, k = len(self.place), min(self.longest, len(ws))
         starts = np.zeros(len(ws) + 1, np.int64)
         hits = np.flatnonzero((at >= 0) & (at <= n - self.need))  # a rarest word further on leaves too few
         np.add.at(starts, np.maximum(hits - k + 1, 0), 1)
         np.add.at(starts, np.minimum(hits, len(ws) - k) + 1, -1)
-        open_ = np.cumsum(starts)[: len(ws) - k + 1] > 0
-        inside, distinct, top, found = [0] * n, 0, 0, []
-        fresh = True
-        for i in np.flatnonzero(open_):
-            if fresh or i != last + 1:  # noqa: F821
+        open_ = np.flatnonzero(np.cumsum(starts)[: len(ws) - k + 1] > 0)
+        after, before = np.append(at, 0), np.append(0, at)
+        inside, distinct, top, found, last = [0] * n, 0, 0, [], -2
+        for i in open_.tolist():
+            if i != last + 1:
                 inside, distinct = [0] * n, 0
-                for x in at[i : i + k]:
+                for x in at[i : i + k].tolist():
                     if x >= 0:
                         distinct += inside[x] == 0
                         inside[x] += 1
             else:
-                x = at[i - 1]
+                x = before[i]
                 if x >= 0:
                     inside[x] -= 1
                     distinct -= inside[x] == 0
-                x = at[i + k - 1]
+                x = after[i + k - 1]
                 if x >= 0:
                     distinct += inside[x] == 0
                     inside[x] += 1
-            fresh, last = False, i
+            last = i
             if distinct >= self.need:
                 top = max(top, distinct)
                 if found and i <= found[-1][1]:
-                    found[-1] = (found[-1][0], int(i + k))
+                    found[-1] = (found[-1][0], i + k)
                 else:
-                    found.append((int(i), int(i + k)))
-        return top / n, found
+                    found.append((i, i + k))
+        known = np.flatnonzero(at >= 0)
+        cut = [(int(known[np.searchsorted(known, a)]), int(known[np.searchsorted(known, b) - 1]) + 1) for a, b in found]
+        return top / n if n else 0.0, cut
+
+
+class TemplateIndex:
+    """Templates by the words of their prefixes."""
+
+    def __init__(self, templates: Iterable[tuple[str, str]], counts: dict[bytes, int], threshold: float):
+        self.templates = [Template(label, t, counts, threshold) for label, t in templates]
+        self.of: dict[bytes, list[int]] = {}
+        for i, t in enumerate(self.templates):
+            for w in t.prefix:
+                self.of.setdefault(w, []).append(i)
+
+    def blocks(self, ws: list[bytes], present: set[bytes]) -> list[tuple[str, int, int, float]]:
+        """Label, start, end and containment of all matching blocks."""
+        found = []
+        for i in sorted({i for w in present & self.of.keys() for i in self.of[w]}):
+            top, spans = self.templates[i].best(ws, present)
+            found += [(self.templates[i].label, a, b, top) for a, b in spans]
+        return found
 
 
 def phrase_places(ws: list[bytes], phrases: list[tuple[list[bytes], str]]) -> list[tuple[int, str]]:
@@ -131,11 +177,12 @@ def phrase_places(ws: list[bytes], phrases: list[tuple[list[bytes], str]]) -> li
 def scan_licenses(
     docs: DataFrame, templates: Iterable[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """id, ``n_words``, ``places`` of phrases (word, label) and ``blocks`` that match (label, start, end, containment)."""
-    texts = list(templates or TEMPLATES)
-    listed = [(license_words(p), label) for p, label in (phrases or PHRASES).items()]
-    counts = template_counts(docs, {w for _, t in texts for w in license_words(t)}, text_col)
-    ready = [Template(label, t, counts, threshold) for label, t in texts]
+    """id, ``n_words``, ``places`` of phrases (word, label) and ``blocks`` that match (label, start, end, containment). No
+    templates (an empty list) find no blocks; None are the default ones."""
+    texts = default_templates() if templates is None else [(label, t) for label, t in templates if license_words(t)]
+    listed = [(license_words(p), label) for p, label in (PHRASES if phrases is None else phrases).items()]
+    vocabulary = {w for _, t in texts for w in license_words(t)}
+    ready = TemplateIndex(texts, template_counts(docs, vocabulary, text_col) if vocabulary else {}, threshold)
     firsts = {p[0] for p, _ in listed}
     places_t = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
     blocks_t = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("containment", pa.float64())]))
@@ -148,11 +195,7 @@ def scan_licenses(
                 present = set(ws)
                 n_words.append(len(ws))
                 places.append([{"word": i, "label": x} for i, x in phrase_places(ws, listed)] if not firsts.isdisjoint(present) else [])
-                found = []
-                for template in ready:
-                    top, spans = template.best(ws, present)
-                    found += [{"label": template.label, "start": a, "end": e, "containment": top} for a, e in spans]
-                blocks.append(found)
+                blocks.append([dict(zip(("label", "start", "end", "containment"), x)) for x in ready.blocks(ws, present)])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n_words, pa.int64()), pa.array(places, places_t), pa.array(blocks, blocks_t)], names=["key", "n_words", "places", "blocks"]
             )
