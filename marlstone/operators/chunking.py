@@ -172,7 +172,7 @@ def flush_chunks(docs: DataFrame, doc: str, events: str, config: ExtractionConfi
 
     kind = docs.schema[doc].dataType.simpleString()
     made = docs.select(doc, events).mapInArrow(run, f"{doc} {kind}, {_CHUNK}, error string")
-    named = made.withColumn("chunk_id", chunk_id(F.col(doc).cast("string"), F.col("page_start"), F.col("chunk_index")))
+    named = made.withColumn("chunk_id", F.when(F.col("error").isNull(), chunk_id(F.col(doc).cast("string"), F.col("page_start"), F.col("chunk_index"))))
     return named if errors else named.drop("error")
 
 

@@ -69,6 +69,26 @@ def test_contents_give_sections(spark):
     assert got == [(None, 0), ("Part A", 1), ("Part A", 2)]  # no flush where the contents change
 
 
+def test_whole_run(spark, tmp_path):
+    """Index, answers and report below one folder; a second run of answers is appended."""
+    from marlstone.operators.vectors import VectorStore
+
+    chunks = spark.createDataFrame([(f"c{i}", "d", i, i, t, "narrative") for i, t in enumerate(["red apples are sweet.", "green pears grow.", "blue plums"])], "chunk_id string, doc_name string, chunk_index int, page_start int, text string, chunk_type string")
+    chunks = chunks.withColumns({c: F.lit(None).cast("string") for c in ("doc_type", "company", "doc_period")})
+    asked = spark.createDataFrame([(i, "d", q, a, [(a,)]) for i, (q, a) in enumerate([("what grows", "green pears grow."), ("what is sweet", "red apples")])], "query_id int, doc_name string, question string, answer string, evidence array<struct<evidence_text:string>>")
+    path = str(tmp_path / "run")
+    means, samples = jobs.two_step(spark, chunks, asked, path, limit=2, k=2)
+    assert means.first().n_samples == 2 and means.first().token_f1 > 0 and means.first().total_inference_time_s >= 0
+    import json
+
+    told = json.load(open(f"{path}/report/report.json"))["aggregate"]
+    assert told["n_samples"] == 2 and spark.read.json(f"{path}/report/per_sample").count() == 2 and json.load(open(f"{path}/manifest.json"))["n_chunks"] == 3
+    index = VectorStore(spark, f"{path}/vectors").table()
+    assert jobs.answer_driver(asked, chunks, index, f"{path}/answers", 1).count() == 3
+    rate = jobs.encoding_rate(chunks)
+    assert rate["n_chunks"] == 3 and rate["chunks_per_s"] > 0 and rate["of"](6) > 0
+
+
 def test_shown(spark):
     hits = spark.createDataFrame([(1, 1, 0.123456, "d", 0, "a\n" + "b" * 300)], "query_id int, rank int, score double, doc_name string, page_start int, text string")
     r = jobs.shown(hits).first()

@@ -42,6 +42,69 @@ def test_flush(spark):
     assert [c[0] for c in _run(spark, [("table", 1), ("table", 1)])] == ["table", "table"]
 
 
+def plain_flush(events, config):
+    """Each group on its own, by the four rules: large enough, joined to narrative before it, held, forced."""
+    done, held, buffer = [], [], []
+
+    def close(end):
+        nonlocal held, buffer
+        units, buffer, pending = held + buffer, [], []
+        held = []
+        ranges = chunking.pack([len(p["text"].split()) for p in units], config.chunk_size, config.chunk_overlap)
+        for at, (s, e) in enumerate(ranges):
+            both = pending + units[s:e]
+            text = "\n\n".join(p["text"] for p in both)
+            if len(text.split()) >= config.min_chunk_tokens or (not (done and done[-1][0] == "narrative") and end and at == len(ranges) - 1):
+                done.append(["narrative", text, both[0]["page"], both[-1]["page"], units[s]["section"]])
+                pending = []
+            elif done and done[-1][0] == "narrative":
+                done[-1][1] += "\n\n" + text
+                done[-1][3] = both[-1]["page"]
+                pending = []
+            else:
+                pending = both
+        held = pending
+
+    for e in events:
+        if e["kind"] == "para":
+            buffer.append(e)
+        else:
+            close(False)
+            if e["kind"] == "table":
+                done.extend(["table", e["text"], e["page"], e["page"], e["section"]] for _ in range(e["n"]))
+    close(True)
+    return done
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["para", "para", "para", "flush", "table"]), st.integers(1, 14)), max_size=40), st.integers(5, 25), st.integers(0, 8), st.integers(1, 12))
+def test_flush_equals_plain_rules(kinds, size, overlap, least):
+    events = [{"kind": k, "page": i, "section": f"s{i}", "section_id": f"s{i}", "text": " ".join([f"w{i}"] * n), "n": n % 3} for i, (k, n) in enumerate(kinds)]
+    config = ExtractionConfig(chunk_size=size, chunk_overlap=overlap, min_chunk_tokens=least)
+    got = chunking.flush_events(events, config)
+    assert [[c["chunk_type"], c["text"], c["page_start"], c["page_end"], c["section"]] for c in got] == plain_flush(events, config)
+    assert all(c["n_tokens"] == len(c["text"].split()) for c in got)
+
+
+def test_flush_failures_stay_with_their_document(spark):
+    rows = [("good", [("para", 0, "s", "s", "a b", 1)]), ("bad", [("para", 0, "s", "s", None, 1)])]
+    df = spark.createDataFrame(rows, f"doc string, events array<{chunking.EVENT}>")
+    got = {r.doc: r for r in chunking.flush_chunks(df, "doc", "events", errors=True).collect()}
+    assert got["good"].error is None and got["good"].text == "a b" and "Error" in got["bad"].error and got["bad"].chunk_id is None
+
+
+def test_terms_as_whole_words(spark):
+    """Every kind of term against every text, as one regular expression each."""
+    import regex
+
+    texts = ["a/b costs", "net income (EBIT) and ebit", "Net-income, net  income", "über alles überall", "-- dashes --", "", None, "C++ and C", "x_y y"]
+    terms = ["a/b", "EBIT", "net income", "Net", "über", "--", "C++", "C", "x_y", "y", "income"]
+    t = spark.createDataFrame([(i, "d", x) for i, x in enumerate(texts)] + [(99, "other", "EBIT")], "i int, doc_name string, text string")
+    e = spark.createDataFrame([("d", k, x, f"def {x}") for k, x in enumerate(terms)] + [("d", 50, "EBIT", "later")], "doc_name string, ord int, term string, definition string")
+    got = {(r.i, r.term, r.definition) for r in glossary.match_terms(t, e, ["i"]).collect()}
+    assert got == {(i, x, f"def {x}") for i, text in enumerate(texts) for x in terms if text and regex.search(rf"\b{regex.escape(x)}\b", text)}
+
+
 def test_neighbours(spark):
     chunks = spark.createDataFrame([(f"c{i}", "d", i, "t") for i in range(4)], "chunk_id string, doc_name string, chunk_index int, text string")
 
@@ -147,6 +210,9 @@ def test_vector_search(spark, tmp_path):
     store.add(v)
     assert store.count() == 400
     store.add(v, overwrite=True)
+    store.upsert(v.where("id < 3").withColumn("doc_name", F.lit("new")).union(v.where("id = 3").withColumn("id", F.lit(900).cast("long"))))
+    assert store.count() == 201 and store.table().where("doc_name = 'new'").count() == 3
+    store.add(v, overwrite=True)
     assert store.count() == 200 and store.query(q, 2, where=F.col("doc_name") == "none").count() == 0
 
 
