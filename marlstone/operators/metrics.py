@@ -122,6 +122,8 @@ def per_sample(answers: DataFrame, stemmed: bool = True) -> DataFrame:
     """Metrics of answer records (``ground_truth, ground_truth_evidence, generated_answer, retrieved_passages``), rounded to four
     places; times that the records carry stay, with their sum."""
     answers = with_total_time(answers) if {"retrieval_time_s", "generation_time_s"} & set(answers.columns) else answers
+    if "question" in answers.columns:  # its head is enough for a report
+        answers = answers.withColumn("question", F.substring("question", 1, 120))
     gold, pred = F.coalesce("ground_truth", F.lit("")), F.coalesce("generated_answer", F.lit(""))
     passages = F.coalesce(F.transform("retrieved_passages", lambda p: F.coalesce(p["text"], F.lit(""))), F.array().cast("array<string>"))
     rows = answers.withColumn("_gold", gold).withColumn("_pred", pred)

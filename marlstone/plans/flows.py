@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from marlstone import schema
 from marlstone.config import ExtractionConfig, RetrievalConfig
 from marlstone.functions.text import count_tokens
-from marlstone.operators import answering, glossary, layout, metrics, retrieval, tables, vectors
+from marlstone.operators import ablation, answering, glossary, layout, metrics, retrieval, tables, vectors
 from marlstone.plans import jobs
 from marlstone.plans.inputs import LINES, PACKED, QA, chunk_texts, lines, qa_pairs, table
 from marlstone.plans.registry import query
@@ -318,6 +318,36 @@ def model_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.round(F.get("vector", F.lit(0)), 6).alias("x"), F.round(F.get("vector", F.lit(1)), 6).alias("y"))
 
 
+@query("SELECT count(*) AS n_queries, true AS enough FROM embeddings")
+def backend_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the approximate backend finds nine in ten of the exact hits."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    q = v.withColumnRenamed("id", "query_id")
+    found = ablation.recall_of(vectors.BACKENDS["ivf"](q, v, 5), vectors.BACKENDS["exact"](q, v, 5))
+    return found.agg(F.count(F.lit(1)).alias("n_queries"), (F.avg("recall") >= 0.9).alias("enough"))
+
+
+@query(f"""
+WITH {QA}, {_N} SELECT 'given' AS config, count(*) AS n_samples, round(avg(exact_match), 4) AS exact_match, round(avg(round(token_f1, 4)), 4) AS token_f1 FROM m
+UNION ALL SELECT 'gold', count(*), 1.0, round(avg(CASE WHEN ng > 0 THEN 1.0 ELSE 0.0 END), 4) FROM f
+""")
+def config_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of several configurations side by side; one that can't be planned is left out."""
+    pairs = qa_pairs(spark, sf_dir).select("qa_id", "question", "answer")
+
+    def samples(pred: str) -> DataFrame:
+        p, g = F.col(pred), F.col("answer")
+        return pairs.select("qa_id", metrics.exact_match(p, g).alias("exact_match"), F.round(metrics.token_f1(p, g), 4).alias("token_f1"))
+
+    class Broken:
+        def withColumn(self, *_):
+            raise RuntimeError("no such model")
+
+    reports, failed = ablation.compare({"given": samples("question"), "broken": Broken(), "gold": samples("answer")})
+    assert list(failed) == ["broken"]
+    return reports
+
+
 # answers
 
 
@@ -402,6 +432,13 @@ def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.aggregate_report(_samples(spark, sf_dir))
 
 
+@query(f"WITH {QA} SELECT qa_id, substr(question, 1, 120) AS question, answer AS generated_answer, CASE WHEN length(question) > 150 THEN substr(question, 1, 150) || '...' ELSE question END AS passage FROM qa")
+def shown_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers cut for reading."""
+    rows = qa_pairs(spark, sf_dir).select("qa_id", "question", F.col("answer").alias("generated_answer"), F.array(F.struct(F.col("question").alias("text"))).alias("retrieved_passages"))
+    return jobs.shown_answers(rows)
+
+
 @query(f"WITH {LINES} SELECT doc_id, count(*) AS n_lines, sum(len(string_split(text, ' ')))::BIGINT AS n_tokens, count_if(length(text) > 100)::BIGINT AS n_long FROM ln GROUP BY doc_id")
 def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by document."""

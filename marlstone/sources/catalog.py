@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.sources.tables import written
+
 DOWNLOAD_STATUS = ("downloaded", "skipped", "failed")
 EXTRACTION_STATUS = ("ok", "skipped", "failed", "source_missing", "likely_scanned_or_image")
 
@@ -57,5 +59,11 @@ def first_documents(chunks: DataFrame, n: int | None, doc: str = "doc_name") ->
 
 
 def with_order(df: DataFrame, by: list[str], to: str = "ord") -> DataFrame:
-    """An explicit ordinal within the whole table, by unique columns."""
-    return df.withColumn(to, F.row_number().over(Window.orderBy(*by)))
+    """An explicit ordinal (from 1) within the whole table, by unique columns: rows are sorted in ranges, and a row's place in
+    its range is moved by the rows of the ranges before, one number each."""
+    placed = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1) + 1
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    joined = placed.withColumn("_part", part).join(ranges.select("_part", "_before"), "_part")
+    return joined.withColumn(to, (F.col("_before") + place).cast("int")).drop("_id", "_part", "_before")
