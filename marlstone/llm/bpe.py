@@ -21,6 +21,7 @@ names of the id and text columns as parameters.
 from __future__ import annotations
 
 import codecs
+import hashlib
 import heapq
 import json
 import re
@@ -91,6 +92,7 @@ class MergeTable:
             c = of[self.bytes[a] + self.bytes[b]]
             self.pairs.setdefault((a, b), (rank, c))
             order.append((a, b, c))
+        self.names = [str(i) for i in range(size)]
         self.lookahead = self._sufficient_lookahead(order)
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
@@ -246,23 +248,39 @@ class Memo:
         return ids
 
 
-def encode_text(table: MergeTable, memo: Memo, text: str) -> list[int]:
-    """All ids of a text, through the streaming encoder."""
-    if table.specials is None:
-        return _encode_plain(table, memo, text)
-    out, at = [], 0
-    for m in table.specials.finditer(text):
-        out += _encode_plain(table, memo, text[at : m.start()])
-        out.append(table.special[m[0]])
+def id_blocks(table: MergeTable, memo: Memo, text: str) -> Iterator[list[int]]:
+    """The ids of a text in pieces, as the streaming encoder makes them stable."""
+    at = 0
+    for m in table.specials.finditer(text) if table.specials is not None else ():
+        yield from _plain_blocks(table, memo, text[at : m.start()])
+        yield [table.special[m[0]]]
         at = m.end()
-    return out + _encode_plain(table, memo, text[at:] if at else text)
+    yield from _plain_blocks(table, memo, text[at:] if at else text)
 
 
-def _encode_plain(table: MergeTable, memo: Memo, text: str) -> list[int]:
-    stream, out = Encoder(table, memo), []
+def _plain_blocks(table: MergeTable, memo: Memo, text: str) -> Iterator[list[int]]:
+    stream = Encoder(table, memo)
     for i in range(0, len(text), BLOCK_CHARS):
-        out += stream.feed(text[i : i + BLOCK_CHARS])
-    return out + stream.finish()
+        yield stream.feed(text[i : i + BLOCK_CHARS])
+    yield stream.finish()
+
+
+def encode_text(table: MergeTable, memo: Memo, text: str) -> list[int]:
+    """All ids of a text, through the streaming encoder."""
+    return [i for ids in id_blocks(table, memo, text) for i in ids]
+
+
+def digest_text(table: MergeTable, memo: Memo, text: str) -> tuple[int, str, str]:
+    """Number of ids, SHA-256 of the ids and of the text decoded from them, piece by piece: neither is ever held whole."""
+    n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+    state, known, names = codecs.getincrementaldecoder("utf-8")("replace"), table.bytes, table.names
+    for ids in id_blocks(table, memo, text):
+        if ids:
+            of_ids.update((("," if n else "") + ",".join([names[i] for i in ids])).encode())
+            of_text.update(state.decode(b"".join([known[i] for i in ids])).encode())
+            n += len(ids)
+    of_text.update(state.decode(b"", True).encode())
+    return n, of_ids.hexdigest(), of_text.hexdigest()
 
 
 def decode_blocks(table: MergeTable, ids: Iterable[int], block: int = 4096) -> Iterator[str]:
@@ -372,5 +390,23 @@ def digests(coded: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def bpe_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """id, ``n_tokens, ids_sha256, decoded_sha256`` of every text, encoded and decoded in one pass of constant memory."""
+    shared = df.sparkSession.sparkContext.broadcast(tokenizer_spec(path))
+
+    def run(batches):
+        table, memo = _loaded(shared.value)
+
+        def rows():
+            for b in batches:
+                for key, text in zip(b.column(0), b.column(1)):
+                    yield key.as_py(), *digest_text(table, memo, text.as_py() or "")
+
+        yield from _batches(rows(), ["key", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.int64(), pa.string(), pa.string()], lambda r: 160)
+
+    picked = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(run, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", id_col)
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(bpe_round_trip(read_table(spark, sf_dir, "documents")))
+    return bpe_digests(read_table(spark, sf_dir, "documents"))
