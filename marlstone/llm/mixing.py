@@ -6,8 +6,9 @@
 2. Blocks of ``block_words`` words are seats. Sources are parties, their targets the votes: seats go to
    the highest quotients ``target / (2k - 1)``. Only seats near the final divisor are ranked: with n
    parties the divisor lies between V/(B + n/2) and V/(B - n/2), which fixes all but about 3n seats.
-3. A source is cut into shards of about ``shard_docs`` documents by a seeded hash, and its seats are
-   apportioned to its shards by the same rule, so no window holds more than a shard's documents.
+3. A source is cut into shards of about ``shard_docs`` documents by a seeded hash of id and text (so that null and repeated
+   ids spread too), and its seats are apportioned to its shards by the same rule, so no window holds more than a shard's
+   documents. Sources themselves are ranked in one window: one row a source, and about three seats, are its bound.
 4. In a shard, documents stand on a line in seeded order. The quota takes whole passes over the line and
    then its first blocks; a document's take is its share of that.
 
@@ -95,7 +96,8 @@ def mix(
 ) -> DataFrame:
     """Per document: ``doc_id, size, source_size, target, taken``, and ``source, shard, seats`` of its shard."""
     sizes = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(text_col)).cast("long").alias("size")
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(text_col)).cast("long").alias("size"),
+        F.conv(F.substring(F.md5(F.coalesce(F.col(text_col), F.lit(""))), 1, 10), 16, 10).cast("long").alias("mark"),
     )
     sizes = materialize(sizes, "mix-sizes")
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
@@ -107,7 +109,7 @@ def mix(
     quotas = materialize(quotas, "mix-quotas")
 
     key = seeded(F.col("doc_id"), seed)
-    shard = F.pmod(F.shiftright(key, 20), F.ceil(F.col("docs") / shard_docs).cast("long"))
+    shard = F.pmod(F.shiftright(key, 20) + F.col("mark"), F.ceil(F.col("docs") / shard_docs).cast("long"))
     small = _small(quotas.select(F.col("source").alias("_source"), "rank", "docs", "source_size", "target", "source_seats"))
     placed = sizes.join(small, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("key", key).withColumn("shard", shard)
 
@@ -146,7 +148,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Targets by repeated sharing, seats by listing every quotient: a plainer form of the same rules.
 MIXED_SQL = rf"""
 z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-      ('0x' || substr(md5('{SEED}:' || doc_id::VARCHAR), 1, 15))::BIGINT AS key FROM documents),
+      ('0x' || substr(md5('{SEED}:' || doc_id::VARCHAR), 1, 15))::BIGINT AS key,
+      ('0x' || substr(md5(coalesce(text, '')), 1, 10))::BIGINT AS mark FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs,
       row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM z GROUP BY source),
 wt AS (SELECT *, ((rank - 1) % {len(WEIGHTS)} + 1)::DOUBLE AS weight, {MAX_REPEATS}.0::DOUBLE * source_size AS cap FROM src),
@@ -159,7 +162,7 @@ q AS (SELECT rank, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, rank,
       (SELECT rank, target, unnest(range(1, (target / {BLOCK_WORDS})::BIGINT + 50)) AS k FROM tg WHERE target > 0)),
 ss AS (SELECT q.rank, count(*) AS source_seats FROM q, b WHERE place <= blocks GROUP BY q.rank),
 p AS (SELECT z.*, tg.rank, source_size, target, coalesce(source_seats, 0) AS source_seats,
-      (key >> 20) % ceil(docs / {SHARD_DOCS}.0)::BIGINT AS shard FROM z JOIN tg ON z.source IS NOT DISTINCT FROM tg.source LEFT JOIN ss ON tg.rank = ss.rank),
+      ((key >> 20) + mark) % ceil(docs / {SHARD_DOCS}.0)::BIGINT AS shard FROM z JOIN tg ON z.source IS NOT DISTINCT FROM tg.source LEFT JOIN ss ON tg.rank = ss.rank),
 sh AS (SELECT rank, shard, source_seats, sum(size) AS shard_size FROM p GROUP BY ALL),
 sq AS (SELECT rank, shard, source_seats, row_number() OVER (PARTITION BY rank ORDER BY shard_size / (2 * k - 1) DESC, shard, k) AS place FROM
       (SELECT *, unnest(range(1, (3 * shard_size / {BLOCK_WORDS})::BIGINT + 50)) AS k FROM sh WHERE shard_size > 0)),
