@@ -72,6 +72,18 @@ def test_bpe_equals_library(monkeypatch, library, block, run):
         assert "".join(bpe.decode_blocks(table, ids, 3)) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_digests_in_pieces(monkeypatch, library):
+    """Digests of the stream equal those of whole ids and texts, also where a piece ends inside a character."""
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 5)
+    monkeypatch.setattr(bpe, "LONG_RUN", 8)
+    table = bpe.MergeTable(bpe.tokenizer_spec())
+    memo, rng = bpe.Memo(table, 50), random.Random(6)
+    for _ in range(400):
+        text = "".join(rng.choice(PIECES) * rng.choice([1, 1, 20]) for _ in range(rng.randint(0, 30)))
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert bpe.digest_text(table, memo, text) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+
+
 def test_bpe_long_runs_and_lookahead(library):
     table = bpe.MergeTable(bpe.tokenizer_spec())
     assert 16 <= table.lookahead <= 4096
@@ -85,13 +97,14 @@ def test_bpe_long_runs_and_lookahead(library):
         assert most <= 4 * table.lookahead + bpe.LONG_RUN + 2000
 
 
-def test_bpe_operator(spark, docs, rows, library):
+def test_bpe_operator(spark, docs, rows, library, doc_dir):
     got = bpe.digests(bpe.bpe_round_trip(docs)).collect()
     want = Counter()
     for r in rows:
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         want[(r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))] += 1
     assert Counter(tuple(g) for g in got) == want
+    assert Counter(tuple(g) for g in bpe.op1_bpe(spark, doc_dir).collect()) == want
     coded = bpe.bpe_encode(docs)
     assert {(r.doc_id, r.decoded) for r in bpe.bpe_decode(coded).collect()} == {(r.doc_id, r.text or "") for r in rows}
     assert bpe.bpe_round_trip(empty(spark)).count() == 0
@@ -374,6 +387,8 @@ def test_mixing(spark, docs, rows):
     for s, (taken, target, total, source_size) in by.items():
         assert total == source_size and abs(target - want[s]) < 1e-6
         assert abs(taken - target) <= max(8, 0.01 * target)
+    one_id = spark.createDataFrame([(None, f"a b {i}", "s") for i in range(3000)], "doc_id long, text string, source string")
+    assert max(r["count"] for r in mixing.mix(one_id, shard_docs=100).groupBy("shard").count().collect()) < 300
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mix(docs.where("text is null or text = ''")).where("taken > 0").count() == 0
 
 
