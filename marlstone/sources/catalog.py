@@ -12,9 +12,9 @@ EXTRACTION_STATUS = ("ok", "skipped", "failed", "source_missing", "likely_scanne
 
 
 def download_list(catalog: DataFrame, order: str) -> DataFrame:
-    """``doc_name, doc_link`` of records that have both; of one name the last link wins."""
+    """``doc_name, doc_link`` of records that have both, by name; of one name the last link wins."""
     named = catalog.where((F.coalesce("doc_name", F.lit("")) != "") & (F.coalesce("doc_link", F.lit("")) != ""))
-    return named.groupBy("doc_name").agg(F.max_by("doc_link", order).alias("doc_link"))
+    return named.groupBy("doc_name").agg(F.max_by("doc_link", order).alias("doc_link")).orderBy("doc_name")
 
 
 def last_records(catalog: DataFrame, order: str) -> DataFrame:
