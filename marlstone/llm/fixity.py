@@ -176,7 +176,7 @@ def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     status = F.when(F.col("side") == "both", "intact").when(F.col("side") == "left", F.when(F.col("paired"), "changed").otherwise("missing")).when(~F.col("paired"), "surplus")
     found = materialize(found.withColumn("status", status).where(F.col("status").isNotNull() & ((F.col("status") != "intact") | F.col("moved"))), "found")
     marks = found.where("side <> 'right'").select(*[F.col(c).alias(f"_{c}") for c in key], "status", F.coalesce("moved", F.lit(False)).alias("moved"))
-    own = left.join(marks, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left").select(*RECORD, F.coalesce("status", F.lit("intact")).alias("status"), F.coalesce("moved", F.lit(False)).alias("moved"))
+    own = left.join(marks.hint("merge"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left").select(*RECORD, F.coalesce("status", F.lit("intact")).alias("status"), F.coalesce("moved", F.lit(False)).alias("moved"))
     return own.unionByName(found.where("status = 'surplus'").select(*RECORD, "status", F.lit(False).alias("moved")))
 
 
