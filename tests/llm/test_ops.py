@@ -874,3 +874,41 @@ def test_license_blocks_are_all_found():
         inside = {w for _, a, b, _ in found for w in range(a, b)}
         ends = lambda i, j: ws[i] != b"o" and ws[j - 1] != b"o"
         assert all(set(range(i, j)) <= inside for (i, j), n in hold.items() if n >= template.need and ends(i, j))
+
+
+# all
+
+
+def test_very_long_text(spark, library):
+    """A text of 200,000 words beside a null and an empty one."""
+    ws = [f"w{i % 5000}" for i in range(200_000)]
+    ws[1000:1003] = ["Released", "under", "the"]
+    text = " ".join(ws[:100_000]) + "\n" + " ".join(ws[100_000:]) + "\ndb_password = 'aB3x9Kq!7zz'"
+    df = spark.createDataFrame([(1, text, "s"), (2, None, "s"), (3, "", None)], "doc_id long, text string, source string")
+    n = len(text.split())
+    assert {r.doc_id: r.size for r in mixing.mix(df).collect()} == {1: n, 2: 0, 3: 0}
+    grams = Counter(zip(text.split(), text.split()[1:], text.split()[2:]))
+    covered = {j for i in range(n - 2) if grams[tuple(text.split()[i : i + 3])] > 1 for j in (i, i + 1, i + 2)} if n < 10 else None
+    q = {r.doc_id: r for r in quality.quality_rules(df).collect()}
+    assert q[1].n_words == n and 195_000 < q[1].n_repeat_words < n and covered is None and not q[1].kept and q[2].n_words == 0
+    assert {r.doc_id: r.n_shingles for r in ngram_join.similar_components(df).collect()} == {1: len(set(zip(text.split(), text.split()[1:], text.split()[2:], text.split()[3:]))), 2: 0, 3: 0}
+    scored = {r.doc_id: r for r in maxent.score_documents(df).collect()}
+    assert scored[1].n_tokens == n + 1 and scored[1].score < 0 and math.isfinite(scored[1].score)
+    assert {r.doc_id: r.n_words for r in licenses.scan_licenses(df).collect()} == {1: len(licenses.license_words(text)), 2: 0, 3: 0}
+    assert [text[f.start : f.end] for r in secrets.scan_secrets(df).collect() for f in r.findings] == ["aB3x9Kq!7zz"]
+    assert {r.doc_id: r.n_tokens for r in bpe.bpe_digests(df).collect()} == {1: len(library.encode(text, add_special_tokens=False).ids), 2: 0, 3: 0}
+
+
+def test_empty_tables_and_clashing_names(spark, tmp_path):
+    empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    clash = {"key": 1, "v": 2, "cb": 3, "qb": 4, "least": 5, "file": 6, "part": 7, "slot": 8, "position": 9, "record": 10, "score": 11}
+    named = lambda df: df.withColumns({k: F.lit(x) for k, x in clash.items()})
+    vectors = spark.createDataFrame([(0, [1.0, 2.0]), (7, [3.0, 1.0]), (7, [3.0, 1.0])], "vec_id long, embedding array<double>")
+    named(vectors).write.parquet(str(tmp_path / "embeddings.parquet"))
+    pages = spark.createDataFrame([(i, f"u{i}", "<p>") for i in range(600)], "page_id long, url string, html string")
+    named(pages).write.parquet(str(tmp_path / "pages.parquet"))
+    for name in ("op1_bpe", "op2_sharding", "op3_ngram_join", "op4_mixing", "op7_quality", "op8_maxent", "op9_secrets", "op10_licenses"):
+        assert QUERIES[name](spark, str(tmp_path)).count() == 0, name
+    assert [(r.query_id, r.rank, r.vec_id) for r in topk.op5_topk(spark, str(tmp_path)).orderBy("rank").collect()] == [(0, 1, 7), (0, 2, 7)]
+    status = Counter(r.status for r in fixity.op6_fixity(spark, str(tmp_path)).collect())
+    assert status["missing"] == 2 and status["surplus"] == 2 and status["changed"] == 7
