@@ -47,7 +47,7 @@ WIDTH = 4
 #: Least similarity, in hundredths.
 PERCENT = 85
 #: Members, and shingles, of a family that one tree holds.
-FAMILY, FAMILY_SHINGLES = 2048, 1 << 21
+FAMILY, FAMILY_SHINGLES = 1024, 1 << 20
 #: Bytes of text hashed at once.
 CHUNK = 4 << 20
 CLASS_RATIO = 1.6
