@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe, fixity, licenses, maxent, mixing, ngram_join, quality, secrets, sharding, topk
+from marlstone.llm import bpe, chat, fixity, licenses, maxent, mixing, ngram_join, popcount, quality, secrets, sharding, topk, vector_codes
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_maxent": maxent.op8_maxent,
     "op9_secrets": secrets.op9_secrets,
     "op10_licenses": licenses.op10_licenses,
+    "op11_chat": chat.op11_chat,
+    "op12_popcount": popcount.op12_popcount,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLE = {
@@ -23,4 +26,7 @@ ORACLE = {
     "op5_topk": topk.ORACLE_SQL,
     "op6_fixity": fixity.ORACLE_SQL,
     "op7_quality": quality.ORACLE_SQL,
+    "op11_chat": chat.ORACLE_SQL,
+    "op12_popcount": popcount.ORACLE_SQL,
+    "op13_vector_codes": vector_codes.ORACLE_SQL,
 }
