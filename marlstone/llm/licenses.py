@@ -1,23 +1,27 @@
 """License scans as an exact set-similarity join of text blocks with license templates.
 
 Templates are the paragraphs of whole license texts (the files of ``license_texts``; of a paragraph of few words, together
-with the next) and statements that name a license. A block is a run of consecutive words; it matches a template of n
-words when it holds at least ``THRESHOLD`` of the template's distinct words and is no longer than ``n / THRESHOLD``, so words
-may have been put in or left out. The join is exact:
+with the next) and statements that name a license. A block is a run of consecutive words; it matches a template when it
+holds at least ``THRESHOLD`` of the template's distinct words, however many other words stand between them. The join is exact:
 
 * *order*: the template words are counted over all documents and ordered, rarest first;
 * *prefix filter*: a matching block holds one of the first ``|T| - ceil(t |T|) + 1`` words of its template; an inverted index
   from these words to templates names the few that a document can match;
 * *length filter*: the document has as many words, and as many of the template's words, as are needed;
-* *positional filter*: with its rarest prefix word at place i of the order, a block can hold at most
-  ``|T| - i`` of them, which must be enough; words are counted only in blocks around such places;
-* surviving blocks are counted exactly, by one sliding window of the greatest length (what a shorter block holds, the
-  window around it holds too), and cut to the template words at their ends.
+* *positional filter*: with its rarest prefix word at place i of the order, a document can hold at most
+  ``|T| - i`` of them, which must be enough;
+* in what survives, one pass over the places of the template's words gives all *least* blocks (that lose the match with their first
+  or last word): a block matches when it holds a least one. Those that overlap are given as one block.
+
+A block of any length is found, so the words of a short statement may stand far apart in a long text. ``closeness`` tells: the
+containment of its best least block, times the template's length by the block's where that is longer. ``stretch`` bounds the
+length of least blocks, as a multiple of the template's, for who wants dense ones only.
 
 Base: the places where the words of a phrase stand consecutively.
 
-Defined results: null and empty texts have no words, null places, empty labels and score 0. Rows are
-independent (repeated rows give repeated results). Only the id and text columns are read.
+Defined results: null and empty texts have no words, null places, empty labels and score 0. Texts are read whole, however
+long. Of equally frequent words the smaller is the rarer. Rows are independent (repeated rows give repeated results, null ids
+stay). Only the id and text columns are read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -91,72 +95,66 @@ def template_counts(docs: DataFrame, vocabulary: set[bytes], text_col: str = "te
 class Template:
     """A template's words in the global order, and what its filters need."""
 
-    def __init__(self, label: str, text: str, counts: dict[bytes, int], threshold: float):
+    def __init__(self, label: str, text: str, counts: dict[bytes, int], threshold: float, stretch: float | None = None):
         ws = license_words(text)
         order = sorted(set(ws), key=lambda w: (counts.get(w, 0), w))
-        self.label, self.place = label, {w: i for i, w in enumerate(order)}
+        self.label, self.words, self.place = label, len(ws), {w: i for i, w in enumerate(order)}
         self.need = math.ceil(threshold * len(order) - 1e-9)
-        self.longest = math.floor(len(ws) / threshold + 1e-9)
+        self.longest = None if stretch is None else math.floor(stretch * len(ws) + 1e-9)
         self.prefix = order[: len(order) - self.need + 1]
 
-    def best(self, ws: list[bytes], present: set[bytes]) -> tuple[float, list[tuple[int, int]]]:
-        """Highest containment, and the matching blocks as merged word ranges."""
-        if len(ws) < self.need or len(present & self.place.keys()) < self.need:
-            return 0.0, []
-        at = np.fromiter((self.place.get(w, -1) for w in ws), np.int64, len(ws))
-        n, k = len(self.place), min(self.longest, len(ws))
-        starts = np.zeros(len(ws) + 1, np.int64)
-        hits = np.flatnonzero((at >= 0) & (at <= n - self.need))  # a rarest word further on leaves too few
-        np.add.at(starts, np.maximum(hits - k + 1, 0), 1)
-        np.add.at(starts, np.minimum(hits, len(ws) - k) + 1, -1)
-        open_ = np.flatnonzero(np.cumsum(starts)[: len(ws) - k + 1] > 0)
-        after, before = np.append(at, 0), np.append(0, at)
-        inside, distinct, top, found, last = [0] * n, 0, 0, [], -2
-        for i in open_.tolist():
-            if i != last + 1:
-                inside, distinct = [0] * n, 0
-                for x in at[i : i + k].tolist():
-                    if x >= 0:
-                        distinct += inside[x] == 0
-                        inside[x] += 1
+    def least_blocks(self, at: np.ndarray, which: np.ndarray) -> list[tuple[int, int]]:
+        """Blocks that hold enough words, and don't without their first or last, in order; from the places of template words and
+        their numbers."""
+        inside, distinct, left, out = [0] * len(self.place), 0, 0, []
+        for right, x in enumerate(which.tolist()):
+            distinct += inside[x] == 0
+            inside[x] += 1
+            while distinct > self.need or (distinct == self.need and inside[which[left]] > 1):
+                inside[which[left]] -= 1
+                distinct -= inside[which[left]] == 0
+                left += 1
+            if distinct == self.need and inside[x] == 1:
+                a, b = int(at[left]), int(at[right]) + 1
+                if self.longest is None or b - a <= self.longest:
+                    out.append((a, b))
+        return out
+
+    def matches(self, ws: list[bytes], present: set[bytes]) -> list[tuple[int, int, float, float]]:
+        """Start, end, containment and closeness of the blocks."""
+        held = present & self.place.keys()
+        rarest = min(map(self.place.__getitem__, held), default=0)
+        if len(ws) < self.need or len(held) < self.need or len(self.place) - rarest < self.need:
+            return []
+        number = np.fromiter((self.place.get(w, -1) for w in ws), np.int64, len(ws))
+        known = np.flatnonzero(number >= 0)
+        out: list[list] = []
+        for a, b in self.least_blocks(known, number[known]):
+            near = self.need * self.words / max(self.words, b - a)
+            if out and a < out[-1][1]:
+                out[-1][1:] = [b, max(out[-1][2], near)]
             else:
-                x = before[i]
-                if x >= 0:
-                    inside[x] -= 1
-                    distinct -= inside[x] == 0
-                x = after[i + k - 1]
-                if x >= 0:
-                    distinct += inside[x] == 0
-                    inside[x] += 1
-            last = i
-            if distinct >= self.need:
-                top = max(top, distinct)
-                if found and i <= found[-1][1]:
-                    found[-1] = (found[-1][0], i + k)
-                else:
-                    found.append((i, i + k))
-        known = np.flatnonzero(at >= 0)
-        cut = [(int(known[np.searchsorted(known, a)]), int(known[np.searchsorted(known, b) - 1]) + 1) for a, b in found]
-        return top / n if n else 0.0, cut
+                out.append([a, b, near])
+        n = len(self.place)
+        spans = np.searchsorted(known, [x[:2] for x in out]).tolist()
+        shares = [len(np.unique(number[known[i:j]])) / n for i, j in spans]
+        return [(a, b, share, min(share, near / n)) for (a, b, near), share in zip(out, shares)]
 
 
 class TemplateIndex:
     """Templates by the words of their prefixes."""
 
-    def __init__(self, templates: Iterable[tuple[str, str]], counts: dict[bytes, int], threshold: float):
-        self.templates = [Template(label, t, counts, threshold) for label, t in templates]
+    def __init__(self, templates: Iterable[tuple[str, str]], counts: dict[bytes, int], threshold: float, stretch: float | None = None):
+        self.templates = [Template(label, t, counts, threshold, stretch) for label, t in templates]
         self.of: dict[bytes, list[int]] = {}
         for i, t in enumerate(self.templates):
             for w in t.prefix:
                 self.of.setdefault(w, []).append(i)
 
-    def blocks(self, ws: list[bytes], present: set[bytes]) -> list[tuple[str, int, int, float]]:
-        """Label, start, end and containment of all matching blocks."""
-        found = []
-        for i in sorted({i for w in present & self.of.keys() for i in self.of[w]}):
-            top, spans = self.templates[i].best(ws, present)
-            found += [(self.templates[i].label, a, b, top) for a, b in spans]
-        return found
+    def blocks(self, ws: list[bytes], present: set[bytes]) -> list[tuple[str, int, int, float, float]]:
+        """Label, start, end, containment and closeness of all matching blocks."""
+        some = sorted({i for w in present & self.of.keys() for i in self.of[w]})
+        return [(self.templates[i].label, *x) for i in some for x in self.templates[i].matches(ws, present)]
 
 
 def phrase_places(ws: list[bytes], phrases: list[tuple[list[bytes], str]]) -> list[tuple[int, str]]:
@@ -175,17 +173,18 @@ def phrase_places(ws: list[bytes], phrases: list[tuple[list[bytes], str]]) -> li
 
 
 def scan_licenses(
-    docs: DataFrame, templates: Iterable[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """id, ``n_words``, ``places`` of phrases (word, label) and ``blocks`` that match (label, start, end, containment). No
+    docs: DataFrame, templates: Iterable[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
+    stretch: float | None = None,
+) -> DataFrame:
+    """id, ``n_words``, ``places`` of phrases (word, label) and ``blocks`` that match (label, start, end, containment, closeness). No
     templates (an empty list) find no blocks; None are the default ones."""
     texts = default_templates() if templates is None else [(label, t) for label, t in templates if license_words(t)]
     listed = [(license_words(p), label) for p, label in (PHRASES if phrases is None else phrases).items()]
     vocabulary = {w for _, t in texts for w in license_words(t)}
-    ready = TemplateIndex(texts, template_counts(docs, vocabulary, text_col) if vocabulary else {}, threshold)
+    ready = TemplateIndex(texts, template_counts(docs, vocabulary, text_col) if vocabulary else {}, threshold, stretch)
     firsts = {p[0] for p, _ in listed}
     places_t = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
-    blocks_t = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("containment", pa.float64())]))
+    blocks_t = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("containment", pa.float64()), ("closeness", pa.float64())]))
 
     def run(batches):
         for b in batches:
@@ -195,12 +194,12 @@ def scan_licenses(
                 present = set(ws)
                 n_words.append(len(ws))
                 places.append([{"word": i, "label": x} for i, x in phrase_places(ws, listed)] if not firsts.isdisjoint(present) else [])
-                blocks.append([dict(zip(("label", "start", "end", "containment"), x)) for x in ready.blocks(ws, present)])
+                blocks.append([dict(zip(("label", "start", "end", "containment", "closeness"), x)) for x in ready.blocks(ws, present)])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n_words, pa.int64()), pa.array(places, places_t), pa.array(blocks, blocks_t)], names=["key", "n_words", "places", "blocks"]
             )
 
-    schema = "key long, n_words long, places array<struct<word:long,label:string>>, blocks array<struct<label:string,start:long,end:long,containment:double>>"
+    schema = "key long, n_words long, places array<struct<word:long,label:string>>, blocks array<struct<label:string,start:long,end:long,containment:double,closeness:double>>"
     picked = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, schema).withColumnRenamed("key", id_col)
 
@@ -219,5 +218,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(at).alias("last_word"),
         joined(base).alias("base_labels"),
         joined(every).alias("labels"),
-        F.coalesce(F.array_max(F.transform("blocks", lambda x: x["containment"])), F.lit(0.0)).alias("score"),
+        F.coalesce(F.array_max(F.transform("blocks", lambda x: x["closeness"])), F.lit(0.0)).alias("score"),
     )
