@@ -2,15 +2,17 @@
 
 Lines are normalised (lower-cased, white space collapsed, ends trimmed) and hashed; the distinct
 documents (ids) that hold a line are counted per host. A line above the limits
-(``documents > max(min_docs, min(max_share * documents of the host, max_docs))``) is boilerplate;
+(``documents > max(min_docs, max_share * documents of the host)``) is boilerplate, on hosts of any size;
 ``quality_filter`` removes it from the texts that it returns. A document is depleted when less than
-``min_left`` of its words stay, and is rejected. The rules judge the text as it came.
+``min_left`` of its words stay, and is rejected. The rules judge the text as it came. A caller may set ``max_docs``, a number of
+documents beyond which a line is boilerplate whatever its share; by default, in the query and the pipeline alike, there
+is none.
 
-``max_docs`` holds on large hosts, where a share alone would let any line pass; None is no such limit, as
-in the SQL of ``op7_quality``. Up to ``BROADCAST_LINES`` frequent lines in all (8 bytes each) are broadcast, as one
+Up to ``BROADCAST_LINES`` frequent lines in all (8 bytes each) are broadcast, as one
 array per host; beyond it the line hashes are joined, and each document gets the array of those that it holds.
 
-Defined results: a null or blank text has no words, fails the base rules and is not kept. A null host is
+Defined results: a null or blank text has no words, fails the base rules and is not kept. Texts are judged whole, however long
+they are. A line that is exactly at a limit stays (ties are no excess). A null host is
 a host of its own. Rows of one id are judged one by one, and count as one document of their host; rows without an id
 count one by one. Empty tables give no rows.
 Other columns of the input, whatever their names, pass through ``quality_filter`` unchanged, but for the
@@ -27,8 +29,6 @@ from marlstone.llm.common import WS_CHARS, WS_CLASS, materialize, read_table, wo
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_SHARE, MIN_DOCS, MIN_LEFT = 0.1, 5, 0.5
-#: Documents of a host beyond which a line is boilerplate whatever its share.
-MAX_DOCS = 1_000
 #: Frequent lines, and hosts, up to which they are broadcast (8 bytes a line).
 BROADCAST_LINES, BROADCAST_HOSTS = 1 << 20, 10_000
 
@@ -178,7 +178,7 @@ def quality_filter(
     min_left: float = MIN_LEFT,
     host: str = "source",
     text: str = "text",
-    max_docs: int | None = MAX_DOCS,
+    max_docs: int | None = None,
     length_col: str | None = "n_chars",
     id_col: str | None = "doc_id",
 ) -> DataFrame:
