@@ -15,8 +15,8 @@
 Defined results: null and blank texts have size 0 and are taken 0 times. A null source is a source of its
 own, and a null id hashes like an empty one. Ties in the seeded order go to the smaller id; repeated rows are separate documents of equal place
 (their order does not change the sum). An empty table gives no rows. Only the columns named by the
-parameters are read, so others can't clash; ``mixed_documents`` returns all columns. A repeated id's rows
-are taken equally often.
+parameters are read, so others can't clash; ``mixed_documents`` returns all columns, and takes every row by a number of its
+own, so that null and repeated ids keep their sources' targets.
 """
 
 from __future__ import annotations
@@ -24,15 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialize, read_table, words
+from marlstone.llm.common import materialize, numbered, read_table, small, words
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 BLOCK_WORDS = 4
 SHARD_DOCS = 2048
 SEED = "mix-1"
-#: Sources or shards up to which their table is broadcast; beyond it the join is left to Spark.
-BROADCAST_ROWS = 20_000
 
 
 def seeded(key: Column, salt: str) -> Column:
@@ -40,10 +38,6 @@ def seeded(key: Column, salt: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(salt + ":"), F.coalesce(key.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """``source, source_size`` with ``rank, weight, target`` added; one row a source, so one window is enough."""
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -93,9 +87,13 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
+    row_col: str | None = None,
 ) -> DataFrame:
-    """Per document: ``doc_id, size, source_size, target, taken``, and ``source, shard, seats`` of its shard."""
+    """Per document: ``doc_id, size, source_size, target, taken``, and ``source, shard, seats`` of its shard, and ``row`` if there is a
+    column that numbers the rows."""
+    row = [] if row_col is None else [F.col(row_col).alias("row")]
     sizes = docs.select(
+        *row,
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(text_col)).cast("long").alias("size"),
         F.conv(F.substring(F.md5(F.coalesce(F.col(text_col), F.lit(""))), 1, 10), 16, 10).cast("long").alias("mark"),
     )
@@ -110,15 +108,15 @@ def mix(
 
     key = seeded(F.col("doc_id"), seed)
     shard = F.pmod(F.shiftright(key, 20) + F.col("mark"), F.ceil(F.col("docs") / shard_docs).cast("long"))
-    small = _small(quotas.select(F.col("source").alias("_source"), "rank", "docs", "source_size", "target", "source_seats"))
-    placed = sizes.join(small, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("key", key).withColumn("shard", shard)
+    per_rank = small(quotas.select(F.col("source").alias("_source"), "rank", "docs", "source_size", "target", "source_seats"))
+    placed = sizes.join(per_rank, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("key", key).withColumn("shard", shard)
 
     shards = placed.groupBy("rank", "shard", "source_seats").agg(F.sum("size").alias("shard_size"))
     shard_quotas = sainte_lague(shards, "shard_size", ["rank"], "shard", F.col("source_seats")).select(
         F.col("rank").alias("_rank"), F.col("shard").alias("_shard"), "shard_size", "seats"
     )
     on = (F.col("rank") == F.col("_rank")) & (F.col("shard") == F.col("_shard"))
-    lined = placed.join(_small(materialize(shard_quotas, "mix-shards")), on).drop("_rank", "_shard")
+    lined = placed.join(small(materialize(shard_quotas, "mix-shards")), on).drop("_rank", "_shard")
     before = F.coalesce(
         F.sum("size").over(Window.partitionBy("rank", "shard").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")
     )
@@ -129,16 +127,17 @@ def mix(
     return lined.select(
         "doc_id", "size", "source_size", "target",
         (F.col("passes") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))).alias("taken"),
-        "source", "shard", "seats",
+        "source", "shard", "seats", *(["row"] if row else []),
     )
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix as documents: each row as often as its take, rounded to whole texts, is its size."""
-    taken = mix(docs, **how).select("doc_id", F.floor(F.try_divide("taken", "size") + 0.5).cast("int").alias("times"))
-    times = taken.where("times > 0").groupBy(F.col("doc_id").alias("of")).agg(F.max("times").alias("times"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.join(times, F.col("key").eqNullSafe(F.col("of"))).select(F.explode(F.array_repeat("row", F.col("times"))).alias("row")).select("row.*")
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
+    """The mix as documents: each row as often as its take, rounded to whole texts, is its size. A shard's first documents are taken once
+    more than its last, so rounding costs a shard half a document."""
+    rows = numbered(docs)
+    read = rows.select("row", *[F.col(f"value.`{c}`").alias(n) for c, n in ((id_col, "doc_id"), (source_col, "source"), (text_col, "text"))])
+    taken = mix(read, row_col="row", **how).select("row", F.floor(F.try_divide("taken", "size") + 0.5).cast("int").alias("times"))
+    return rows.join(taken.where("times > 0"), "row").select(F.explode(F.array_repeat("value", F.col("times"))).alias("value")).select("value.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

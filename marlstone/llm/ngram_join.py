@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialize, read_table
+from marlstone.llm.common import materialize, numbered, read_table
 from marlstone.llm.hashing import constants, mix, word_hashes, word_places
 
 WIDTH = 4
@@ -97,18 +97,23 @@ def least_overlap(n1, n2):
     return -(-PERCENT * (n1 + n2) // (100 + PERCENT))
 
 
+def _enough(n: int, most: int, m: int) -> bool:
+    """Whether m groups of n shingles or more leave more filled groups than ``most`` differences reach: by six deviations, or but
+    for one set in 10^9."""
+    empty = math.exp(-n / m)
+    deviation = math.sqrt(max(0.0, m * empty * (1 - (1 + n / m) * empty)))
+    few = math.lgamma(m + 1) - math.lgamma(most + 1) - math.lgamma(m - most + 1) + n * math.log(most / m)
+    return few < math.log(1e-9) or m * (1 - empty) - 6 * deviation >= most + 1
+
+
 def _groups(n: int, most: int) -> int:
-    """Groups for sets of n shingles or more and ``most`` differences: the filled ones outnumber these by six deviations,
-    or but for one set in 10^9 (small sets: as nearly as two groups a difference allow)."""
-    m = most + 1
-    while m < 2 * most + 2:
-        empty = math.exp(-n / m)
-        deviation = math.sqrt(max(0.0, m * empty * (1 - (1 + n / m) * empty)))
-        few = math.lgamma(m + 1) - math.lgamma(most + 1) - math.lgamma(m - most + 1) + n * math.log(most / m)
-        if few < math.log(1e-9) or m * (1 - empty) - 6 * deviation >= most + 1:
-            break
-        m += 1
-    return m
+    """The fewest groups that are enough, found by halving, as more groups are enough too (small sets: as nearly as two groups a
+    difference allow)."""
+    low, high = most + 1, 2 * most + 2
+    while low < high:
+        m = (low + high) // 2
+        low, high = (low, m) if _enough(n, most, m) else (m + 1, high)
+    return low
 
 
 @lru_cache(maxsize=1)
@@ -171,12 +176,6 @@ def _slices(batches, rows: int = 512):
             yield b.slice(i, rows)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The rows, written, as ``row, value`` (their number and all their columns)."""
-    value = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), value.alias("value")), "rows")
-
-
 def document_nodes(rows: DataFrame, seed: int) -> DataFrame:
     """``row, doc_id, n, node, check``: set size and digests of every text."""
 
@@ -393,32 +392,57 @@ def search_families(rows: DataFrame, seed: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """``node, label`` from rows ``node, parent`` of a forest, one a child: the root above each child, and of each root itself. Pointers are
+    followed two more steps a round, so the rounds grow with the logarithm of the depth."""
+    now = first = materialize(parents.select("node", F.col("parent").alias("to")), "parents")
+    tops = first.select(F.col("to").alias("node")).distinct().join(first.select("node"), "node", "left_anti")
+    while True:
+        by = lambda a, b: now.select(F.col("node").alias(a), F.col("to").alias(b))
+        far = now.join(by("to", "_next"), "to", "left").join(by("_next", "_far"), "_next", "left")
+        to = F.coalesce("_far", "_next", "to")
+        jumped = materialize(far.select("node", to.alias("to"), (to != F.col("to")).alias("moved")), "jumps")
+        now = jumped.select("node", "to")
+        if not jumped.where("moved").limit(1).count():
+            return materialize(now.union(tops.select("node", "node")).toDF("node", "label"), "labels")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """``node, label`` of every node with a link; label is the smallest node of the component.
+    """``node, label`` of every node with a link; label is one of the component's nodes.
 
-    Each round every label hooks to its smallest neighbour, chains are shortened by pointer jumping, and the
-    links are renamed; links inside a component go. All of it is joins and aggregates."""
-    edges = materialize(links.select("a", "b").distinct(), "edges")
-    labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node"))
-    while True:
+    Each round every node hooks to its smallest neighbour if that is smaller, which makes a forest; the links are renamed by its roots,
+    and those inside a component go. All of it is joins and aggregates."""
+    edges = materialize(links.select("a", "b").where("a <> b").distinct(), "edges")
+    labels = None
+    while edges.limit(1).count():
         both = edges.union(edges.select("b", "a"))
-        hooks = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("to")), "hooks")
-        while True:
-            next_ = hooks.select(F.col("a").alias("to"), F.col("to").alias("far"))
-            jumped = materialize(hooks.join(next_, "to", "left").select("a", F.coalesce("far", "to").alias("to"), (F.coalesce("far", "to") != F.col("to")).alias("moved")), "jumps")
-            moved = jumped.where("moved").limit(1).count()
-            hooks = jumped.select("a", "to")
-            if not moved:
-                break
-        to = hooks.select(F.col("a").alias("label"), "to")
-        labels = materialize(labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-        for end in ("a", "b"):
-            edges = edges.join(hooks.select(F.col("a").alias(end), "to"), end, "left").select(
-                *[F.coalesce("to", end).alias(end) if x == end else F.col(x) for x in ("a", "b")]
-            )
-        edges = materialize(edges.where("a <> b").distinct(), "edges")
-        if not edges.limit(1).count():
-            return labels
+        hooks = both.groupBy("a").agg(F.min("b").alias("parent")).where("parent < a").select(F.col("a").alias("node"), "parent")
+        found = roots(hooks)
+        labels = found if labels is None else relabelled(labels, found)
+        edges = materialize(renamed(edges, found).distinct(), "edges")
+    return links.sparkSession.createDataFrame([], "node long, label long") if labels is None else labels
+
+
+def renamed(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links ``a, b`` between components: the ends by their labels, without links inside one."""
+    for end in ("a", "b"):
+        to = labels.select(F.col("node").alias(end), F.col("label").alias("_to"))
+        links = links.join(to, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    return links.where("a <> b").select("a", "b")
+
+
+def relabelled(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """labels whose components are joined further by ``more`` (``node, label`` of labels, or of nodes that had no link)."""
+    to = more.select(F.col("node").alias("label"), F.col("label").alias("_to"))
+    moved = labels.join(to, "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
+    new = more.join(labels.select("node"), "node", "left_anti")
+    return materialize(moved.union(new.select("node", "label")), "labels")
+
+
+def joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after further links between nodes: only what these join is looked at again."""
+    more = components(renamed(materialize(links, "links"), labels))
+    return relabelled(labels, more) if more.limit(1).count() else labels
 
 
 def meet(members: DataFrame, facts: DataFrame) -> DataFrame:
@@ -463,16 +487,15 @@ def row_components(rows: DataFrame, seed: int = 0) -> DataFrame:
     # first stars: each node against the hub that it meets most often
     stars = families.where("node <> family").select(F.col("family").alias("a"), F.col("node").alias("b"), "c", "often")
     near = bounded(stars, points).groupBy("b").agg(F.max_by("a", F.struct("often", "a")).alias("a"))
-    links = materialize(verify(near, texts, seed), "links-1")
-    labels = components(links)
+    # a hub is more met than its members, so these links are a forest
+    labels = roots(verify(near, texts, seed).select(F.col("b").alias("node"), F.col("a").alias("parent")))
 
     # second stars: the components of a family against the first of them, by their own hubs
     reps = labelled(families, labels).groupBy("family", "c", "label").agg(most.alias("node"), F.max("fame").alias("fame"))
     heads = reps.groupBy("family", "c").agg(most.alias("head"))
     pairs = meet(reps, heads).where("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"), "c").distinct()
     more = bounded(pairs, points).select("a", "b").distinct()
-    links = links.union(materialize(verify(more, texts, seed), "links-2"))
-    labels = components(links)
+    labels = joined_by(labels, verify(more, texts, seed))
 
     # the rest, exactly: trees over the members of families that still hold several components
     rest = labelled(families, labels)
@@ -487,8 +510,7 @@ def row_components(rows: DataFrame, seed: int = 0) -> DataFrame:
         "label",
     )
     dealt = dealt.join(texts.select("node", "text"), "node").select("family", "c", "part", "node", "label", "text")
-    links = links.union(materialize(search_families(dealt.repartition("family", "c").sortWithinPartitions("family", "c"), seed), "links-3"))
-    labels = components(links)
+    labels = joined_by(labels, search_families(dealt.repartition("family", "c").sortWithinPartitions("family", "c"), seed))
 
     named = own.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     by_label = named.groupBy("label").agg(F.min("first").alias("first"))
