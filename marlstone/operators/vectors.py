@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import answer_words
+from marlstone.operators import ivf
+from marlstone.sources import versions
+from marlstone.sources.tables import shared_folder
 
 DIMENSIONS = 256
 #: Bytes of queries up to which exact search broadcasts them; beyond it they are joined in blocks.
@@ -27,41 +30,35 @@ class Embedder(ABC):
 
 
 class HashedWords(Embedder):
-    """Bag of words: each word counts in the dimension that its MD5 names; L2-normalised."""
+    """Bag of words: each word counts in the dimension that its MD5 names; L2-normalised. In built-in functions only, on a text's own row."""
 
     def __init__(self, dimensions: int = DIMENSIONS):
         self.dimensions, self.name = dimensions, f"hashed-words-{dimensions}"
 
     def bucket(self, word: Column) -> Column:
-        return F.pmod(F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("long"), F.lit(self.dimensions))
+        return F.pmod(F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("long"), F.lit(self.dimensions)).cast("int")
+
+    def weights(self, text: Column) -> Column:
+        """The dimensions that a text fills, in order, as ``array<struct<bucket:int,weight:double>>``: runs of its sorted buckets are counted."""
+        bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  a value used more than once
+        none = F.array().cast("array<struct<bucket:int,n:double>>")
+
+        def runs(b: Column) -> Column:
+            last = F.size(b) - 1
+            ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.get(b, i) != F.get(b, i + 1)))
+            count = lambda e: F.transform(e, lambda i, j: F.struct(F.get(b, i).alias("bucket"), (i - F.coalesce(F.get(e, j - 1), F.lit(-1))).cast("double").alias("n")))
+            return F.when(last >= 0, bound(ends, count)).otherwise(none)
+
+        def scaled(r: Column) -> Column:
+            norm = F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, x: s + x["n"] * x["n"]))
+            return bound(norm, lambda z: F.transform(r, lambda x: F.struct(x["bucket"].alias("bucket"), (x["n"] / z).alias("weight"))))
+
+        return bound(bound(F.sort_array(F.transform(answer_words(text), self.bucket)), runs), scaled)
 
     def encode(self, df: DataFrame, text: str, to: str = "vector") -> DataFrame:
-        import hashlib
-
-        n = self.dimensions
-
-        def run(batches):
-            memo: dict[str, int] = {}
-            for b in batches:
-                for at in range(0, b.num_rows, 1024):
-                    part = b.slice(at, 1024)
-                    out = np.zeros((part.num_rows, n))
-                    for i, ws in enumerate(part.column(part.num_columns - 1).to_pylist()):
-                        for w in ws or ():
-                            k = memo.get(w)
-                            if k is None:
-                                if len(memo) > 1 << 18:
-                                    memo.clear()
-                                k = memo[w] = int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % n
-                            out[i, k] += 1
-                    norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
-                    flat = np.divide(out, norms, out=out, where=norms > 0).ravel()
-                    vectors = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * n, pa.int32()), pa.array(flat))
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], vectors], names=[*part.schema.names[:-1], to])
-
-        kept = [F.col(c) for c in df.columns if c != to]
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != to)
-        return df.select(*kept, answer_words(F.col(text)).alias("_words")).mapInArrow(run, f"{schema}, `{to}` array<double>")
+        of = F.map_from_entries(self.weights(F.col(text)))
+        filled = lambda m: F.transform(F.sequence(F.lit(0), F.lit(self.dimensions - 1)), lambda k: F.coalesce(F.try_element_at(m, k), F.lit(0.0)))
+        return df.withColumn(to, F.get(F.transform(F.array(of), filled), F.lit(0)))
 
 
 class ModelEmbedder(Embedder):
@@ -96,10 +93,6 @@ class ModelEmbedder(Embedder):
 EMBEDDERS: dict[str, Callable[[], Embedder]] = {"hashed-words-256": HashedWords}
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, scope: str | None = None, query_id: str = "query_id", key: str = "id") -> DataFrame:
     """``query_id, rank, id, score`` of each query's k best vectors, ties to the smaller id.
 
@@ -142,7 +135,7 @@ def _kinds(queries: DataFrame, vectors: DataFrame, query_id: str, key: str):
 def _matrix_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, key: str) -> DataFrame:
     asked = queries.select(query_id, "vector").toArrow()
     q_ids = asked.column(0).to_pylist()
-    shared = queries.sparkSession.sparkContext.broadcast((q_ids, np.array(asked.column(1).to_pylist(), float).reshape(len(q_ids), -1)))
+    shared = queries.sparkSession.sparkContext.broadcast((q_ids, ivf.matrix(asked.column(1))))
     kinds, schema = _kinds(queries, vectors, query_id, key)
     names = [query_id, key, "score"]
 
@@ -151,7 +144,7 @@ def _matrix_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str,
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
-                v = np.array(part.column(1).to_pylist(), float)
+                v = ivf.matrix(part.column(1))
                 if len(q_ids) and len(v):
                     yield from _emit(list(_best_of(q_ids, q, part.column(0).to_pylist(), v, k)), kinds, names).to_batches()
 
@@ -183,104 +176,59 @@ def _cells_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str,
     def run(q: pa.Table, v: pa.Table) -> pa.Table:
         if not q.num_rows or not v.num_rows:
             return _emit([], kinds, names)
-        a, b = (np.array(t.column(c).to_pylist(), float) for t, c in ((q, "_q"), (v, "vector")))
+        a, b = ivf.matrix(q.column("_q")), ivf.matrix(v.column("vector"))
         return _emit(list(_best_of(q.column(query_id).to_pylist(), a, v.column(key).to_pylist(), b, k)), kinds, names)
 
     return q.groupBy("cell", "qb", "vb").cogroup(v.groupBy("cell", "qb", "vb")).applyInArrow(run, schema)
 
 
-def _centroids(vectors: DataFrame, lists: int, sample: int, seed: int, key: str) -> np.ndarray:
-    """Unit centroids by ten rounds of spherical k-means over the ``sample`` rows whose ids hash lowest."""
-    picked = vectors.where("vector is not null").orderBy(F.xxhash64(key), key).limit(sample).select(F.col("vector").cast("array<double>").alias("v"))
-    v = np.array(picked.toArrow().column(0).to_pylist(), float)
-    if not len(v):
-        return v
-    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
-    c = unit(v[np.random.default_rng(seed).choice(len(v), max(1, min(lists, len(v) // 4)), replace=False)])
-    for _ in range(10):
-        near = (v @ c.T).argmax(axis=1)
-        c = unit(np.stack([v[near == j].sum(axis=0) if (near == j).any() else c[j] for j in range(len(c))]))
-    return c
-
-
-def ivf_top_k(
-    queries: DataFrame,
-    vectors: DataFrame,
-    k: int,
-    lists: int = 64,
-    probes: int = 36,
-    sample: int = 8192,
-    seed: int = 7,
-    query_id: str = "query_id",
-    key: str = "id",
-    block: int = 2048,
-) -> DataFrame:
-    """Approximate: a vector is in the list of its nearest centroid, a query looks into its ``probes`` nearest lists
-    (fewer lists on few vectors, and as large a share of them); ranked exactly. Centroids come from a sample of bounded
-    size. Lists and their queries are cut into blocks, so none grows with the table."""
-    centroids = _centroids(vectors, lists, sample, seed, key)
-    if not len(centroids):
-        return exact_top_k(queries, vectors, k, None, query_id, key)
-    p = -(-len(centroids) * probes // lists)
-
-    def listed(df: DataFrame, id_col: str, n: int) -> DataFrame:
-        kind = df.schema[id_col].dataType.simpleString()
-
-        def run(batches):
-            for b in batches:
-                v = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
-                near = np.argsort(-(v @ centroids.T), axis=1, kind="stable")[:, :n] if b.num_rows else np.zeros((0, n), int)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.tolist(), pa.list_(pa.int64()))], names=[id_col, "vector", "lists"])
-
-        picked = df.where("vector is not null").select(id_col, F.col("vector").cast("array<double>").alias("vector"))
-        return picked.mapInArrow(run, f"{id_col} {kind}, vector array<double>, lists array<long>").select(id_col, "vector", F.explode("lists").alias("cell"))
-
-    met = _cells_top_k(listed(queries, query_id, p), listed(vectors, key, 1), k, query_id, key, block)
-    w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), key)
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, "rank", key, "score")
+def ivf_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", key: str = "id", scan: float = ivf.SCAN, **how) -> DataFrame:
+    """Approximate: by an index that is made for this search only. A table that is asked more than once keeps its own (``VectorStore``)."""
+    index = ivf.ListIndex.build(vectors.select(key, "vector"), shared_folder(vectors.sparkSession), key, **how)
+    return index.search(queries, k, scan, query_id=query_id)
 
 
 class VectorStore:
-    """A Parquet table of vectors with metadata: append (repeats ids) or upsert, query, count."""
+    """A versioned table of vectors with metadata: append (repeats ids) or upsert, query, count. The backend ``ivf`` keeps an index of the last
+    version beside the table, and builds it when it is first asked after a change."""
 
-    def __init__(self, spark: SparkSession, path: str, backend: str = "exact"):
+    def __init__(self, spark: SparkSession, path: str, backend: str = "exact", key: str = "id", buckets: int = versions.BUCKETS):
         if backend not in BACKENDS:
             raise ValueError(f"backend is one of {sorted(BACKENDS)}")
-        self.spark, self.path, self.backend = spark, path, backend
+        self.spark, self.path, self.backend, self.key = spark, path, backend, key
+        self.rows = versions.VersionedTable(spark, path, key, buckets=buckets)
 
     def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return bool(self.rows.versions())
 
     def table(self) -> DataFrame:
-        if not self.exists():
-            raise ValueError(f"no vectors at {self.path}")
-        return self.spark.read.parquet(self.path)
+        return self.rows.read()
 
     def add(self, rows: DataFrame, overwrite: bool = False) -> None:
-        rows.write.mode("overwrite" if overwrite else "append").parquet(self.path)
-
-    def upsert(self, rows: DataFrame, key: str = "id") -> None:
-        """Adds rows; those of an id that is there already take its place. The table is written anew beside the old one,
-        which goes last, so a reader finds one or the other."""
-        if not self.exists():
-            return self.add(rows)
-        kept = self.table().join(rows.select(key), key, "left_anti").unionByName(rows)
-        aside = f"{self.path}.new"
-        kept.write.mode("overwrite").parquet(aside)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(path(self.path), True)
-        fs.rename(path(aside), path(self.path))
-        self.spark.catalog.refreshByPath(self.path)
+        self.rows.overwrite(rows) if overwrite else self.rows.append(rows)
+
+    def upsert(self, rows: DataFrame) -> None:
+        """Adds rows; those of an id that is there already take its place. Only the buckets of these ids are written."""
+        self.rows.upsert(rows)
 
     def count(self) -> int:
         return self.table().count()
 
+    def index(self, **how) -> ivf.ListIndex:
+        """The index of the present version, built if there is none."""
+        version = self.rows.state()["version"]
+        path = f"{self.path}/_index/v{version:08d}"
+        try:
+            return ivf.ListIndex(self.spark, path)
+        except ValueError:
+            return ivf.ListIndex.build(self.rows.read(version), path, self.key, version=version, **how)
+
     def query(self, queries: DataFrame, k: int, where: Column | None = None, scope: str | None = None) -> DataFrame:
-        """``where`` filters on any metadata column before the ranking."""
-        vectors = self.table() if where is None else self.table().where(where)
-        return exact_top_k(queries, vectors, k, scope) if scope or self.backend == "exact" else BACKENDS[self.backend](queries, vectors, k)
+        """``where`` filters on any metadata column before the ranking, which is exact then, as it is within a scope: lists near a query
+        may hold no row that passes."""
+        if self.backend == "ivf" and where is None and not scope:
+            return self.index().search(queries, k)
+        return exact_top_k(queries, self.table() if where is None else self.table().where(where), k, scope, key=self.key)
 
 
 BACKENDS: dict[str, Callable[..., DataFrame]] = {"exact": exact_top_k, "ivf": ivf_top_k}

@@ -243,12 +243,88 @@ def test_inverted_lists_recall(spark, sf):
     assert r.r >= 0.9 and r.other >= 0.9
 
 
-def test_inverted_lists_blocks_and_few_vectors(spark):
+@pytest.mark.parametrize("bytes_", [1 << 23, 0])
+def test_inverted_lists_of_few_and_repeated_vectors(spark, monkeypatch, bytes_):
+    from marlstone.operators import ivf
     from marlstone.operators.vectors import exact_top_k, ivf_top_k
 
+    monkeypatch.setattr(ivf, "BROADCAST_BYTES", bytes_)
     rows = [(i % 50, [float(i % 7), float(i % 5) - 2, 1.0]) for i in range(60)] + [(99, None)]
     v = spark.createDataFrame(rows, "id long, vector array<double>")
     q = v.where("id < 9").withColumnRenamed("id", "query_id").dropDuplicates(["query_id"])
     want = sorted(map(tuple, exact_top_k(q, v, 4).collect()))
-    assert sorted(map(tuple, ivf_top_k(q, v, 4, probes=64, block=7).collect())) == want and len(want) == 36
+    assert sorted(map(tuple, ivf_top_k(q, v, 4, scan=1.0).collect())) == want and len(want) == 36
     assert ivf_top_k(q, v.limit(2), 4).count() > 0 and ivf_top_k(q, v.limit(0), 4).count() == 0
+
+
+def test_index_is_kept_and_pruned(spark, tmp_path):
+    """Built once; a query opens the files of its parts only, and looks at the codes of a tenth of the rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    tops = rng.normal(size=(40, 32))
+    rows = [(i, i % 3, [float(x) for x in tops[i % 40] + 0.25 * rng.normal(size=32)]) for i in range(4000)]
+    store = vectors.VectorStore(spark, str(tmp_path / "v"), "ivf")
+    store.add(spark.createDataFrame(rows, "id long, kind int, vector array<double>"))
+    index = store.index(lists=200, parts=40)
+    assert store.index().folder.path == index.folder.path and index.told["rows"] == 4000 and index.told["version"] == 1
+    one = store.table().where("id = 7").withColumnRenamed("id", "query_id")
+    probed = index.probes(one, 0.1)
+    assert probed.first().scanned <= 400
+    plan = index.candidates(probed, 64)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part" in plan
+    parts = {r.part for r in index.table().where(F.col("list").isin(probed.first().lists)).select("part").distinct().collect()}
+    files = index.table().where(F.col("part").isin(sorted(parts))).select(F.input_file_name().alias("f")).distinct().count()
+    assert files <= 0.5 * len(index.table().inputFiles())
+    many = store.table().where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    got = {(r.query_id, r.id) for r in index.search(many, 5, scan=0.1).collect()}
+    want = {(r.query_id, r.id) for r in vectors.exact_top_k(many, store.table(), 5).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+    only = store.query(many, 5, where=F.col("kind") == 1)
+    assert {r.id % 3 for r in only.select("id").collect()} == {1}
+    store.upsert(spark.createDataFrame([(7, 5, [9.0] * 32)], "id long, kind int, vector array<double>"))
+    assert store.index().told["version"] == 2 and store.query(one, 1, where=F.col("kind") == 5).first().id == 7
+
+
+def test_versioned_table(spark, tmp_path, monkeypatch):
+    """Upserts touch their buckets only; a writer that dies at any step leaves the last version; of two writers one commits."""
+    from marlstone.sources import versions
+
+    t = versions.VersionedTable(spark, str(tmp_path / "t"), "id", buckets=8)
+    make = lambda a, b, s: spark.range(a, b).select("id", F.lit(s).alias("s"))
+    with pytest.raises(ValueError):
+        t.read()
+    assert t.append(make(0, 100, "a")) == 1
+    before = t.state()
+    assert t.upsert(make(5, 6, "b").union(make(200, 201, "c"))) == 2
+    after = t.state()
+    moved = {b for b in after["folders"] if after["folders"][b] != before["folders"].get(b)}
+    assert len(moved) <= 2 and t.read().count() == 101 and [r.s for r in t.read().where("id = 5").collect()] == ["b"] and t.read(1).count() == 100
+    looked = t.lookup(spark.createDataFrame([(5,), (200,), (999,)], "id long"))
+    assert sorted(map(tuple, looked.collect())) == [(5, "b"), (200, "c")]
+    assert {x.split("/_bucket=")[1].split("/")[0] for x in looked.inputFiles()} <= {str(r.b) for r in spark.createDataFrame([(5,), (200,), (999,)], "id long").select(t._bucket(after).alias("b")).collect()}
+    rows = sorted(map(tuple, t.read().collect()))
+    for step in ("_write", "_commit"):
+        with monkeypatch.context() as m:
+            def dies(*a, real=getattr(t, step), **k):
+                if step == "_write":
+                    real(*a, **k)  # files are there, the commit is not
+                raise RuntimeError("lost")
+
+            m.setattr(t, step, dies)
+            for change in (t.upsert, t.append, t.overwrite):
+                with pytest.raises(RuntimeError):
+                    change(make(0, 50, "x"))
+        assert sorted(map(tuple, versions.VersionedTable(spark, str(tmp_path / "t"), "id").read().collect())) == rows
+    stale = t.state(1)
+    monkeypatch.setattr(t, "state", lambda version=None, real=t.state: stale if version is None else real(version))
+    with pytest.raises(versions.Conflict):
+        t.append(make(0, 1, "y"))
+    monkeypatch.undo()
+    t.append(make(0, 1, "again"))
+    assert t.read().where("id = 0").count() == 2 and t.upsert(make(0, 1, "one")) and [r.s for r in t.read().where("id = 0").collect()] == ["one"]
+    assert t.vacuum(retention_s=1000) == [] and len(t.vacuum(retention_s=-1)) > 3 and t.versions() == [4] and t.read().count() == 101
+    assert t.overwrite(make(0, 3, "z")) == 5 and t.read().count() == 3
+    empty = versions.VersionedTable(spark, str(tmp_path / "e"), "id")
+    empty.upsert(make(0, 0, "n"))
+    assert empty.read().count() == 0 and empty.read().columns == ["id", "s"]
