@@ -7,13 +7,28 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.stem import stem_words
 from marlstone.functions.text import answer_words, normalise_answer, strip
+from marlstone.sources.tables import written
+
+
+def numbered_words(words: Column) -> Column:
+    """The words of an array in order, each with its number among equal ones, so that none is there twice."""
+
+    def numbered(s: Column) -> Column:
+        last = F.size(s) - 1
+        ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.get(s, i) != F.get(s, i + 1)))
+
+        def of_runs(e: Column) -> Column:
+            start = lambda j: F.coalesce(F.get(e, j - 1), F.lit(-1))
+            return F.flatten(F.transform(e, lambda i, j: F.transform(F.sequence(F.lit(1), i - start(j)), lambda k: F.concat(F.get(s, i), F.lit("\0"), k.cast("string")))))
+
+        return F.when(last >= 0, F.get(F.transform(F.array(ends), of_runs), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(F.sort_array(words)), numbered), F.lit(0))
 
 
 def shared_count(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection."""
-    both = F.array_intersect(a, b)
-    n = lambda arr, w: F.size(F.filter(arr, lambda x: x == w))
-    return F.aggregate(both, F.lit(0), lambda s, w: s + F.least(n(a, w), n(b, w)))
+    """Size of the multiset intersection: both sides are sorted once and equal words numbered, which leaves a plain intersection."""
+    return F.size(F.array_intersect(numbered_words(a), numbered_words(b)))
 
 
 def f_measure(common: Column, n_pred: Column, n_gold: Column) -> Column:
@@ -54,26 +69,8 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " ")))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one row of the table per word of a, folded over b."""
-    zeros = F.transform(b, lambda _: F.lit(0))
-
-    def row(before: Column, x: Column) -> Column:
-        start = F.struct(F.array().cast("array<int>").alias("row"), F.lit(0).alias("left"), F.lit(0).alias("i"))
-
-        def cell(s: Column, y: Column) -> Column:
-            up = F.get(before, s["i"])
-            corner = F.when(s["i"] == 0, F.lit(0)).otherwise(F.get(before, s["i"] - 1))
-            v = F.when(x == y, corner + 1).otherwise(F.greatest(up, s["left"]))
-            return F.struct(F.array_append(s["row"], v).alias("row"), v.alias("left"), (s["i"] + 1).alias("i"))
-
-        return F.aggregate(b, start, cell, lambda s: s["row"])
-
-    return F.when(F.size(b) == 0, F.lit(0)).otherwise(F.coalesce(F.element_at(F.aggregate(a, zeros, row), -1), F.lit(0)))
-
-
 def lcs_of(a: list[str], b: list[str]) -> int:
-    """The same by bits: a zero at i says that the table's row grows at word i of a; a word of b changes all of it at once."""
+    """Length of the longest common subsequence, by bits: a zero at i says that the table's row grows at word i of a; a word of b changes all of it at once."""
     places: dict[str, int] = {}
     for i, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << i
@@ -109,7 +106,7 @@ def with_rouge(rows: DataFrame, pred: str, gold: str, stemmed: bool = False, lon
     return out.drop("_p", "_g", "_p1", "_g1", "_p2", "_g2", "_l")
 
 
-MEANS = ("exact_match", "token_f1", "context_precision", "rouge1", "rouge2", "rougeL", "retrieval_time_s", "generation_time_s", "total_inference_time_s")
+MEANS = ("bertscore_f1", "exact_match", "token_f1", "context_precision", "rouge1", "rouge2", "rougeL", "retrieval_time_s", "generation_time_s", "total_inference_time_s")
 
 
 def with_total_time(answers: DataFrame) -> DataFrame:
@@ -132,17 +129,90 @@ def per_sample(answers: DataFrame, stemmed: bool = True) -> DataFrame:
     return with_rouge(rows, "_pred", "_gold", stemmed).drop("_gold", "_pred")
 
 
-def aggregate_report(samples: DataFrame, by: list[str] | None = None, score_model=None) -> DataFrame:
-    """One row (per value of ``by``): the number of samples and the means of their rounded metrics; 0 where there are none.
+def safe_text(c: Column) -> Column:
+    """Model-based scores read N/A for blanks."""
+    return F.when(strip(F.coalesce(c, F.lit(""))) == "", F.lit("N/A")).otherwise(c)
+
 
-    ``score_model``, a Column of model-based scores, is added as ``bertscore_f1`` when it is given."""
+def token_weights(rows: DataFrame, key: str, tokens: str, of: str) -> DataFrame:
+    """``key, weights``: a map from each distinct word of the ``tokens`` to its inverse document weight ``ln((n + 1) / (d + 1))``, d being the
+    number of the n rows whose ``of`` words hold it."""
+    n = rows.count()
+    held = rows.select(F.explode(F.array_distinct(of)).alias("_w")).groupBy("_w").agg(F.count(F.lit(1)).alias("_d"))
+    asked = rows.select(key, F.explode(F.array_distinct(tokens)).alias("_w"))
+    weight = F.log(F.lit(n + 1.0) / (F.coalesce("_d", F.lit(0)) + 1))
+    return asked.join(held, "_w", "left").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_w", weight.alias("x")))).alias("weights"))
+
+
+def alignment(rows: DataFrame, key: str, pred: str, gold: str, embedder, idf: bool = False, baseline: float = 0.0) -> DataFrame:
+    """``key, align_precision, align_recall, align_f1``: how well the words of two texts match by their vectors. Every word is aligned with the
+    most similar word of the other text; the similarities are averaged over the prediction's words (precision) and the
+    gold words (recall), with inverse document weights of the gold texts if asked, and rescaled so that ``baseline`` becomes 0. Blank texts
+    read N/A; a blank prediction scores 0. Words are embedded in the tasks, each once a batch; similarities are made in blocks."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = rows.select(key, answer_words(safe_text(F.col(pred))).alias("_p"), answer_words(safe_text(F.col(gold))).alias("_g"), (strip(F.coalesce(F.col(pred), F.lit(""))) == "").alias("_blank"))
+    if idf:
+        weighed = texts.withColumn("_all", F.concat("_p", "_g"))
+        texts = texts.join(token_weights(weighed, key, "_all", "_g"), key, "left")
+        of = lambda c: F.transform(c, lambda w: F.coalesce(F.try_element_at("weights", w), F.lit(0.0)))
+    else:
+        of = lambda c: F.transform(c, lambda _: F.lit(1.0))
+    texts = texts.select(key, "_p", "_g", of("_p").alias("_pw"), of("_g").alias("_gw"), "_blank")
+    load = embedder.words_model()
+
+    def best(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if not len(x) or not len(y):
+            return np.zeros(len(x))
+        return np.concatenate([(x[i : i + 1024] @ y.T).max(axis=1) for i in range(0, len(x), 1024)])
+
+    def mean(sims: np.ndarray, w: np.ndarray) -> float:
+        return float((sims * w).sum() / w.sum()) if w.sum() > 0 else 0.0
+
+    def run(batches):
+        model = load()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                p_, g_, pw, gw, blank = (b.column(i).to_pylist() for i in range(1, 6))
+                vocabulary = sorted({w for side in (p_, g_) for ws in side for w in ws})
+                place = {w: i for i, w in enumerate(vocabulary)}
+                vectors = np.asarray(model(vocabulary), float).reshape(len(vocabulary), -1)
+                out = []
+                for p, g, u, v, none in zip(p_, g_, pw, gw, blank):
+                    ip, ig = ([place[w] for w in ws] for ws in (p, g))
+                    up, ug = sorted(set(ip)), sorted(set(ig))  # a word counts as often as it stands, but is compared once
+                    sp, sg = dict(zip(up, best(vectors[up], vectors[ug]))), dict(zip(ug, best(vectors[ug], vectors[up])))
+                    pr = mean(np.array([sp[i] for i in ip]), np.array(u, float)), mean(np.array([sg[i] for i in ig]), np.array(v, float))
+                    f1 = 2 * pr[0] * pr[1] / (pr[0] + pr[1]) if pr[0] + pr[1] > 0 else 0.0
+                    out.append([0.0 if none else (x - baseline) / (1 - baseline) for x in (*pr, f1)])
+                scores = [pa.array([x[i] for x in out], pa.float64()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *scores], names=[key, "align_precision", "align_recall", "align_f1"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.mapInArrow(run, f"`{key}` {kind}, align_precision double, align_recall double, align_f1 double")
+
+
+def with_score(samples: DataFrame, score, column: str = "bertscore_f1") -> tuple[DataFrame, str | None]:
+    """samples (written) with a model-based score, rounded to four places, and None; where the model can't be loaded or fails on
+    any row, the samples as they were and its error: the report loses the metric and nothing else. ``score`` maps samples to ``_row, value``."""
+    rows = written(samples.withColumn("_row", F.monotonically_increasing_id()))
+    try:
+        scored = written(score(rows).select("_row", F.round("value", 4).alias(column)))
+    except Exception as e:  # whatever a model raises
+        return rows.drop("_row"), f"{type(e).__name__}: {e}"
+    return rows.join(scored, "_row", "left").drop("_row"), None
+
+
+def alignment_score(embedder, pred: str = "generated_answer", gold: str = "ground_truth", **how):
+    """The alignment's F as a score for ``with_score``."""
+    return lambda rows: alignment(rows, "_row", pred, gold, embedder, **how).select("_row", F.col("align_f1").alias("value"))
+
+
+def aggregate_report(samples: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row (per value of ``by``): the number of samples and the means of their rounded metrics; 0 where there are none. A model-based score
+    (``with_score``) is among them when the samples have it."""
     names = [m for m in MEANS if m in samples.columns]
     aggs = [F.count(F.lit(1)).alias("n_samples"), *[F.coalesce(F.round(F.avg(m), 4), F.lit(0.0)).alias(m) for m in names]]
-    if score_model is not None:
-        aggs.append(F.round(F.avg(score_model), 4).alias("bertscore_f1"))
     return samples.groupBy(*(by or [])).agg(*aggs)
-
-
-def safe_text(c: Column) -> Column:
-    """Model-based scores read N/A for blanks."""
-    return F.when(strip(F.coalesce(c, F.lit(""))) == "", F.lit("N/A")).otherwise(c)

@@ -28,6 +28,10 @@ class Embedder(ABC):
     @abstractmethod
     def encode(self, df: DataFrame, text: str, to: str = "vector") -> DataFrame: ...
 
+    @abstractmethod
+    def words_model(self) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+        """What a task calls, once, for a function from single words to their unit vectors."""
+
 
 class HashedWords(Embedder):
     """Bag of words: each word counts in the dimension that its MD5 names; L2-normalised. In built-in functions only, on a text's own row."""
@@ -60,6 +64,18 @@ class HashedWords(Embedder):
         filled = lambda m: F.transform(F.sequence(F.lit(0), F.lit(self.dimensions - 1)), lambda k: F.coalesce(F.try_element_at(m, k), F.lit(0.0)))
         return df.withColumn(to, F.get(F.transform(F.array(of), filled), F.lit(0)))
 
+    def words_model(self) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+        n = self.dimensions
+
+        def model(words: list[str]) -> np.ndarray:
+            import hashlib
+
+            out = np.zeros((len(words), n))
+            out[np.arange(len(words)), [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % n for w in words]] = 1.0
+            return out
+
+        return lambda: model
+
 
 class ModelEmbedder(Embedder):
     """Any callable from a list of texts to vectors, made once per worker by ``load``."""
@@ -89,6 +105,15 @@ class ModelEmbedder(Embedder):
         run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return df.withColumn(to, F.pandas_udf(run, "array<double>")(F.col(text)))
 
+    def words_model(self) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+        load, size = self.load, self.batch
+
+        def make():
+            model = load()
+            return lambda words: ivf.unit(np.array([v for i in range(0, len(words), size) for v in model(words[i : i + size])], float).reshape(len(words), -1))
+
+        return make
+
 
 EMBEDDERS: dict[str, Callable[[], Embedder]] = {"hashed-words-256": HashedWords}
 

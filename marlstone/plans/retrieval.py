@@ -189,6 +189,48 @@ def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.aggregate_report(metrics.with_rouge(samples, "question", "answer", longest=False))
 
 
+# the hashed embedder gives a word one dimension, so a word's best similarity is 1 where the other side has that dimension
+_ALIGN = f"""
+sf AS (SELECT qa_id, trim(coalesce(question, '')) = '' AS blank, CASE WHEN trim(coalesce(question, '')) = '' THEN 'N/A' ELSE question END AS q, CASE WHEN trim(coalesce(answer, '')) = '' THEN 'N/A' ELSE answer END AS a FROM qa),
+aw AS (SELECT qa_id, 0 AS side, unnest({sql_words('q')}) AS w FROM sf UNION ALL SELECT qa_id, 1, unnest({sql_words('a')}) FROM sf),
+ad AS (SELECT w, count(DISTINCT qa_id) AS d FROM aw WHERE side = 1 GROUP BY w),
+ax AS (SELECT qa_id, side, ln(((SELECT count(*) FROM qa) + 1.0) / (coalesce(d, 0) + 1)) AS x, ('0x' || substr(md5(w), 1, 7))::BIGINT % 256 AS k FROM aw LEFT JOIN ad USING (w)),
+ah AS (SELECT DISTINCT qa_id, side, k FROM ax),
+ap AS (SELECT ax.qa_id, ax.side, sum(CASE WHEN ah.k IS NULL THEN 0.0 ELSE x END) / nullif(sum(x), 0) AS v FROM ax LEFT JOIN ah ON ah.qa_id = ax.qa_id AND ah.side = 1 - ax.side AND ah.k = ax.k GROUP BY ALL),
+al AS (SELECT sf.qa_id, CASE WHEN blank THEN 0.0 ELSE coalesce(p.v, 0.0) END AS pr, CASE WHEN blank THEN 0.0 ELSE coalesce(r.v, 0.0) END AS rc FROM sf
+      LEFT JOIN ap p ON p.qa_id = sf.qa_id AND p.side = 0 LEFT JOIN ap r ON r.qa_id = sf.qa_id AND r.side = 1),
+af AS (SELECT qa_id, pr, rc, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END AS f1 FROM al)
+"""
+
+
+@query(f"WITH {QA}, {_ALIGN} SELECT qa_id, round(pr, 6) AS align_precision, round(rc, 6) AS align_recall, round(f1, 6) AS align_f1 FROM af")
+def alignment_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question held against its answer by the vectors of their words, with inverse document weights."""
+    rows = metrics.alignment(qa_pairs(spark, sf_dir), "qa_id", "question", "answer", vectors.HashedWords(), idf=True)
+    return rows.select("qa_id", *[F.round(c, 6).alias(c) for c in ("align_precision", "align_recall", "align_f1")])
+
+
+def _broken() -> None:
+    raise RuntimeError("this model can't be loaded")
+
+
+@query(f"""
+WITH {QA}, {_N}, {_ALIGN}
+SELECT 'scored' AS run, count(*) AS n_samples, round(avg(round(token_f1, 4)), 4) AS token_f1, round(avg(round(f1, 4)), 4) AS bertscore_f1 FROM m JOIN af USING (qa_id)
+UNION ALL SELECT 'failed', count(*), round(avg(round(token_f1, 4)), 4), NULL FROM m
+""")
+def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports with a model-based score: one whose model works, and one whose model fails while it runs and costs the report this metric only."""
+    rows = qa_pairs(spark, sf_dir).select("qa_id", "question", "answer")
+    samples = rows.withColumn("token_f1", F.round(F.round(metrics.token_f1(F.col("question"), F.col("answer")), 6), 4))
+    good, _ = metrics.with_score(samples, metrics.alignment_score(vectors.HashedWords(), "question", "answer", idf=True))
+    bad, error = metrics.with_score(samples, metrics.alignment_score(vectors.ModelEmbedder("broken", _broken), "question", "answer"))
+    assert error and "bertscore_f1" not in bad.columns
+    named = lambda df, run: df.withColumn("run", F.lit(run))
+    both = metrics.aggregate_report(named(good, "scored"), ["run"]).unionByName(metrics.aggregate_report(named(bad, "failed"), ["run"]), allowMissingColumns=True)
+    return both.select("run", "n_samples", "token_f1", "bertscore_f1")
+
+
 @query(f"""
 WITH {QA}, {_N}
 (SELECT 'worst' AS kind, qa_id, token_f1 FROM m ORDER BY token_f1, qa_id LIMIT 3) UNION ALL (SELECT 'best', qa_id, token_f1 FROM m ORDER BY token_f1 DESC, qa_id DESC LIMIT 3)

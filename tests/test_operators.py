@@ -93,10 +93,14 @@ def test_flush_failures_stay_with_their_document(spark):
     assert got["good"].error is None and got["good"].text == "a b" and "Error" in got["bad"].error and got["bad"].chunk_id is None
 
 
-def test_terms_as_whole_words(spark):
-    """Every kind of term against every text, as one regular expression each."""
+@pytest.mark.parametrize("chars,block", [(1 << 22, 1 << 24), (0, 1 << 24), (0, 10)])
+def test_terms_as_whole_words(spark, monkeypatch, chars, block):
+    """Every kind of term against every text, as one regular expression each; dictionaries sent to tasks, or met in blocks."""
     import regex
 
+    monkeypatch.setattr(glossary, "DICTIONARY_CHARS", chars)
+    monkeypatch.setattr(glossary, "BLOCK_CHARS", block)
+
     texts = ["a/b costs", "net income (EBIT) and ebit", "Net-income, net  income", "über alles überall", "-- dashes --", "", None, "C++ and C", "x_y y"]
     terms = ["a/b", "EBIT", "net income", "Net", "über", "--", "C++", "C", "x_y", "y", "income"]
     t = spark.createDataFrame([(i, "d", x) for i, x in enumerate(texts)] + [(99, "other", "EBIT")], "i int, doc_name string, text string")
@@ -131,7 +135,19 @@ def test_lcs_two_ways(spark):
     random.seed(3)
     rows = [(i, [random.choice("abc") for _ in range(random.randint(0, 9))], [random.choice("abc") for _ in range(random.randint(0, 9))]) for i in range(60)]
     df = spark.createDataFrame(rows, "i int, a array<string>, b array<string>")
-    assert df.where(metrics.lcs_length(F.col("a"), F.col("b")) != metrics.lcs_lengths(F.col("a"), F.col("b"))).count() == 0
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = step(row, x, b)
+        return row[-1]
+
+    def step(before, x, b):
+        out = [0]
+        for i, y in enumerate(b):
+            out.append(before[i] + 1 if x == y else max(before[i + 1], out[i]))
+        return out
+
+    assert all(r.n == plain(r.a, r.b) for r in df.select("a", "b", metrics.lcs_lengths(F.col("a"), F.col("b")).alias("n")).collect())
 
 
 def test_rollup_and_dedupe(spark):
@@ -286,6 +302,65 @@ def test_index_is_kept_and_pruned(spark, tmp_path):
     assert store.index().told["version"] == 2 and store.query(one, 1, where=F.col("kind") == 5).first().id == 7
 
 
+def test_shared_words_of_long_answers(spark):
+    """Equal to counting, and linear: two answers of 100,000 words."""
+    import time
+    from collections import Counter
+
+    random.seed(3)
+    rows = [([random.choice("abcd") for _ in range(random.randint(0, 12))], [random.choice("abce") for _ in range(random.randint(0, 12))]) for _ in range(300)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    for r in df.select("a", "b", metrics.shared_count(F.col("a"), F.col("b")).alias("n")).collect():
+        assert r.n == sum((Counter(r.a) & Counter(r.b)).values())
+    counted = lambda m: F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: (i % m).cast("string"))
+    long = spark.range(1).select(counted(70_001).alias("a"), counted(90_001).alias("b"))
+    began = time.time()
+    assert long.select(metrics.shared_count(F.col("a"), F.col("b")).alias("n")).first().n == sum((Counter(i % 70_001 for i in range(1, 100_001)) & Counter(i % 90_001 for i in range(1, 100_001))).values())
+    assert time.time() - began < 20
+
+
+def test_alignment_of_real_vectors(spark):
+    """Greedy alignment by a model whose vectors are not one-hot, with weights and baseline, against the plain sums."""
+    import math
+
+    import numpy as np
+
+    def load():
+        return lambda texts: [[float(len(t)), float(ord(t[0]) % 7), 1.0] for t in texts]
+
+    model = vectors.ModelEmbedder("lengths", load, batch=3)
+    pairs = [("the red apple", "a red pear"), ("", "gold"), ("word", None), ("!!!", "gold"), ("x x y", "x")] + [(f"w{i} " * 700, f"v{i} w{i}") for i in range(3)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id int, pred string, gold string")
+    words = lambda t: [w for w in (t if t and t.strip() else "N/A").lower().translate(str.maketrans("", "", "!/")).split()]
+    unit = lambda w: np.array(load()([w])[0]) / np.linalg.norm(load()([w])[0])
+    golds = [set(words(g)) for _, g in pairs]
+    for idf in (False, True):
+        got = {r.id: r for r in metrics.alignment(df, "id", "pred", "gold", model, idf=idf, baseline=0.2).collect()}
+        for i, (p, g) in enumerate(pairs):
+            weight = lambda w: math.log((len(pairs) + 1) / (sum(w in x for x in golds) + 1)) if idf else 1.0  # noqa: E731, B023
+            def side(a, b):
+                total = sum(weight(w) for w in a)  # noqa: B023
+                return sum(weight(w) * max(unit(w) @ unit(v) for v in b) for w in a) / total if a and b and total else 0.0  # noqa: B023
+            pr, rc = side(words(p), words(g)), side(words(g), words(p))
+            f1 = 2 * pr * rc / (pr + rc) if pr + rc else 0.0
+            want = [0.0] * 3 if not (p and p.strip()) else [(x - 0.2) / 0.8 for x in (pr, rc, f1)]
+            assert [got[i].align_precision, got[i].align_recall, got[i].align_f1] == pytest.approx(want)
+
+
+def test_a_failing_score_loses_the_metric_only(spark):
+    from marlstone.plans import jobs
+
+    answers = spark.createDataFrame([("q", "red pear", "red", "e", [])], "question string, ground_truth string, generated_answer string, ground_truth_evidence string, retrieved_passages array<struct<text:string>>")
+    good, _ = jobs.evaluate(answers, score=metrics.alignment_score(vectors.HashedWords()))
+    assert good.first().bertscore_f1 == pytest.approx(0.6667) and good.first().token_f1 == pytest.approx(0.6667)
+
+    def load():
+        raise RuntimeError("no model here")
+
+    means, samples = jobs.evaluate(answers, score=metrics.alignment_score(vectors.ModelEmbedder("none", load)))
+    assert "bertscore_f1" not in means.columns and means.first().token_f1 == pytest.approx(0.6667) and samples.count() == 1
+
+
 def test_versioned_table(spark, tmp_path, monkeypatch):
     """Upserts touch their buckets only; a writer that dies at any step leaves the last version; of two writers one commits."""
     from marlstone.sources import versions
