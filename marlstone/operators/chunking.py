@@ -92,18 +92,6 @@ def _tokens(text: str | None) -> int:
     return len((text or "").split())
 
 
-def stretches(events: list[dict]) -> Iterator[tuple[list[dict], dict | None]]:
-    """Runs of paragraphs, each with the event that ends it; the last run has none."""
-    run: list[dict] = []
-    for e in events:
-        if e["kind"] == "para":
-            run.append(e)
-        else:
-            yield run, e
-            run = []
-    yield run, None
-
-
 def settle(run: list[dict], chunks: list[Draft], last: bool, config: ExtractionConfig) -> list[dict]:
     """Adds the chunks of one run of paragraphs; returns the paragraphs that wait for the next run.
 
@@ -129,17 +117,53 @@ def settle(run: list[dict], chunks: list[Draft], last: bool, config: ExtractionC
     return []
 
 
+class Fold:
+    """A document's chunks from its events in their order: ``para`` (text, page, section, section_id), ``flush`` (a changed heading),
+    ``table`` (n chunks with its text). Paragraphs that wait are put before those of the next run.
+
+    The last chunk may still grow, so ``taken`` gives all others; what stays is that chunk and the paragraphs of one run, and can be
+    kept as JSON between arrivals of the document's events."""
+
+    def __init__(self, config: ExtractionConfig, state: dict | None = None):
+        state = state or {"chunks": [], "waiting": [], "run": [], "index": 0}
+        self.config, self.waiting, self.run, self.index = config, state["waiting"], state["run"], state["index"]
+        self.chunks = [Draft(**c) for c in state["chunks"]]
+
+    def state(self) -> dict:
+        return {"chunks": [vars(c) for c in self.chunks], "waiting": self.waiting, "run": self.run, "index": self.index}
+
+    def feed(self, events: Iterable[dict]) -> None:
+        for e in events:
+            if e["kind"] == "para":
+                self.run.append(e)
+                continue
+            self._settle(False)
+            if e["kind"] == "table":
+                made = (e["text"] or "", _tokens(e["text"]), e["page"])
+                self.chunks += [Draft("table", [made[0]], made[1], made[2], made[2], e["section"], e["section_id"]) for _ in range(e["n"] or 0)]
+
+    def _settle(self, last: bool) -> None:
+        self.waiting = settle(self.waiting + self.run, self.chunks, last, self.config)
+        self.run = []
+
+    def finish(self) -> None:
+        """The document has no more events."""
+        self._settle(True)
+
+    def taken(self, last: bool = False) -> list[dict]:
+        """The chunks that won't change any more, once each, with their index."""
+        n = len(self.chunks) if last else max(0, len(self.chunks) - 1)
+        out = [{"chunk_index": self.index + i, **c.row()} for i, c in enumerate(self.chunks[:n])]
+        self.chunks, self.index = self.chunks[n:], self.index + n
+        return out
+
+
 def flush_events(events: list[dict], config: ExtractionConfig) -> list[dict]:
-    """Chunks of one document from its ordered events: ``para`` (text, page, section, section_id), ``flush`` (a changed
-    heading), ``table`` (n chunks with its text). Paragraphs that wait are put before those of the next run."""
-    chunks: list[Draft] = []
-    waiting: list[dict] = []
-    for run, end in stretches(events):
-        waiting = settle(waiting + run, chunks, end is None, config)
-        if end is not None and end["kind"] == "table":
-            made = (end["text"] or "", _tokens(end["text"]), end["page"])
-            chunks += [Draft("table", [made[0]], made[1], made[2], made[2], end["section"], end["section_id"]) for _ in range(end["n"] or 0)]
-    return [c.row() for c in chunks]
+    """Chunks of one whole document."""
+    fold = Fold(config)
+    fold.feed(events)
+    fold.finish()
+    return fold.taken(last=True)
 
 
 EVENT = "struct<kind:string,page:int,section:string,section_id:string,text:string,n:int>"
@@ -155,7 +179,7 @@ def flush_chunks(docs: DataFrame, doc: str, events: str, config: ExtractionConfi
 
     def folded(found: list[dict] | None) -> list[dict]:
         try:
-            return [{"chunk_index": i, **c} for i, c in enumerate(flush_events(found or [], config))]
+            return flush_events(found or [], config)
         except Exception:
             if not errors:
                 raise

@@ -82,15 +82,35 @@ def overlap_share(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return F.when(area > 0, width * height / area).otherwise(zero)
 
 
-def blocks_outside_tables(blocks: DataFrame, tables: DataFrame, config: ExtractionConfig = ExtractionConfig(), on: tuple[str, ...] = ("doc_name", "page")) -> DataFrame:
-    """Blocks that no table of their page covers by more than the ratio."""
-    t = tables.select(*[F.col(k).alias(f"_{k}") for k in on], *[F.col(k).alias(f"_{k}") for k in ("x0", "y0", "x1", "y1")])
-    same = F.lit(True)
-    for k in on:
-        same = same & (F.col(k) == F.col(f"_{k}"))
-    box = tuple(F.col(k) for k in ("x0", "y0", "x1", "y1"))
-    other = tuple(F.col(f"_{k}") for k in ("x0", "y0", "x1", "y1"))
-    return blocks.join(t, same & (overlap_share(box, other) > config.table_overlap_ratio), "left_anti")
+#: Blocks of a page to a tile, about, and most tiles along a side of a page.
+TILE_BLOCKS, MOST_TILES = 16, 256
+
+
+def _tiled(boxes: DataFrame, on: list[str], pages: DataFrame) -> DataFrame:
+    """boxes once for each tile of their page that they touch, as ``_tile``; ``pages`` says how a page is cut."""
+
+    def along(low: str, high: str, start: str, end: str):
+        size = F.greatest((F.col(end) - F.col(start)) / F.col("_tiles"), F.lit(1e-9))
+        at = lambda c: F.greatest(F.lit(0), F.least(F.col("_tiles") - 1, F.floor((F.col(c) - F.col(start)) / size))).cast("int")
+        return F.explode(F.sequence(at(low), F.greatest(at(low), at(high))))
+
+    placed = boxes.where("x0 is not null and y0 is not null and x1 is not null and y1 is not null").join(pages, on)
+    placed = placed.withColumn("_tx", along("x0", "x1", "_x0", "_x1")).withColumn("_ty", along("y0", "y1", "_y0", "_y1"))
+    return placed.select(*boxes.columns, (F.col("_tx") * F.col("_tiles") + F.col("_ty")).alias("_tile"))
+
+
+def blocks_outside_tables(blocks: DataFrame, tables: DataFrame, config: ExtractionConfig = ExtractionConfig(), on: tuple[str, ...] = ("doc_name", "page"), block: str = "block") -> DataFrame:
+    """Blocks that no table of their page covers by more than the ratio. Each page is cut into tiles, as many as its blocks need, and a block
+    is held against tables of its own tiles only; a page of few blocks is one tile."""
+    keys = list(on)
+    side = F.least(F.lit(MOST_TILES), F.ceil(F.sqrt(F.count(F.lit(1)) / TILE_BLOCKS))).cast("int")
+    pages = blocks.groupBy(*keys).agg(F.min("x0").alias("_x0"), F.min("y0").alias("_y0"), F.max("x1").alias("_x1"), F.max("y1").alias("_y1"), side.alias("_tiles"))
+    pages = pages.join(tables.select(*keys).distinct(), keys, "left_semi")
+    sides = ("x0", "y0", "x1", "y1")
+    held = _tiled(blocks.select(*keys, block, *sides), keys, pages)
+    t = _tiled(tables.select(*keys, *sides), keys, pages).select(*keys, "_tile", *[F.col(k).alias(f"_{k}") for k in sides])
+    met = held.join(t, [*keys, "_tile"]).where(overlap_share(tuple(map(F.col, sides)), tuple(F.col(f"_{k}") for k in sides)) > config.table_overlap_ratio)
+    return blocks.join(met.select(*keys, block).distinct(), [*keys, block], "left_anti").select(*blocks.columns)
 
 
 def paragraphs(lines: DataFrame, by: list[str], order: list[str]) -> DataFrame:

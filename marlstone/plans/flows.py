@@ -60,6 +60,20 @@ def chunk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.first_documents(files.read_chunks(spark, path), 20).select("chunk_id", "doc_name", "page_start", "text")
 
 
+@query(f"""
+WITH RECURSIVE {PACKED}, l AS (SELECT doc_id::VARCHAR AS doc_name, toxic FROM labels)
+SELECT chunk_id, doc_name, page_start, CASE WHEN toxic = 1 THEN 'seen: ' || text ELSE text END AS text FROM ch JOIN l USING (doc_name)
+""")
+def chunk_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks put into a store, those of toxic documents once more with another text, and looked up by the names of all labelled documents."""
+    store = files.ChunkStore(spark, shared_folder(spark))
+    chunks = written(chunk_texts(spark, sf_dir).select("chunk_id", "doc_name", "page_start", "text"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("doc_name"), "toxic")
+    store.put(chunks)
+    store.put(chunks.join(labels.where("toxic = 1"), "doc_name", "left_semi").select("chunk_id", "doc_name", "page_start", F.concat(F.lit("seen: "), "text").alias("text")))
+    return store.of(labels.select("doc_name"))
+
+
 @query("""
 WITH e AS (SELECT 'n' || c_nationkey AS doc_name, c_custkey::INT AS page_num, c_mktsegment AS term FROM customer)
 SELECT doc_name, page_num, term, (row_number() OVER (ORDER BY length(term) DESC, doc_name, page_num, term))::INT AS place FROM e WHERE doc_name = 'n3'

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone import schema
+from marlstone.sources.versions import BUCKETS, VersionedTable
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], record: T.StructType) -> DataFrame:
@@ -22,6 +23,26 @@ def read_chunks(spark: SparkSession, path: str, doc_name: str | None = None) ->
     return df.where(F.col("doc_name") == doc_name) if doc_name else df
 
 
+class ChunkStore(VersionedTable):
+    """Chunks in buckets of documents, sorted by document and chunk: of rows of one chunk_id the last put stays, and the chunks of some
+    documents are read from the files of their buckets only."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        super().__init__(spark, path, "chunk_id", "doc_name", buckets)
+
+    def put(self, chunks: DataFrame, order: str | None = None) -> int:
+        return self.upsert(chunks, order)
+
+    def of(self, documents: DataFrame) -> DataFrame:
+        """All chunks of the documents named in ``doc_name``."""
+        return self.lookup(documents)
+
+    def resolve(self, hits: DataFrame) -> DataFrame:
+        """hits (``doc_name, chunk_id`` and more) with their chunks' columns; hits without a chunk go."""
+        found = self.lookup(hits).drop(*[c for c in hits.columns if c not in ("chunk_id", "doc_name")])
+        return hits.join(found, ["doc_name", "chunk_id"])
+
+
 def read_glossary(spark: SparkSession, path: str, doc_name: str | None = None) -> DataFrame:
     """Longest terms first; equally long ones by document, page and term."""
     df = read_jsonl(spark, path, schema.GLOSSARY_ENTRY)

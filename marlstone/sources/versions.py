@@ -22,6 +22,8 @@ from marlstone.sources.tables import written
 BUCKETS = 16
 #: Age in seconds up to which files without a version are left to their writer.
 RETENTION_S = 7 * 86400
+#: Keys up to which a look-up is a filter, and beyond which a join.
+FEW = 200
 
 
 class Conflict(Exception):
@@ -132,6 +134,9 @@ class VersionedTable:
         keys = wanted.select(self.bucket_by).distinct()
         buckets = [str(r.b) for r in keys.select(self._bucket(state).alias("b")).distinct().collect()]  # as many as there are buckets
         found = self._read(state, [f for b in buckets for f in state["folders"].get(b, [])])
+        some = [r[0] for r in keys.limit(FEW + 1).collect()]
+        if len(some) <= FEW:  # reaches the row groups' statistics and bloom filters
+            return found.where(F.col(self.bucket_by).isin(some))
         return found.join(keys, self.bucket_by, "left_semi")
 
     # writing
@@ -143,7 +148,7 @@ class VersionedTable:
         """Writes rows below a new folder; the folder of each bucket."""
         name = f"data/{uuid.uuid4().hex}"
         dealt = rows.withColumn("_bucket", self._bucket(state)).hint("rebalance", "_bucket")
-        dealt.sortWithinPartitions("_bucket", self.bucket_by, self.key).write.partitionBy("_bucket").parquet(f"{self.folder.path}/{name}")
+        dealt.sortWithinPartitions("_bucket", self.bucket_by, self.key).write.option(f"parquet.bloom.filter.enabled#{self.bucket_by}", "true").partitionBy("_bucket").parquet(f"{self.folder.path}/{name}")
         return {n[len("_bucket=") :]: [f"{name}/{n}"] for n in self.folder.names(f"{name}/_bucket=*")}
 
     def append(self, rows: DataFrame) -> int:

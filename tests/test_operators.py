@@ -302,6 +302,52 @@ def test_index_is_kept_and_pruned(spark, tmp_path):
     assert store.index().told["version"] == 2 and store.query(one, 1, where=F.col("kind") == 5).first().id == 7
 
 
+def test_blocks_and_tables_of_a_crowded_page(spark):
+    """A page of 10^5 blocks and 10^4 tables: only what shares a tile is compared, and the result is that of all pairs."""
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+
+    def boxes(n, w, h, page):
+        x, y = rng.uniform(0, 5000, n), rng.uniform(0, 5000, n)
+        return [(page, i, float(a), float(b), float(a + c), float(b + d)) for i, (a, b, c, d) in enumerate(zip(x, y, rng.uniform(1, w, n), rng.uniform(1, h, n)))]
+
+    kind = "page int, block int, x0 double, y0 double, x1 double, y1 double"
+    small = boxes(400, 300, 300, 1) + [(1, 1000, 1.0, 1.0, 1.0, 1.0), (1, 1001, None, 1.0, 2.0, 2.0), (2, 1, 0.0, 0.0, 1.0, 1.0)]
+    over = boxes(60, 900, 900, 1) + [(3, 1, 0.0, 0.0, 9.0, 9.0)]
+
+    def covered(a, b):
+        if None in a or (a[4] - a[2]) * (a[5] - a[3]) <= 0:
+            return False
+        w, h = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
+        return w > 0 and h > 0 and w * h / ((a[4] - a[2]) * (a[5] - a[3])) > 0.5
+
+    got = {(r.page, r.block) for r in layout.blocks_outside_tables(spark.createDataFrame(small, kind), spark.createDataFrame(over, kind), on=("page",)).collect()}
+    assert got == {a[:2] for a in small if not any(a[0] == b[0] and covered(a, b) for b in over)}
+    many, tables_ = spark.createDataFrame(boxes(100_000, 20, 10, 1), kind), spark.createDataFrame(boxes(10_000, 60, 40, 1), kind)
+    began = time.time()
+    left = layout.blocks_outside_tables(many, tables_, on=("page",)).count()
+    assert 0 < left < 100_000 and time.time() - began < 60
+
+
+def test_chunk_store_reads_the_buckets_of_its_documents(spark, tmp_path):
+    from marlstone.sources.files import ChunkStore
+
+    store = ChunkStore(spark, str(tmp_path / "c"), buckets=16)
+    rows = [(f"d{i % 50}__c{i}", f"d{i % 50}", f"text {i}", i) for i in range(500)]
+    df = spark.createDataFrame(rows, "chunk_id string, doc_name string, text string, at int")
+    store.put(df)
+    store.put(spark.createDataFrame([("d7__c7", "d7", "new", 1), ("d7__c7", "d7", "newer", 2), ("d7__c57", "d8", "moved", 3)], df.schema), order="at")
+    hits = spark.createDataFrame([("d7", "d7__c7", 1), ("d7", "none", 2), ("d8", "d7__c57", 3)], "doc_name string, chunk_id string, rank int")
+    assert {(r["rank"], r.text) for r in store.resolve(hits).collect()} == {(1, "newer"), (3, "moved")}
+    found = store.of(hits.select("doc_name"))
+    assert found.count() == 20 and store.read().count() == 500
+    assert len(found.inputFiles()) <= 4 < len(store.read().inputFiles())
+    assert "In(doc_name" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_shared_words_of_long_answers(spark):
     """Equal to counting, and linear: two answers of 100,000 words."""
     import time
