@@ -136,6 +136,37 @@ def fetch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remote.retried(report, pages, lambda todo: fetched(todo, True)).select("doc_name", "status", "error")
 
 
+@query("""
+SELECT page_id::VARCHAR AS doc_name, CASE WHEN page_id % 5 = 0 THEN 'skipped' WHEN page_id % 5 = 1 THEN 'failed' ELSE 'downloaded' END AS status,
+ CASE page_id % 5 WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN page_id % 2 = 0 THEN 1 ELSE 3 END WHEN 2 THEN 2 ELSE 1 END::INT AS attempts FROM pages
+""")
+def polite_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages by host, on a clock that only sleeping moves: some exist, some fail for good, some answer on the second try."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_name"), F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("doc_link"))
+
+    def session():
+        seen: set[int] = set()
+
+        def fetch(link: str):
+            n = int(link.rsplit("#", 1)[1])
+            if n % 5 == 1:
+                raise ValueError("status 404") if n % 2 == 0 else remote.Retry("status 503")
+            if n % 5 == 2 and n not in seen:
+                seen.add(n)
+                raise remote.Retry("status 429", after=30.0)
+            yield b"page"
+
+        return fetch
+
+    def timer():
+        now = [0.0]
+        return lambda: now[0], lambda s: now.__setitem__(0, now[0] + s)
+
+    put = lambda name, chunks: [c for c in chunks] and None
+    done = remote.fetch_by_host(pages, session, put, exists=lambda name: int(name) % 5 == 0, partitions=8, timer=timer)
+    return done.select("doc_name", "status", "attempts")
+
+
 # layout
 
 

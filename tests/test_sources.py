@@ -104,3 +104,65 @@ def test_comparison_keeps_going(spark):
 
     table, failed = ablation.compare({"a": good, "b": Bad(), "c": good.withColumn("token_f1", F.lit(1.0))})
     assert {(r.config, r.token_f1) for r in table.collect()} == {("a", 0.5), ("c", 1.0)} and failed == {"b": "no model"}
+
+
+def test_hosts_are_asked_politely():
+    """On a simulated clock: no host is asked faster than its pace, a failing one waits alone, and all jobs are done in the least time."""
+    now, log = [0.0], []
+    jobs = [(f"{h}{i}", h) for i in range(12) for h in ("a", "b", "c")] + [("d0", "d")]
+    order = remote.polite_order(iter(jobs), lambda j: j[1], rate=1.0, burst=2, window=10, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
+    failed, job = set(), next(order)
+    while True:
+        log.append((now[0], *job))
+        again = True
+        if job[0] == "b3" and job[0] not in failed:
+            failed.add("b3")
+            again = 20.0
+        try:
+            job = order.send(again)
+        except StopIteration:
+            break
+    assert sorted({n for _, n, _ in log}) == sorted(n for n, _ in jobs) and len(log) == len(jobs) + 1
+    for h in "abcd":
+        times = [t for t, _, x in log if x == h]
+        assert all(len([u for u in times if t <= u < t + 1]) <= 2 for t in times)
+        assert all(y - x >= 1 - 1e-9 for x, y in zip(times[1:], times[2:]) if h in "ac")  # b may catch up after its rest
+    second = [t for t, n, _ in log if n == "b3"]
+    assert second[1] - second[0] >= 20 and max(t for t, n, _ in log if n[0] == "a") < 25
+
+
+def test_fetching_by_host_over_http(spark, tmp_path):
+    """A real server: headers arrive, a 503 is tried again, a 404 is not, part files become documents or go."""
+    import http.server
+    import threading
+
+    seen, hits = [], {}
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append(self.headers["X-Who"])
+            hits[self.path] = hits.get(self.path, 0) + 1
+            code = 503 if self.path == "/b" and hits[self.path] == 1 else 404 if self.path == "/c" else 200
+            self.send_response(code)
+            if code == 503:
+                self.send_header("Retry-After", "0")
+            self.end_headers()
+            if code == 200:
+                self.wfile.write(b"x" * 200_000)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}"
+        sink = remote.FolderSink(str(tmp_path / "docs"), ".bin")
+        sink.put("old", iter([b"1"]))
+        jobs = spark.createDataFrame([(n, f"{url}/{n}") for n in ("a", "b", "c", "old")], "doc_name string, doc_link string")
+        done = remote.fetch_by_host(jobs, remote.http_session({"X-Who": "me"}, connect_s=5), sink.put, sink.exists, sink.drop, partitions=2, rate=50.0)
+        got = {r.doc_name: (r.status, r.attempts) for r in done.collect()}
+        assert got == {"a": ("downloaded", 1), "b": ("downloaded", 2), "c": ("failed", 1), "old": ("skipped", 0)} and set(seen) == {"me"}
+        assert sorted(os.listdir(tmp_path / "docs")) == ["a.bin", "b.bin", "old.bin"] and os.path.getsize(tmp_path / "docs" / "a.bin") == 200_000
+    finally:
+        server.shutdown()
