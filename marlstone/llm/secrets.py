@@ -2,13 +2,18 @@
 
 The text is lexed as source or configuration syntax into statements ``name = term + term ...`` (``:``,
 ``:=`` and ``=>`` too; names may be quoted, as in JSON). Terms are quoted literals, bare values or names.
+Other syntaxes give the same pairs of name and literal: elements (``<password>x</password>``), block scalars (``key: |`` with the
+indented lines below), commands (``set password x``, ``--password x``), calls of a sensitive name (``setPassword("x")``), a name and a
+literal as neighbouring arguments (``put("api_key", "x")``), and literals inside a call that is assigned (``token := f("x")``).
+A value that begins with ``$`` or stands in ``%`` signs refers to another name and is no literal. Comments are lexed like the rest, as a
+secret in a comment is one; a name has its last value, whatever the scope.
 Names keep the literals they were given, so constants propagate: in ``k = "..."; db_password = k`` the
 literal is scored under ``db_password``. A literal's score is the sensitivity of the target name times how
 much the literal looks like a credential; those of ``THRESHOLD`` or more are findings of kind ``literal``.
 Three plain patterns (assign, access, hex) are the base; their findings always stay.
 
 Defined results: null and empty texts have no findings; whole texts are scanned, however long. Rows are
-independent, so repeated rows give repeated results; offsets are code points, ends exclusive. Columns
+independent, so repeated rows give repeated results, and an empty table gives none; offsets are code points, ends exclusive. Columns
 other than the named ones are not read by ``scan_secrets`` and pass unchanged through ``redact``.
 """
 
@@ -38,7 +43,17 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "credential": 0.9, "credentials": 0.9,
     "apikey": 1.0, "api_key": 1.0, "access_key": 1.0, "private_key": 1.0, "secret_key": 1.0, "auth": 0.7, "signature": 0.6, "cookie": 0.6,
+    "passcode": 0.9, "passphrases": 1.0, "passwords": 1.0, "secrets": 1.0, "tokens": 0.9, "bearer": 0.8, "jwt": 0.9, "privkey": 1.0, "encryption_key": 1.0, "signing_key": 1.0,
+    "master_key": 1.0, "session_key": 0.9, "shared_key": 0.9, "account_key": 0.9, "auth_key": 0.9, "connection_string": 0.7, "connstr": 0.7, "dsn": 0.6,
 }
+#: Lower-case pieces of which every sensitive name has one.
+_STEMS = ("pass", "pwd", "secret", "token", "cred", "key", "auth", "sign", "cookie", "bearer", "jwt", "conn", "dsn")
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*)(?:[ \t][^<>\n]*)?>([^<>\n]*)</\1[ \t]*>")
+_BLOCK = re.compile(r"^([ \t]*)(?:- )?[\"']?([A-Za-z_][A-Za-z0-9_.-]*)[\"']?[ \t]*:[ \t]*[|>][+-]?[0-9]?[ \t]*\n((?:\1[ \t]+[^\n]*(?:\n|\Z)|[ \t]*\n)+)", re.M)
+_COMMAND = re.compile(r"""(?:\b(?:set|setenv|export|define|declare|let|put|login[ \t]+[^\s]+)[ \t]+|--?)([A-Za-z_][A-Za-z0-9_.-]*)[ \t]+(?=[^\s=:])""", re.I)
+_CALL = re.compile(r"(?<![A-Za-z0-9_.])([A-Za-z_][A-Za-z0-9_.]*)[ \t]*\([ \t]*(?=[\"'`A-Za-z_])")
+_NEXT = re.compile(r"[ \t]*,[ \t]*(?=[\"'`])")
+_REFERENCE = re.compile(r"\$|%[A-Za-z_][A-Za-z0-9_]*%")
 #: What stands between a name and its value; the name is looked for backwards from it, so that no text is read twice.
 _SEPARATOR = re.compile(r"(?::=|=>|=(?!=)|:)[ \t]*")
 _NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
@@ -55,6 +70,7 @@ _QUOTES = frozenset("\"'`")
 _MAY_QUOTE, _MAY_PLUS = frozenset("rRbBuUfFL@$\"'`"), frozenset(" \t+")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
+_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 
 
 @lru_cache(maxsize=1 << 12)
@@ -144,17 +160,62 @@ class Value:
         self.spans, self.parts, self.weight = spans, parts, 0.0
 
 
+def quoted(text: str, at: int) -> tuple[int, int, int] | None:
+    """Start and end of the literal that is quoted at a place, and where its quotes end."""
+    m = _QUOTED.match(text, at) if text[at : at + 1] in _MAY_QUOTE else None
+    return (*m.span(m.lastindex), m.end()) if m else None
+
+
+def other_pairs(text: str):
+    """``name, start, end`` of the literals that other syntaxes than assignments give to sensitive names; an end of -1 is a name."""
+    for m in _ELEMENT.finditer(text) if "</" in text else ():
+        yield m[1].rpartition(":")[2], m.end(2) - len(m[2].lstrip()), m.start(2) + len(m[2].rstrip())
+    for m in _BLOCK.finditer(text):
+        if sensitivity(m[2]):
+            at = m.start(3)
+            for line in m[3].split("\n"):
+                yield m[2], at + len(line) - len(line.lstrip()), at + len(line.rstrip())
+                at += len(line) + 1
+    for m in _COMMAND.finditer(text):
+        if sensitivity(m[1]) and not _REFERENCE.match(text, m.end()):
+            found = quoted(text, m.end()) or ((*v.span(), 0) if (v := _BARE.match(text, m.end())) else None)
+            if found:
+                yield m[1], found[0], found[1]
+    for m in _CALL.finditer(text) if "(" in text else ():
+        if sensitivity(m[1].rpartition(".")[2]):
+            if found := quoted(text, m.end()):
+                yield m[1], found[0], found[1]
+            elif v := _IDENTIFIER.match(text, m.end()):
+                yield m[1], v.start(), -1
+        if (first := quoted(text, m.end())) and (comma := _NEXT.match(text, first[2])) and (second := quoted(text, comma.end())):
+            yield text[first[0] : first[1]], second[0], second[1]
+
+
 def assigned(text: str) -> list[tuple[int, int, float]]:
     """Literals that reach a sensitive name: start, end, score."""
     known: dict[str, Value] = {}
     found: dict[tuple[int, int], float] = {}
+
+    def reach(value: Value, weight: float) -> None:
+        todo = [value]
+        while todo:
+            v = todo.pop()
+            if v.weight >= weight:
+                continue
+            v.weight = weight
+            todo += v.parts
+            for a, b, bare in v.spans:
+                score = weight * (credential_score(text[a:b]) if bare is None else bare.score(a))
+                if score >= THRESHOLD:
+                    found[a, b] = max(score, found.get((a, b), 0.0))
+
     run = Bare(text, -1, -1)  # the last bare value
     for name, at in heads(text):
         spans, parts = [], []
         while True:
-            if text[at : at + 1] in _MAY_QUOTE and (m := _QUOTED.match(text, at)):
-                spans.append((*m.span(m.lastindex), None))
-                end = m.end()
+            if m := quoted(text, at):
+                spans.append((*m[:2], None))
+                end = m[2]
             else:
                 at += text[at : at + 1] in _QUOTES  # not closed
                 if not run.start <= at < run.end:
@@ -163,9 +224,18 @@ def assigned(text: str) -> list[tuple[int, int, float]]:
                     run = Bare(text, at, m.end())
                 end = run.end
                 named = _NAME.match(text, at + (text[at] == "$"), end)
+                if text[end : end + 1] == "(" and _NAME.match(text, at, end):  # a call: its first literals on the line
+                    at = end + 1
+                    while m := quoted(text, at):
+                        spans.append((*m[:2], None))
+                        end = m[2]
+                        if not (comma := _NEXT.match(text, end)):
+                            break
+                        at = comma.end()
+                    break
                 if named and named[0] in known:
                     parts.append(known[named[0]])
-                elif not named or any(c.isdigit() for c in named[0]):
+                elif not _REFERENCE.match(text, at) and (not named or any(c.isdigit() for c in named[0])):
                     spans.append((at, end, run))
             if text[end : end + 1] not in _MAY_PLUS or not (m := _PLUS.match(text, end)):
                 break
@@ -173,17 +243,14 @@ def assigned(text: str) -> list[tuple[int, int, float]]:
         if spans or parts:
             value = known[name] = Value(spans, parts)
             if weight := sensitivity(name):
-                todo = [value]
-                while todo:
-                    v = todo.pop()
-                    if v.weight >= weight:
-                        continue
-                    v.weight = weight
-                    todo += v.parts
-                    for a, b, bare in v.spans:
-                        score = weight * (credential_score(text[a:b]) if bare is None else bare.score(a))
-                        if score >= THRESHOLD:
-                            found[a, b] = max(score, found.get((a, b), 0.0))
+                reach(value, weight)
+    low = text.lower()
+    for name, a, b in other_pairs(text) if any(s in low for s in _STEMS) else ():
+        if weight := sensitivity(name):
+            if b >= 0:
+                reach(Value([(a, b, None)], []), weight)
+            elif (v := _IDENTIFIER.match(text, a)) and v[0] in known:
+                reach(known[v[0]], weight)
     return [(a, b, s) for (a, b), s in found.items()]
 
 
@@ -196,7 +263,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int, float]]:
     if "AKIA" in text:
         out += [("access", *m.span(), 1.0) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [("hex", *m.span(), 1.0) for m in HEX.finditer(text)]
-    if "=" in text or ":" in text:
+    if "=" in text or ":" in text or any(s in low for s in _STEMS):
         out += [("literal", a, b, s) for a, b, s in assigned(text)]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -749,6 +749,39 @@ def test_secrets_lex_whole_literals():
     assert secrets.masked("DB_PASSWORD=P@ssw0rd!2024 x") == "DB_PASSWORD=[SECRET] x"
 
 
+SECRET = "Zx81kQ0vTr55"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"<db><password>{SECRET}</password></db>", f'<c:apiKey enc="no"> {SECRET} </c:apiKey>', f"key:\n  client_secret: |\n    {SECRET}\n\n    other line\nnext: 1", f"- token: >-\n    {SECRET}",
+        f"set password {SECRET}", f'setenv DB_PASSWORD "{SECRET}"', f"machine h login me password {SECRET}", f"run --api-key {SECRET} -v", f'conn.setPassword("{SECRET}")', f"conn.set_password( '{SECRET}' )",
+        f'p.setProperty("db.password", "{SECRET}")', f"put('apiKey', '{SECRET}')", f'token := fmt.Sprintf("{SECRET}")', f'secret = decode("x", "{SECRET}")', f'k = "{SECRET}"\nclient.setToken(k)', f'# old: password = "{SECRET}"',
+    ],
+)
+def test_secrets_of_other_syntaxes(text):
+    assert SECRET in [text[a:b] for k, a, b, _ in secrets.find_secrets(text) if k == "literal"]
+
+
+def test_secret_syntaxes_take_linear_time():
+    began = time.time()
+    for piece in ("a", " ", "<a", "<a>", "(", "set ", "-", "'", "a(", "a:\n ", '"', "x.", "a, "):
+        secrets.find_secrets("password " + piece * 200_000)
+    assert time.time() - began < 40
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "DB_PASSWORD=$OTHER_VAR1", "password: ${VAULT_PATH_12}", "set PASSWORD %OTHER_VAR1%", f"<colour>{SECRET}</colour>", f"print('{SECRET}')", f'put("colour", "{SECRET}")', f"note: |\n  {SECRET}", f"set colour {SECRET}",
+        "the secret of the token is a key to it", "password := read(stdin)", "<password></password>", "set password", "token(",
+    ],
+)
+def test_references_and_other_names_are_no_secrets(text):
+    assert [x for x in secrets.find_secrets(text) if x[0] == "literal"] == []
+
+
 def test_secrets_propagate_all_literals():
     found = lambda t: [t[a:b] for k, a, b, _ in secrets.find_secrets(t) if k == "literal"]
     many = [f"Zx81kQ0v{i:05}" for i in range(3000)]
