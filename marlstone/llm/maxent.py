@@ -8,7 +8,8 @@ counts. The end of a text is a class of its own. Both factors are softmaxes over
 
 *Features* are of the words before, whichever they are: the word before, the two words before together (bigram history),
 the word before that alone (skip), and the last letters of both, for words that are rare. Each is hashed into ``buckets`` weights for each class, and, together with the class,
-for each cell; the buckets follow the number of distinct words, between two bounds. The biases are the
+for each cell; the buckets grow with the number of distinct words, from 2^10 to 2^17 (17 MB of weights, which the driver and a broadcast hold at
+most; from a million distinct words on, more of them share a bucket). The biases are the
 classes' and cells' own probabilities, so a model without weights is the base.
 
 A word never seen keeps P0 = 1/(N + V + 1) and the others share the rest: a distribution over the training words and one unknown.
@@ -23,7 +24,8 @@ counts are summed over blocks, and each block gets back the part of the vocabula
 corpus is broadcast or collected. *Scoring* turns a block's texts into index arrays; numpy does the rest in slices.
 
 Defined results: null and empty texts are one end token. A null id counts as an empty text for the fold. Repeated rows
-count as often as they occur. Without training tokens every token is unknown. Only the id and text columns are read.
+count as often as they occur; texts are scored whole, however long. Of equally frequent words the smaller is ranked first. Without training
+tokens every token is unknown. Only the id and text columns are read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,12 +52,12 @@ SPELT = WAYS - 1 - FREQUENT // WAYS
 #: Features of a token.
 FEATURES = 4
 #: Bounds of the number of buckets (powers of two), and distinct words a bucket between them.
-LEAST_BITS, MOST_BITS, WORDS_A_BUCKET = 10, 13, 64
+LEAST_BITS, MOST_BITS, WORDS_A_BUCKET = 10, 17, 8
 UPDATES = 3
 #: Observations of no information that damp each step, and the longest step.
 DAMPING, LONGEST = 8.0, 1.5
 #: Bytes of text of a block, and of a training task.
-BLOCK_BYTES, TASK_BYTES = 16 << 20, 48 << 20
+BLOCK_BYTES, TASK_BYTES = 16 << 20, 96 << 20
 #: Tokens that numpy takes at once.
 SLICE = 1 << 15
 #: The end token; no word holds white space.
@@ -244,9 +246,10 @@ def gradients(model: Model, batches):
         error[np.arange(len(y)), y] += 1
         across = np.ascontiguousarray(error.T, dtype=np.float64)
         for f in used:
+            some, at = np.unique(f, return_inverse=True)  # the buckets of this slice, however many there are in all
             for k in range(WAYS):
-                g[t, k] += np.bincount(f, weights=across[k], minlength=size)
-            seen[t] += np.bincount(f * WAYS + y, minlength=size * WAYS)
+                g[t, k, some] += np.bincount(at, weights=across[k], minlength=len(some))
+            seen[t].reshape(size, WAYS)[some] += np.bincount(at * WAYS + y, minlength=len(some) * WAYS).reshape(-1, WAYS)
 
     for b in batches:
         texts = [(x or "").encode() for x in b.column(0).to_pylist()]
@@ -266,7 +269,7 @@ def gradients(model: Model, batches):
     for t in range(2):
         counts = seen[t].reshape(size, WAYS)
         used = np.flatnonzero(counts.any(axis=1))
-        rows = np.concatenate([g[t].T[used], counts[used]], axis=1)
+        rows = np.concatenate([g[t].T[used], counts[used]], axis=1).astype(np.float32)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * 2 * WAYS, pa.int32()), pa.array(rows.ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(t * size + used), flat], names=["part", "s"])
 
@@ -279,14 +282,14 @@ def train(docs: DataFrame, model: Model, n_bytes: int, updates: int = UPDATES) -
     for u in range(updates):
         shared = spark.sparkContext.broadcast(model)  # of bounded size: 2 ** MOST_BITS buckets
         share = kept.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(updates)) == u).select("text").coalesce(tasks)
-        parts = share.mapInArrow(lambda batches, shared=shared: gradients(shared.value, batches), "part long, s array<double>")
+        parts = share.mapInArrow(lambda batches, shared=shared: gradients(shared.value, batches), "part long, s array<float>")
         summed = parts.groupBy("part").agg(*[F.sum(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(2 * WAYS)])
         step = [F.col(f"s{i}") / (FEATURES * F.greatest(F.col(f"s{WAYS + i}") - F.col(f"s{i}"), F.lit(0.0)) + DAMPING) for i in range(WAYS)]
         steps = summed.select("part", F.array(*[F.greatest(F.lit(-LONGEST), F.least(F.lit(LONGEST), x)).cast("float") for x in step]).alias("step")).toArrow()
         if not steps.num_rows:
             continue
         delta = np.zeros((2 * size, WAYS), np.float32)
-        delta[steps.column("part").to_numpy()] = np.array(steps.column("step").to_pylist(), np.float32)
+        delta[steps.column("part").to_numpy()] = steps.column("step").combine_chunks().flatten().to_numpy().reshape(-1, WAYS)
         model = replace(model, class_weights=model.class_weights + delta[:size], cell_weights=model.cell_weights + delta[size:])
         shared.destroy()
     return model
