@@ -15,7 +15,7 @@ from marlstone.functions.text import answer_words, strip
 SYSTEM_PROMPT = "You answer questions about company filings. Use nothing but the passages given. Keep it short, and close with the numbers of the passages that you used."
 #: Characters kept of a passage in answer records, of a question in reports, and of texts shown to readers.
 PASSAGE_CHARS = 500
-QUESTION_CHARS, NEIGHBOUR_CHARS, SNIPPET_CHARS = 120, 120, 150
+QUESTION_CHARS, SNIPPET_CHARS = 120, 150
 
 
 def evidence_text(evidence: Column) -> Column:

@@ -41,6 +41,14 @@ def answers_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_jsonl(spark, path, record).select("qa_id", "run_id", "question", "generated_answer")
 
 
+@query(f"WITH {QA} SELECT qa_id, question, answer AS generated_answer, NULL::VARCHAR AS company FROM qa")
+def answers_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answer records read by their schema: keys that a record lacks are null."""
+    path = shared_folder(spark)
+    files.write_jsonl(qa_pairs(spark, sf_dir).select("qa_id", "question", F.col("answer").alias("generated_answer")), path)
+    return files.read_answers(spark, path).select("qa_id", "question", "generated_answer", "company")
+
+
 @query("SELECT doc_id::VARCHAR AS doc_name, CASE WHEN lang = 'en' THEN 'ok' ELSE 'failed' END AS status, CASE WHEN lang = 'en' THEN n_chars::VARCHAR END AS n_pages, CASE WHEN lang <> 'en' THEN source END AS error FROM documents")
 def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A status report with fixed columns, absent ones empty, as CSV and back."""
@@ -394,19 +402,21 @@ WITH {QA}, {_N} SELECT 'given' AS config, count(*) AS n_samples, round(avg(exact
 UNION ALL SELECT 'gold', count(*), 1.0, round(avg(CASE WHEN ng > 0 THEN 1.0 ELSE 0.0 END), 4) FROM f
 """)
 def config_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of several configurations side by side; one that can't be planned is left out."""
+    """Reports of several configurations side by side; one that fails while it runs, and one that can't be planned, are left out."""
     pairs = qa_pairs(spark, sf_dir).select("qa_id", "question", "answer")
 
     def samples(pred: str) -> DataFrame:
         p, g = F.col(pred), F.col("answer")
         return pairs.select("qa_id", metrics.exact_match(p, g).alias("exact_match"), F.round(metrics.token_f1(p, g), 4).alias("token_f1"))
 
-    class Broken:
-        def withColumn(self, *_):
-            raise RuntimeError("no such model")
+    def dies() -> DataFrame:
+        """A model that answers some questions and fails on others, in the tasks."""
+        model = answering.ModelGenerator("dies", lambda: lambda system, prompt: prompt if len(prompt) < 10 else str(1 // 0))
+        made = model.generate(pairs.withColumn("prompt", F.col("question")))
+        return made.select("qa_id", metrics.exact_match(F.col("generated_answer"), F.col("answer")).alias("exact_match"))
 
-    reports, failed = ablation.compare({"given": samples("question"), "broken": Broken(), "gold": samples("answer")})
-    assert list(failed) == ["broken"]
+    reports, failed = ablation.compare({"given": samples("question"), "dies": dies, "gold": lambda: samples("answer"), "unplanned": lambda: samples("no such column")})
+    assert sorted(failed) == ["dies", "unplanned"] and "ZeroDivisionError" in failed["dies"]
     return reports
 
 

@@ -9,7 +9,7 @@ from marlstone.operators import ablation, answering, metrics, vectors
 from marlstone.operators import retrieval as search_ops
 from marlstone.plans.inputs import PACKED, QA, chunk_texts, qa_pairs, sql_words, table
 from marlstone.plans.registry import query
-from marlstone.sources.tables import written
+from marlstone.sources.tables import shared_folder, written
 
 TOP = 5
 
@@ -272,8 +272,16 @@ def throughput_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH RECURSIVE {PACKED} SELECT 'hashed-words-256' AS embedding_model, 'exact' AS backend, count(*) AS n_chunks, count(DISTINCT doc_name) AS n_documents, 64 AS batch_size FROM ch
+WITH RECURSIVE {PACKED} SELECT 'hashed-words-256' AS embedding_model, 'exact' AS backend, count(*) AS n_chunks, count(DISTINCT doc_name) AS n_documents, 64::BIGINT AS batch_size FROM ch
 """)
 def index_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = chunk_texts(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("doc_name").alias("n_documents"))
-    return counted.select(F.lit(vectors.HashedWords().name).alias("embedding_model"), F.lit("exact").alias("backend"), "n_chunks", "n_documents", F.lit(64).alias("batch_size"))
+    """What the index job writes beside the vectors of all chunks, and the documents that the vector table holds."""
+    from marlstone.plans import jobs
+
+    none = F.lit(None).cast("string")
+    chunks = written(chunk_texts(spark, sf_dir).withColumns({"doc_type": none, "company": none, "doc_period": none, "chunk_type": F.lit("narrative")}))
+    path = shared_folder(spark)
+    jobs.index_driver(spark, chunks, path)
+    told = spark.read.option("multiLine", True).json(f"{path}/manifest.json").select("embedding_model", "backend", "n_chunks", "batch_size")
+    n = vectors.VectorStore(spark, f"{path}/vectors").table().select("doc_name").distinct().count()
+    return told.withColumn("n_documents", F.lit(n).cast("long"))

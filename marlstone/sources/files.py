@@ -75,10 +75,10 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 
 
 def write_report(df: DataFrame, path: str, fields: T.StructType, order: str = "doc_name") -> None:
-    """A CSV with fixed columns by document; a report has one row a document, so it is one file."""
+    """A CSV with fixed columns by document: sorted ranges, one file each, in the order of their names (a small report is one file)."""
     have = set(df.columns)
     row = df.select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
-    row.orderBy(order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    row.orderBy(order).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json(spark: SparkSession, value: dict, path: str) -> None:
