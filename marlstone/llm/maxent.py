@@ -9,7 +9,7 @@ counts. The end of a text is a class of its own. Both factors are softmaxes over
 *Features* are of the words before, whichever they are: the word before, the two words before together (bigram history),
 the word before that alone (skip), and the last letters of both, for words that are rare. Each is hashed into ``buckets`` weights for each class, and, together with the class,
 for each cell; the buckets grow with the number of distinct words, from 2^10 to 2^17 (17 MB of weights, which the driver and a broadcast hold at
-most; from a million distinct words on, more of them share a bucket). The biases are the
+most; beyond two million distinct words more of them share a bucket). The biases are the
 classes' and cells' own probabilities, so a model without weights is the base.
 
 A word never seen keeps P0 = 1/(N + V + 1) and the others share the rest: a distribution over the training words and one unknown.
@@ -52,12 +52,12 @@ SPELT = WAYS - 1 - FREQUENT // WAYS
 #: Features of a token.
 FEATURES = 4
 #: Bounds of the number of buckets (powers of two), and distinct words a bucket between them.
-LEAST_BITS, MOST_BITS, WORDS_A_BUCKET = 10, 17, 8
+LEAST_BITS, MOST_BITS, WORDS_A_BUCKET = 10, 17, 16
 UPDATES = 3
 #: Observations of no information that damp each step, and the longest step.
 DAMPING, LONGEST = 8.0, 1.5
-#: Bytes of text of a block, and of a training task.
-BLOCK_BYTES, TASK_BYTES = 16 << 20, 96 << 20
+#: Bytes of text of a block, and of a training task at most; smaller tasks, down to the last, where there are machines for them.
+BLOCK_BYTES, TASK_BYTES, SMALL_TASK_BYTES = 16 << 20, 96 << 20, 2 << 20
 #: Tokens that numpy takes at once.
 SLICE = 1 << 15
 #: The end token; no word holds white space.
@@ -162,6 +162,17 @@ def _log_shares(bias: np.ndarray, weights: np.ndarray, used: np.ndarray) -> np.n
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def _shares(bias: np.ndarray, weights: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """P of each outcome, (tokens, WAYS), where some outcome has a bias; steps are bounded, so no exponent is large."""
+    z = weights.take(used[0], axis=0)
+    for f in used[1:]:
+        z += weights.take(f, axis=0)
+    z += bias
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
 def log_cells(model: Model, features: np.ndarray, cells: np.ndarray) -> np.ndarray:
     """log P(cell | history) of each token."""
     out = np.empty(len(cells))
@@ -242,27 +253,27 @@ def gradients(model: Model, batches):
     g, seen = np.zeros((2, WAYS, size)), np.zeros((2, size * WAYS))
 
     def add(t: int, bias: np.ndarray, weights: np.ndarray, used: np.ndarray, y: np.ndarray) -> None:
-        error = -np.exp(_log_shares(bias, weights, used))
+        error = -_shares(bias, weights, used)
         error[np.arange(len(y)), y] += 1
         across = np.ascontiguousarray(error.T, dtype=np.float64)
         for f in used:
-            some, at = np.unique(f, return_inverse=True)  # the buckets of this slice, however many there are in all
             for k in range(WAYS):
-                g[t, k, some] += np.bincount(at, weights=across[k], minlength=len(some))
-            seen[t].reshape(size, WAYS)[some] += np.bincount(at * WAYS + y, minlength=len(some) * WAYS).reshape(-1, WAYS)
+                g[t, k] += np.bincount(f, weights=across[k], minlength=size)
+            np.add.at(seen[t], f * WAYS + y, 1.0)
 
+    step = max(SLICE, 2 * size)  # tokens at once: sums are made for all buckets, so these should not be the most
     for b in batches:
         texts = [(x or "").encode() for x in b.column(0).to_pylist()]
         i = 0
-        while i < len(texts):  # about a slice of tokens at a time
+        while i < len(texts):  # about a step of tokens at a time
             j, held = i, 0
-            while j < len(texts) and (j == i or held + len(texts[j]) < 6 * SLICE):
+            while j < len(texts) and (j == i or held + len(texts[j]) < 6 * step):
                 held += len(texts[j])
                 j += 1
             h, tails, cells, first = text_tokens(model, texts[i:j])
             features = histories(h, tails, first)
-            for s in range(0, len(cells), SLICE):
-                f, (c, k) = features[:, s : s + SLICE], np.divmod(cells[s : s + SLICE], WAYS)
+            for s in range(0, len(cells), step):
+                f, (c, k) = features[:, s : s + step], np.divmod(cells[s : s + step], WAYS)
                 add(0, model.class_bias, model.class_weights, buckets(f, model.bits), c)
                 add(1, model.cell_bias[c], model.cell_weights, buckets(f, model.bits, c), k)
             i = j
@@ -278,7 +289,8 @@ def train(docs: DataFrame, model: Model, n_bytes: int, updates: int = UPDATES) -
     """The model after ``updates`` jobs over as many shares of the training documents of ``doc_id, text``."""
     spark, size = docs.sparkSession, 1 << model.bits
     kept = docs.where(~held_out(F.col("doc_id")))
-    tasks = max(1, math.ceil(n_bytes / TASK_BYTES / max(1, updates)))
+    share_bytes = n_bytes / max(1, updates)
+    tasks = max(1, math.ceil(share_bytes / TASK_BYTES), min(spark.sparkContext.defaultParallelism, math.ceil(share_bytes / SMALL_TASK_BYTES)))
     for u in range(updates):
         shared = spark.sparkContext.broadcast(model)  # of bounded size: 2 ** MOST_BITS buckets
         share = kept.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(updates)) == u).select("text").coalesce(tasks)
