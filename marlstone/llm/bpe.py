@@ -12,7 +12,9 @@ bytes can reach back. ``MergeTable.lookahead`` computes it from the merge list i
 
 *Decoding* maps ids to bytes and feeds an incremental UTF-8 decoder, which holds at most three bytes.
 
-Defined results: a null text is the empty text; empty texts have no ids; the string of a special token
+Defined results: a null text is the empty text; empty texts have no ids; null ids stay null, repeated rows give repeated results, and an
+empty table gives no rows. ``bpe_digests`` keeps constant memory however long a text is; ``bpe_round_trip`` holds one document's ids and
+text, which it returns. Of merges of one rank the leftmost is made first. The string of a special token
 inside a text becomes that token's id, as the tokenizers library does when ``encode_special_tokens`` is
 off. Other columns of the input, whatever their names, are not touched by the operator: it takes the
 names of the id and text columns as parameters.

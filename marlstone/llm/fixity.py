@@ -16,7 +16,7 @@ differ are compared, so the work follows the damage. In the ranges that differ t
 * ``changed``: the id is in both replicas, with other content; * ``missing``: only the left replica holds the record;
 * ``surplus``: only the right one does; * ``moved``: the same record at another offset (beside the status ``intact``).
 
-Defined results: a null url or html is an empty one; an empty table has no records and equal (absent) roots.
+Defined results: a null url or html is an empty one; bodies are hashed whole, however long; an empty table has no records and equal (absent) roots.
 Repeated rows are told apart by content, equal ones by their number. In a range cut into parts, a changed record of a
 repeated id may read as a missing and a surplus one. Null ids are a range before all others. Only the named columns
 are read.

@@ -12,7 +12,8 @@
 4. In a shard, documents stand on a line in seeded order. The quota takes whole passes over the line and
    then its first blocks; a document's take is its share of that.
 
-Defined results: null and blank texts have size 0 and are taken 0 times. A null source is a source of its
+Defined results: null and blank texts have size 0 and are taken 0 times; texts are counted whole, however long. Of equal quotients the
+source or shard of smaller rank has the seat. A null source is a source of its
 own, and a null id hashes like an empty one. Ties in the seeded order go to the smaller id; repeated rows are separate documents of equal place
 (their order does not change the sum). An empty table gives no rows. Only the columns named by the
 parameters are read, so others can't clash; ``mixed_documents`` returns all columns, and takes every row by a number of its

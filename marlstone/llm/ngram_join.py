@@ -26,7 +26,8 @@ whole blocks of eight bytes (words over 64 bytes are digested by BLAKE2), so no
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; repeated rows of one
 id, and rows without an id, are documents of their own; ``component_id`` is the smallest id of a component's rows, null
-where none has one. Empty tables give no rows. Only the id and text columns are read.
+where none has one. Texts are hashed whole, in pieces of ``CHUNK`` bytes; two sets exactly at the threshold link. Of equal ids
+the row with the smaller number stands for the component. Empty tables give no rows. Only the id and text columns are read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@
 * Every step commits a new manifest: a JSON list of the live shards, written aside and renamed to the next
   version's name. The rename fails if that version exists, so of two writers one commits and the other
   tries again on the new state. Readers name a version and never see a half-done step. This needs a file system
-  whose rename is atomic (HDFS, a local disk); an object store without one needs a lock or a conditional put beside it.
+  whose rename is atomic (HDFS); Hadoop's local file system looks and then renames, so two writers on one local disk may both commit, and an
+  object store needs a lock or a conditional put beside it.
 * ``vacuum`` deletes shard folders that no kept version names. A writer puts a marker beside a folder before it writes
   and takes it away after its commit; marked folders stay, unless the marker is older than ``retention_s``, and so do
   the folders of versions, younger than that, which readers may hold.
@@ -18,7 +19,8 @@ The manifest has one entry per shard, not per row, and is all that passes the dr
 
 Defined results: empty arrivals commit no shard. Nulls, repeated rows and any columns are kept as they are;
 all arrivals must have the columns of the first, and ``read`` replaces a column named shard. Sizes are the bytes of the
-``size_col`` text plus 64 a row. A null arrival is one of its own.
+``size_col`` text plus 64 a row; a very long text is a row like any other (files are cut between rows). Shards of equal size are
+ordered by number. A null arrival is one of its own.
 """
 
 from __future__ import annotations
