@@ -13,7 +13,7 @@ from marlstone.config import ExtractionConfig, RetrievalConfig
 from marlstone.functions.text import count_tokens
 from marlstone.operators import ablation, answering, glossary, ivf, layout, metrics, retrieval, tables, vectors
 from marlstone.plans import jobs
-from marlstone.plans.inputs import LINES, PACKED, QA, chunk_texts, lines, qa_pairs, table
+from marlstone.plans.inputs import LINES, PACKED, QA, RECORDS, chunk_texts, lines, order_tables, qa_pairs, table
 from marlstone.plans.registry import query
 from marlstone.plans.retrieval import _LCS, _N, _ROUGE, _ranked_sql
 from marlstone.sources import catalog, files, remote
@@ -318,6 +318,67 @@ def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _simple_corpus(spark, sf_dir).report.select("doc_name", "status", "n_pages", "n_chunks_narrative", "n_chunks_table")
 
 
+def _orders_corpus(spark: SparkSession, sf_dir: str) -> jobs.Corpus:
+    """Each order as a page: a heading set larger, a paragraph, a title with a unit, the items as a table with a line inside its box, and a last
+    line. Open orders have a contents entry. A row's label holds a bar."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doc_name"), "o_orderkey", "o_custkey", "o_orderstatus")
+    customer = F.col("o_custkey").cast("string")
+    line = lambda block, text, y, size=10.0: F.struct(F.lit(block).alias("block"), text.alias("text"), F.lit(float(y)).alias("y0"), F.lit(size).alias("size"))
+    page = F.array(
+        line(0, F.concat(F.lit("Order of customer "), customer), 100, 14.0), line(1, F.concat(F.lit("This order was placed by customer "), customer, F.lit(" and holds the items below.")), 130),
+        line(2, F.lit("Items of the order (in millions)"), 160), line(3, F.lit("a line inside the table"), 205), line(4, F.lit("All items were shipped."), 300),
+    )
+    spans = orders.select("doc_name", F.explode(page).alias("l")).select(
+        "doc_name", F.lit(0).alias("page"), F.lit(800.0).alias("page_height"), "l.block", F.lit(0).alias("line"), F.lit(0).alias("span"), "l.text", "l.size", F.lit(False).alias("bold"),
+        F.lit(50.0).alias("x0"), "l.y0", F.lit(500.0).alias("x1"), (F.col("l.y0") + 10).alias("y1"),
+    )
+    barred = F.transform("cells", lambda c: F.when(c.startswith("Part "), F.replace(c, F.lit(" "), F.lit("|"))).otherwise(c))
+    box = [F.lit(v).alias(n) for n, v in (("x0", 40.0), ("y0", 190.0), ("x1", 510.0), ("y1", 260.0))]
+    cells = order_tables(spark, sf_dir).select(F.col("order_key").cast("string").alias("doc_name"), "row_no", F.posexplode(barred).alias("col_no", "cell"))
+    cells = cells.select("doc_name", F.lit(0).alias("page"), F.lit(0).alias("table_no"), "row_no", "col_no", "cell", *box)
+    toc = orders.where("o_orderstatus = 'O'").select("doc_name", F.lit(1).alias("level"), F.lit("Part O").alias("title"), F.lit(1).alias("page"), F.lit(0).cast("long").alias("ord"))
+    company = F.concat(F.lit("Customer "), customer).alias("company")
+    catalog_ = orders.select("doc_name", F.lit("order").alias("doc_type"), company, F.lit("2018").alias("doc_period"))
+    return jobs.build_corpus(written(spans), written(cells), toc, catalog_, replace(ExtractionConfig(), min_chunk_tokens=4))
+
+
+_ORDERS = rf"""{RECORDS},
+ct AS (SELECT l_orderkey AS order_key, count(*) AS m, count_if(l_linenumber % 3 < 2) AS f FROM lineitem GROUP BY l_orderkey),
+dd AS (SELECT o_orderkey AS order_key, coalesce(1 + f >= 0.2 * (1 + m), false) AS ok, o_orderstatus = 'O' AS listed, 'Customer ' || o_custkey AS company, 'Order of customer ' || o_custkey AS head,
+      'Order of customer ' || o_custkey || chr(10) || chr(10) || 'This order was placed by customer ' || o_custkey || ' and holds the items below.' || chr(10) || chr(10) || 'Items of the order (in millions)' AS told
+      FROM orders LEFT JOIN ct ON ct.order_key = o_orderkey),
+nr AS (SELECT order_key, group_no, count(*) AS n_rows FROM gt JOIN rec USING (order_key, row_label) GROUP BY ALL),
+tg AS (SELECT order_key, group_no, min(label_no)::INT AS first_label, max(label_no)::INT AS last_label,
+      'Items of the order (in millions) (' || any_value(company) || ', 2018, in millions)' || chr(10) || chr(10) || '| Line Item | ' || array_to_string(any_value(cols), ' | ') || ' |' || chr(10) || '| --- | '
+      || array_to_string(list_transform(any_value(cols), lambda c: '---'), ' | ') || ' |' || chr(10) || string_agg('| ' || replace(row_label, ' ', '\|') || ' | ' || array_to_string(cells, ' | ') || ' |', chr(10) ORDER BY label_no) AS text
+      FROM gt JOIN dd USING (order_key) WHERE ok GROUP BY order_key, group_no),
+oc AS (SELECT order_key, 0 AS i, 'narrative' AS chunk_type, told || CASE WHEN ok THEN '' ELSE chr(10) || chr(10) || 'a line inside the table' || chr(10) || chr(10) || 'All items were shipped.' END AS text,
+      NULL::INT AS first_label, NULL::INT AS last_label, NULL::BIGINT AS n_rows FROM dd
+      UNION ALL SELECT order_key, 1 + group_no, 'table', text, first_label, last_label, n_rows FROM tg JOIN nr USING (order_key, group_no)
+      UNION ALL SELECT order_key, 1 + coalesce(n, 0), 'narrative', 'All items were shipped.', NULL, NULL, NULL FROM dd LEFT JOIN (SELECT order_key, count(*) AS n FROM tg GROUP BY order_key) USING (order_key) WHERE ok)
+"""
+
+
+@query(rf"""
+WITH {_ORDERS} SELECT order_key::VARCHAR AS doc_name, i::INT AS chunk_index, printf('%s__p0000__c%04d', order_key::VARCHAR, i::INT) AS chunk_id, chunk_type, CASE WHEN listed THEN 'Part O' ELSE head END AS section,
+ CASE WHEN listed THEN 'part_o' ELSE replace(lower(head), ' ', '_') END AS section_id, len(string_split_regex(text, '\s+'))::INT AS n_tokens, text, CASE WHEN chunk_type = 'table' THEN order_key::VARCHAR || '__table001' END AS table_id,
+ first_label, last_label, CASE WHEN chunk_type = 'table' THEN 'in millions' END AS unit_hint, n_rows, company FROM oc JOIN dd USING (order_key)
+""")
+def corpus_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The build of documents with tables, contents, headings by size, a line that a table covers, and labels with bars."""
+    s = F.col("structured")
+    return _orders_corpus(spark, sf_dir).chunks.select(
+        "doc_name", "chunk_index", "chunk_id", "chunk_type", "section", "section_id", "n_tokens", "text", s["table_id"].alias("table_id"), F.get(s["row_range"], F.lit(0)).alias("first_label"),
+        F.get(s["row_range"], F.lit(1)).alias("last_label"), s["unit_hint"].alias("unit_hint"), F.when(s.isNotNull(), F.size(s["rows"])).cast("long").alias("n_rows"), "company",
+    )
+
+
+@query(f"WITH {_ORDERS} SELECT order_key::VARCHAR AS doc_name, 'ok' AS status, count_if(chunk_type = 'narrative')::BIGINT AS n_chunks_narrative, count_if(chunk_type = 'table')::BIGINT AS n_chunks_table FROM oc GROUP BY order_key")
+def tables_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of that build, with chunks of both kinds."""
+    return _orders_corpus(spark, sf_dir).report.select("doc_name", "status", "n_chunks_narrative", "n_chunks_table")
+
+
 # stores
 
 
