@@ -106,7 +106,9 @@ def with_rouge(rows: DataFrame, pred: str, gold: str, stemmed: bool = False, lon
     return out.drop("_p", "_g", "_p1", "_g1", "_p2", "_g2", "_l")
 
 
-MEANS = ("bertscore_f1", "exact_match", "token_f1", "context_precision", "rouge1", "rouge2", "rougeL", "retrieval_time_s", "generation_time_s", "total_inference_time_s")
+MEANS = ("exact_match", "token_f1", "context_precision", "rouge1", "rouge2", "rougeL", "retrieval_time_s", "generation_time_s", "total_inference_time_s")
+#: The column of a model-based score.
+MODEL_SCORE = "bertscore_f1"
 
 
 def with_total_time(answers: DataFrame) -> DataFrame:
@@ -194,7 +196,7 @@ def alignment(rows: DataFrame, key: str, pred: str, gold: str, embedder, idf: bo
     return texts.mapInArrow(run, f"`{key}` {kind}, align_precision double, align_recall double, align_f1 double")
 
 
-def with_score(samples: DataFrame, score, column: str = "bertscore_f1") -> tuple[DataFrame, str | None]:
+def with_score(samples: DataFrame, score, column: str = MODEL_SCORE) -> tuple[DataFrame, str | None]:
     """samples (written) with a model-based score, rounded to four places, and None; where the model can't be loaded or fails on
     any row, the samples as they were and its error: the report loses the metric and nothing else. ``score`` maps samples to ``_row, value``."""
     rows = written(samples.withColumn("_row", F.monotonically_increasing_id()))
@@ -213,6 +215,6 @@ def alignment_score(embedder, pred: str = "generated_answer", gold: str = "groun
 def aggregate_report(samples: DataFrame, by: list[str] | None = None) -> DataFrame:
     """One row (per value of ``by``): the number of samples and the means of their rounded metrics; 0 where there are none. A model-based score
     (``with_score``) is among them when the samples have it."""
-    names = [m for m in MEANS if m in samples.columns]
+    names = [m for m in (*MEANS, MODEL_SCORE) if m in samples.columns]
     aggs = [F.count(F.lit(1)).alias("n_samples"), *[F.coalesce(F.round(F.avg(m), 4), F.lit(0.0)).alias(m) for m in names]]
     return samples.groupBy(*(by or [])).agg(*aggs)
