@@ -11,7 +11,7 @@ from marlstone.config import ExtractionConfig
 from marlstone.functions.text import count_tokens, dehyphenate, unwrap_url
 from marlstone.operators import chunking, layout
 from marlstone.plans.inputs import LIMIT, LINES, OVERLAP, PACKED, chunk_texts, lines, table
-from marlstone.plans.registry import query
+from marlstone.plans.query import query
 from marlstone.sources import catalog
 
 

@@ -14,7 +14,7 @@ from marlstone.functions.text import count_tokens
 from marlstone.operators import ablation, answering, glossary, ivf, layout, metrics, retrieval, tables, vectors
 from marlstone.plans import jobs
 from marlstone.plans.inputs import LINES, PACKED, QA, RECORDS, chunk_texts, lines, order_tables, qa_pairs, table
-from marlstone.plans.registry import query
+from marlstone.plans.query import query
 from marlstone.plans.retrieval import _LCS, _N, _ROUGE, _ranked_sql
 from marlstone.sources import catalog, files, remote
 from marlstone.sources import layout as parsing

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import ablation, answering, metrics, vectors
 from marlstone.operators import retrieval as search_ops
 from marlstone.plans.inputs import PACKED, QA, chunk_texts, qa_pairs, sql_words, table
-from marlstone.plans.registry import query
+from marlstone.plans.query import query
 from marlstone.sources.tables import shared_folder, written
 
 TOP = 5
