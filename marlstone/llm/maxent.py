@@ -153,21 +153,26 @@ def buckets(features: np.ndarray, bits: int, classes: np.ndarray | None = None)
     return (features >> _U32(32 - bits)).astype(np.int64)
 
 
-def _log_shares(bias: np.ndarray, weights: np.ndarray, used: np.ndarray) -> np.ndarray:
-    """log P of each outcome: (tokens, WAYS)."""
-    z = bias + weights[used[0]]
-    for f in used[1:]:
-        z += weights[f]
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
-def _shares(bias: np.ndarray, weights: np.ndarray, used: np.ndarray) -> np.ndarray:
-    """P of each outcome, (tokens, WAYS), where some outcome has a bias; steps are bounded, so no exponent is large."""
+def _sums(bias: np.ndarray, weights: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Bias and weights of each outcome, (tokens, WAYS). Steps are bounded, so no exponent is too large."""
     z = weights.take(used[0], axis=0)
     for f in used[1:]:
         z += weights.take(f, axis=0)
     z += bias
+    return z
+
+
+def _log_share(bias: np.ndarray, weights: np.ndarray, used: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """log P of the outcome y of each token."""
+    z = _sums(bias, weights, used)
+    own = z[np.arange(len(y)), y].astype(np.float64)
+    np.exp(z, out=z)
+    return own - np.log(np.maximum(z.sum(axis=1, dtype=np.float64), 1e-300))
+
+
+def _shares(bias: np.ndarray, weights: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """P of each outcome, (tokens, WAYS), where some outcome has a bias."""
+    z = _sums(bias, weights, used)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
     return z
@@ -178,9 +183,8 @@ def log_cells(model: Model, features: np.ndarray, cells: np.ndarray) -> np.ndarr
     out = np.empty(len(cells))
     for i in range(0, len(cells), SLICE):
         f, (c, k) = features[:, i : i + SLICE], np.divmod(cells[i : i + SLICE], WAYS)
-        at = np.arange(len(c))
-        first = _log_shares(model.class_bias, model.class_weights, buckets(f, model.bits))[at, c]
-        out[i : i + SLICE] = first + _log_shares(model.cell_bias[c], model.cell_weights, buckets(f, model.bits, c))[at, k]
+        out[i : i + SLICE] = _log_share(model.class_bias, model.class_weights, buckets(f, model.bits), c)
+        out[i : i + SLICE] += _log_share(model.cell_bias[c], model.cell_weights, buckets(f, model.bits, c), k)
     return out
 
 
