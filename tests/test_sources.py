@@ -102,8 +102,10 @@ def test_comparison_keeps_going(spark):
         def withColumn(self, *_):
             raise RuntimeError("no model")
 
-    table, failed = ablation.compare({"a": good, "b": Bad(), "c": good.withColumn("token_f1", F.lit(1.0))})
-    assert {(r.config, r.token_f1) for r in table.collect()} == {("a", 0.5), ("c", 1.0)} and failed == {"b": "no model"}
+    running = good.withColumn("token_f1", F.raise_error(F.lit("died in a task")).cast("double"))
+    table, failed = ablation.compare({"a": good, "b": Bad(), "c": lambda: good.withColumn("token_f1", F.lit(1.0)), "d": running})
+    assert {(r.config, r.token_f1) for r in table.collect()} == {("a", 0.5), ("c", 1.0)} and failed["b"] == "no model"
+    assert set(failed) == {"b", "d"} and "died in a task" in failed["d"]
 
 
 def test_hosts_are_asked_politely():
