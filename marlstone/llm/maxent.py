@@ -265,7 +265,7 @@ def gradients(model: Model, batches):
                 g[t, k] += np.bincount(f, weights=across[k], minlength=size)
             np.add.at(seen[t], f * WAYS + y, 1.0)
 
-    step = max(SLICE, 2 * size)  # tokens at once: sums are made for all buckets, so these should not be the most
+    step = max(SLICE, size)  # tokens at once: sums are made for all buckets, so these should not be the most
     for b in batches:
         texts = [(x or "").encode() for x in b.column(0).to_pylist()]
         i = 0
