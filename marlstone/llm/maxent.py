@@ -37,6 +37,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,9 +58,10 @@ UPDATES = 3
 #: Observations of no information that damp each step, and the longest step.
 DAMPING, LONGEST = 8.0, 1.5
 #: Bytes of text of a block, and of a training task at most; smaller tasks, down to the last, where there are machines for them.
-BLOCK_BYTES, TASK_BYTES, SMALL_TASK_BYTES = 16 << 20, 96 << 20, 2 << 20
-#: Tokens that numpy takes at once.
+BLOCK_BYTES, TASK_BYTES, SMALL_TASK_BYTES = 8 << 20, 96 << 20, 2 << 20
+#: Tokens that numpy takes at once, and buckets that a task sends at once.
 SLICE = 1 << 15
+SENT = 1 << 13
 #: The end token; no word holds white space.
 END = b"\n"
 NONE = -1e30
@@ -196,10 +198,10 @@ def count_blocks(blocks: DataFrame) -> DataFrame:
         for key, text in zip(table.column("doc_id").to_pylist(), table.column("text")):
             (others if _held(key) else train).update(tokens(text.as_py()))
         others -= train.keys()
-        names = [*train, *others]
-        block = table.column("block")[0].as_py()
         counts = np.concatenate([np.fromiter(train.values(), np.int64, len(train)), np.zeros(len(others), np.int64)])
-        return pa.table({"block": pa.array(np.full(len(names), block, np.int64)), "word": pa.array(names, pa.binary()), "n_train": pa.array(counts)})
+        names = pa.concat_arrays([pa.array(list(x), pa.binary()) for x in (train, others)])
+        block = table.column("block")[0].as_py()
+        return pa.table({"block": pa.array(np.full(len(names), block, np.int64)), "word": names, "n_train": pa.array(counts)})
 
     return blocks.groupBy("block").applyInArrow(run, "block long, word binary, n_train long")
 
@@ -254,27 +256,30 @@ def text_tokens(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarra
 def gradients(model: Model, batches):
     """Of a partition's texts: by softmax and bucket, the gradient and the observed count of each outcome."""
     size = 1 << model.bits
-    g, seen = np.zeros((2, WAYS, size)), np.zeros((2, size * WAYS))
+    g, seen = np.zeros((2, WAYS, size)), np.zeros((2, size * WAYS), np.uint32)
 
     def add(t: int, bias: np.ndarray, weights: np.ndarray, used: np.ndarray, y: np.ndarray) -> None:
-        error = -_shares(bias, weights, used)
+        error = _shares(bias, weights, used)
+        np.negative(error, out=error)
         error[np.arange(len(y)), y] += 1
-        across = np.ascontiguousarray(error.T, dtype=np.float64)
+        for k in range(WAYS):
+            own = error[:, k].astype(np.float64)
+            for f in used:
+                g[t, k] += np.bincount(f, weights=own, minlength=size)
         for f in used:
-            for k in range(WAYS):
-                g[t, k] += np.bincount(f, weights=across[k], minlength=size)
-            np.add.at(seen[t], f * WAYS + y, 1.0)
+            np.add.at(seen[t], f * WAYS + y, np.uint32(1))
 
     step = max(SLICE, size)  # tokens at once: sums are made for all buckets, so these should not be the most
     for b in batches:
-        texts = [(x or "").encode() for x in b.column(0).to_pylist()]
+        lens = pc.fill_null(pc.binary_length(b.column(0)), 0).to_numpy(zero_copy_only=False)
         i = 0
-        while i < len(texts):  # about a step of tokens at a time
+        while i < len(lens):  # about a step of tokens at a time; only its texts are Python's
             j, held = i, 0
-            while j < len(texts) and (j == i or held + len(texts[j]) < 6 * step):
-                held += len(texts[j])
+            while j < len(lens) and (j == i or held + lens[j] < 6 * step):
+                held += int(lens[j])
                 j += 1
-            h, tails, cells, first = text_tokens(model, texts[i:j])
+            texts = [x or b"" for x in b.column(0).slice(i, j - i).cast(pa.binary()).to_pylist()]
+            h, tails, cells, first = text_tokens(model, texts)
             features = histories(h, tails, first)
             for s in range(0, len(cells), step):
                 f, (c, k) = features[:, s : s + step], np.divmod(cells[s : s + step], WAYS)
@@ -283,10 +288,12 @@ def gradients(model: Model, batches):
             i = j
     for t in range(2):
         counts = seen[t].reshape(size, WAYS)
-        used = np.flatnonzero(counts.any(axis=1))
-        rows = np.concatenate([g[t].T[used], counts[used]], axis=1).astype(np.float32)
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * 2 * WAYS, pa.int32()), pa.array(rows.ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(t * size + used), flat], names=["part", "s"])
+        every = np.flatnonzero(counts.any(axis=1))
+        for i in range(0, len(every), SENT):
+            used = every[i : i + SENT]
+            rows = np.concatenate([g[t][:, used].T.astype(np.float32), counts[used].astype(np.float32)], axis=1)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * 2 * WAYS, pa.int32()), pa.array(rows.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(t * size + used), flat], names=["part", "s"])
 
 
 def train(docs: DataFrame, model: Model, n_bytes: int, updates: int = UPDATES) -> Model:
@@ -320,13 +327,14 @@ def score(blocks: DataFrame, vocabulary: DataFrame, model: Model) -> DataFrame:
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         model = shared.value
         names = words.column("word").to_pylist()
-        n = np.asarray(words.column("n").to_pylist(), np.int64)
-        of = dict(zip(names, range(len(names))))
+        n = words.column("n").to_numpy()
         base = np.log10((n + 1) / (total + distinct + 1))
         cell = cells_of(model, names)
         own = np.log1p(-unknown) - np.where(model.mass > 0, np.log(np.maximum(model.mass, 1e-300)), 0.0)
         share = own[cell]
         hashes, tails = hashed([w if w != END else b"." for w in names])
+        of = dict(zip(names, range(len(names))))
+        del names
         known = n > 0
         keys = docs.column("doc_id").to_pylist()
         texts = docs.column("text")

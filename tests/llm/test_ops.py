@@ -3,9 +3,12 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -700,6 +703,30 @@ def test_maxent_is_a_distribution_that_learns(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.2 * sum(r.n_tokens for r in held)
 
 
+def test_maxent_training_task_is_small():
+    """With the most buckets and a large batch of texts: the sums of a plain loop, few buckets sent at once, and little memory beside the model's."""
+    rng = np.random.default_rng(5)
+    weights = lambda: rng.normal(0, 0.1, (1 << maxent.MOST_BITS, maxent.WAYS)).astype(np.float32)
+    zeros = np.zeros((maxent.WAYS, maxent.WAYS), np.float32)
+    model = maxent.Model(maxent.MOST_BITS, np.zeros(0, np.uint64), zeros[0], zeros, weights(), weights(), np.zeros(maxent.WAYS**2), 10, 10)
+    texts = [None, "", *(" ".join(f"w{x}" for x in rng.integers(0, 10**6, 400)) for _ in range(2000)), None]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([*texts, *["x" * 20_000] * 2000])})
+    tracemalloc.start()
+    sums, seen, rows = np.zeros(maxent.WAYS), Counter(), []
+    for sent in maxent.gradients(model, [batch]):
+        s = sent.column(1).flatten().to_numpy().reshape(-1, 2 * maxent.WAYS)
+        part = sent.column(0).to_numpy() >> maxent.MOST_BITS
+        sums += s[:, : maxent.WAYS].sum(axis=0, dtype=np.float64)
+        for t in (0, 1):
+            seen[t] += s[part == t, maxent.WAYS :].sum(dtype=np.float64)
+        rows.append(sent.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == dict.fromkeys((0, 1), maxent.FEATURES * sum(len(maxent.tokens(t)) for t in [*texts, *["x"] * 2000]))
+    assert abs(sums.sum()) < 1  # of each token, what is observed less what is expected
+    assert max(rows) <= 1 << 13 and peak < 120e6, (max(rows), peak)
+
+
 # 9
 
 
