@@ -5,14 +5,14 @@ assistant by ``[/INST]``, the system by ``<<SYS>>``, any other role by ``<<SYS>>
 and roles are escaped by one more backslash after their first character, so ``</s>`` is written ``<\\/s>`` and what was ``<\\/s>`` before
 becomes ``<\\\\/s>``; taking one away gives the text back. So control strings without a backslash are the template's alone.
 
-A conversation's formatted text is its segments in the order of turns. Every assistant turn is an example: its context is all text
-before it, its loss mask covers its reply's text and nothing else. Turns after the last reply make one more example
-without a mask, so that examples hold every turn. An example is kept as places in the conversation's formatted text (``context_chars,
-loss_start, loss_end, chars``): whole contexts would repeat the text once a reply, quadratic in a long conversation.
-``example_texts`` writes them out for who wants that.
+A conversation's formatted text is its segments in the order of turns. It is expanded into one example for every assistant turn: its
+prefix is all text before the reply, its target the reply and its end, its loss mask covers the reply's text and nothing else. Turns
+after the last reply make one more example, a prefix without target and mask, so that examples hold every turn. What is under the
+masks is read from the examples' own texts.
 
 A conversation's rows meet in one group only up to ``BLOCK_TURNS`` of them. Longer ones are sorted by ranges and cut into blocks
-of that many turns; offsets come from the blocks' lengths. Only the digest of a whole conversation, being one SHA-256, needs its
+of that many turns; offsets come from the blocks' lengths. Prefixes are quadratic in a block's text, so in a long conversation a prefix is written
+from its block's start; ``before`` says how much of the conversation, its blocks before, stands in front. Only the digest of a whole conversation, being one SHA-256, needs its
 text as one value (2 GB at most), put together from few rows.
 
 Defined results: null texts and roles are empty ones; rows without a conversation id are one conversation; rows without a turn come
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import materialize, read_table, small
 
 #: Turns of a conversation that one group holds.
-BLOCK_TURNS = 4096
+BLOCK_TURNS = 1024
 BEGIN, END = "<s>", "</s>"
 MARKS = {"user": "[INST]", "assistant": "[/INST]", "system": "<<SYS>>"}
 CLOSE = "<</SYS>>"
@@ -82,10 +82,11 @@ def formatted_blocks(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> tuple[
 
 
 def block_turns(blocks: DataFrame) -> DataFrame:
-    """The turns read back from blocks: ``conv_id, block, no`` (from 0 in the block), ``role, text`` and, as code points from
-    the block's first, ``start``, ``text_start``, ``text_end``, ``end`` of its segment and of its escaped text."""
+    """The turns read back from blocks: the blocks' columns, with ``pieces`` (their segments without ends) for the text, and ``no`` (from 0
+    in the block), ``piece`` (the turn's own), ``head`` (code points of its header), ``role, text``."""
     pieces = F.split("formatted", END)
-    rows = blocks.select("conv_id", "block", F.posexplode(F.slice(pieces, 1, F.size(pieces) - 1)).alias("no", "piece"))
+    kept = [c for c in blocks.columns if c != "formatted"]
+    rows = blocks.select(*kept, F.slice(pieces, 1, F.size(pieces) - 1).alias("pieces")).select(*kept, "pieces", F.posexplode("pieces").alias("no", "piece"))
     piece, opened = F.col("piece"), BEGIN + MARKS["system"]
     close = F.instr(piece, CLOSE)  # only the header of another role holds one
     starts = [(n, f"{BEGIN}{m}\n") for n, m in MARKS.items()]
@@ -93,12 +94,7 @@ def block_turns(blocks: DataFrame) -> DataFrame:
     for name, mark in starts:
         it_is = piece.startswith(mark) & (close == 0)
         role, head = F.when(it_is, F.lit(name)).otherwise(role), F.when(it_is, F.lit(len(mark))).otherwise(head)
-    rows = rows.withColumn("role", role).withColumn("head", head).withColumn("text", unescaped(F.substr(piece, F.col("head") + 1)))
-    end = F.sum(F.length("piece") + len(END)).over(Window.partitionBy("conv_id", "block").orderBy("no").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("piece") - len(END))
-    return rows.select(
-        "conv_id", "block", "no", "role", "text", "start", (F.col("start") + F.col("head")).alias("text_start"), (F.col("end") - len(END)).alias("text_end"), "end"
-    )
+    return rows.withColumn("role", role).withColumn("head", head).withColumn("text", unescaped(F.substr(piece, F.col("head") + 1)))
 
 
 def _offsets(blocks: DataFrame) -> DataFrame:
@@ -110,46 +106,49 @@ def _offsets(blocks: DataFrame) -> DataFrame:
 
 
 def turn_examples(blocks: DataFrame, cut: bool = False) -> DataFrame:
-    """The turns of blocks with the example that each one ends: ``is_example``, ``trained``, ``context_chars, loss_start,
-    loss_end, chars`` as code points of the conversation's formatted text (null where a turn ends none). ``cut``: the
-    blocks are of conversations of several."""
-    turns = block_turns(blocks)
+    """The turns of blocks with the example that each one ends: ``is_example, trained``, the example's ``prefix`` and ``target``, and as
+    code points of the conversation's formatted text ``before`` (in front of the prefix), ``loss_start, loss_end, chars``; null where a turn ends
+    none, or one without a target. ``cut``: the blocks are of conversations of several."""
     if cut:
-        places = _offsets(blocks)
         on = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block"))
-        turns = turns.join(places.withColumnsRenamed({"conv_id": "_conv", "block": "_block"}), on).drop("_conv", "_block")
+        placed = blocks.join(_offsets(blocks).withColumnsRenamed({"conv_id": "_conv", "block": "_block"}), on).drop("_conv", "_block")
     else:
-        turns = turns.withColumn("before", F.lit(0).cast("long")).withColumn("last", F.lit(True))
-    final = F.col("last") & F.lead("no").over(Window.partitionBy("conv_id", "block").orderBy("no")).isNull()
-    turns = turns.withColumn("trained", F.col("role") == TRAINED).withColumn("is_example", F.col("trained") | final)
-    at = lambda c, when: F.when(F.col(when), F.col("before") + F.col(c))
+        placed = blocks.withColumn("before", F.lit(0).cast("long")).withColumn("last", F.lit(True))
+    final = F.col("last") & (F.col("no") == F.size("pieces") - 1)
+    turns = block_turns(placed).withColumn("trained", F.col("role") == TRAINED).withColumn("is_example", F.col("trained") | final)
+    ended = lambda n, rest: F.array_join(F.concat(F.slice("pieces", F.lit(1), n), F.array(rest)), END)
+    prefix = F.when(F.col("trained"), ended(F.col("no"), F.substr("piece", F.lit(1), F.col("head")))).when(F.col("is_example"), ended(F.col("no") + 1, F.lit("")))
+    target = F.when(F.col("trained"), F.concat(F.substr("piece", F.col("head") + 1), F.lit(END)))
+    turns = turns.withColumn("prefix", prefix).withColumn("target", target)
+    start, size = F.col("before") + F.length("prefix"), F.length("target")
     return turns.select(
-        "conv_id", "block", "no", "role", "text", "is_example", "trained",
-        at("start", "trained").alias("context_chars"), at("text_start", "trained").alias("loss_start"), at("text_end", "trained").alias("loss_end"),
-        at("end", "is_example").alias("chars"),
+        "conv_id", "block", "no", "role", "text", "is_example", "trained", "before", "prefix", "target",
+        F.when(F.col("trained"), start).alias("loss_start"), (start + size - len(END)).alias("loss_end"), (start + F.coalesce(size, F.lit(0))).alias("chars"),
     )
 
 
 def example_texts(blocks: DataFrame) -> DataFrame:
-    """Examples of conversations of one block written out: ``conv_id, no, context, reply, trained``. An example that is not trained
+    """Examples of conversations of one block: ``conv_id, no, context, reply, trained``. An example that is not trained
     has all its text as context. The output is quadratic in a conversation's length."""
-    found = turn_examples(blocks).where("is_example").withColumnRenamed("conv_id", "_conv")
-    both = found.join(blocks.select("conv_id", "formatted"), F.col("_conv").eqNullSafe(F.col("conv_id")))
-    cut = lambda a, b: F.substr("formatted", a + 1, b - a)
-    context = F.when(F.col("trained"), cut(F.lit(0), F.col("loss_start"))).otherwise(F.col("formatted"))
-    return both.select("conv_id", "no", context.alias("context"), F.when(F.col("trained"), cut(F.col("loss_start"), F.col("chars"))).alias("reply"), "trained")
+    return turn_examples(blocks).where("is_example").select("conv_id", "no", F.col("prefix").alias("context"), F.col("target").alias("reply"), "trained")
+
+
+def under_mask(examples: DataFrame) -> DataFrame:
+    """The examples with ``learnt``: what their own text has under the loss mask, unescaped."""
+    at, size = (F.col("loss_start") - F.col("before") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")
+    return examples.withColumn("learnt", unescaped(F.substr(F.concat("prefix", "target"), at, size)))
 
 
 def _told(examples: DataFrame) -> DataFrame:
     """Per block: what its turns and examples say."""
     line = F.concat("role", F.lit("\n"), "text", F.lit("\n"))
-    in_order = F.array_sort(F.collect_list(F.struct("no", line.alias("line"), "trained", "text")))
-    rows = examples.groupBy("conv_id", "block").agg(
+    in_order = F.array_sort(F.collect_list(F.struct("no", line.alias("line"), "trained", "learnt")))
+    rows = under_mask(examples).groupBy("conv_id", "block").agg(
         in_order.alias("turns"), F.sum("chars").alias("chars"), F.sum(F.col("trained").cast("long")).alias("n_examples")
     )
     return rows.select(
         "conv_id", "block", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", lambda x: x["line"]), "").alias("told"),
-        F.array_join(F.transform(F.filter("turns", lambda x: x["trained"]), lambda x: x["text"]), "").alias("loss"), "chars", "n_examples",
+        F.array_join(F.transform(F.filter("turns", lambda x: x["trained"]), lambda x: x["learnt"]), "").alias("loss"), "chars", "n_examples",
     )
 
 

@@ -52,6 +52,22 @@ def plain_chat(rows):
     return out
 
 
+def plain_examples(rows):
+    of, out = {}, Counter()
+    for c, t, role, text in rows:
+        of.setdefault(c, []).append((t is None, t or 0, role or "", hashlib.md5((text or "").encode()).hexdigest(), text or ""))
+    for c, turns in of.items():
+        text = ""
+        for i, (_, _, role, _, said) in enumerate(sorted(turns)):
+            text += "<s>" + {"user": "[INST]", "assistant": "[/INST]", "system": "<<SYS>>"}.get(role, f"<<SYS>>{plain_escape(role)}<</SYS>>") + "\n"
+            if role == "assistant":
+                out[(c, text, plain_escape(said) + "</s>", plain_escape(said), True)] += 1
+            text += plain_escape(said) + "</s>"
+            if role != "assistant" and i == len(turns) - 1:
+                out[(c, text, None, False, True)] += 1
+    return out
+
+
 @pytest.mark.parametrize("block", [chat.BLOCK_TURNS, 7, 1])
 def test_chat(spark, block):
     rows = chatter(random.Random(4), 40)
@@ -87,6 +103,32 @@ def test_chat_examples_written_out(spark):
     }
 
 
+@pytest.mark.parametrize("block", [chat.BLOCK_TURNS, 3])
+def test_chat_is_expanded_into_prefixes_and_targets(spark, block):
+    """Every example has its prefix, its target and a mask over the reply, as a plain formatter writes them; a block's prefix begins behind the blocks before."""
+    rows = [r for r in chatter(random.Random(8), 25) if r[0] is None or r[0] < 25]
+    whole, cut = chat.formatted_blocks(chat.segments(spark.createDataFrame(rows, CHAT).repartition(3)), block)
+    got, earlier = Counter(), {}
+    for blocks, is_cut in ((whole, False), *([(cut, True)] if cut else [])):
+        texts = blocks.collect()
+        for r in texts:
+            earlier[(r.conv_id, r.block)] = "".join(x.formatted for x in sorted(texts, key=lambda x: x.block) if x.conv_id == r.conv_id and x.block < r.block)
+        for r in chat.turn_examples(blocks, is_cut).where("is_example").collect():
+            front = earlier[(r.conv_id, r.block)]
+            assert r.before == len(front)
+            text = front + r.prefix + (r.target or "")
+            got[(r.conv_id, front + r.prefix, r.target, r.trained and text[r.loss_start : r.loss_end], r.chars == len(text))] += 1
+    assert got == plain_examples(rows)
+
+
+def test_chat_digest_is_read_under_the_mask(spark):
+    """Another target under the mask gives another digest: the turns' own texts are not read for it."""
+    whole, _ = chat.formatted_blocks(chat.segments(spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b</s>")], CHAT)))
+    examples = chat.turn_examples(whole)
+    assert [r.loss for r in chat._told(examples).collect()] == ["b</s>"]
+    assert [r.loss for r in chat._told(examples.withColumn("target", F.translate("target", "b", "c"))).collect()] == ["c</s>"]
+
+
 def test_chat_query_has_the_probe(spark, sf_dir, tmp_path):
     r = chat.op11_chat(spark, sf_dir).where("conv_id = -1").first()
     assert (r.n_turns, r.turns_sha256, r.loss_sha256) == (2, sha(f"user\n{chat.PROBE}\nassistant\n{chat.PROBE}\n"), sha(chat.PROBE))
