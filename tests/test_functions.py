@@ -61,6 +61,23 @@ def test_unwrap_keeps_bad_input(spark):
     assert values(spark, urls, text.unwrap_url(F.col("c"), "v.example", "/p", "t")) == [urls[0], urls[1], urls[2], "https://a.b", "no url"]
 
 
+def test_unwrap_of_long_addresses(spark):
+    """Base64 of more than 57 bytes may come with line breaks; the link of every other address stays as it is, with its breaks."""
+    import base64
+
+    long = "https://a.example/" + "x" * 100
+    urls = ["https://v.example/p?t=" + base64.encodebytes(long.encode()).decode().strip("\n="), "https://v.example/p?t=" + base64.b64encode(long.encode()).decode(), "https://o.example/p?t=a\r\nb"]
+    assert values(spark, urls, text.unwrap_url(F.col("c"), "v.example", "/p", "t")) == [long, long, urls[2]]
+
+
+def test_url_unwrap_query(spark, tmp_path):
+    from marlstone.plans.registry import QUERIES
+
+    urls = [(i, "https://a.example/" + "x" * n) for i, n in enumerate(range(30, 70))]
+    spark.createDataFrame(urls, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted(map(tuple, QUERIES["url_unwrap"](spark, str(tmp_path)).collect())) == urls
+
+
 @pytest.mark.parametrize(
     "word,root",
     [("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("sing", "sing"), ("conflated", "conflat"),
