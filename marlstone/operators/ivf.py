@@ -4,7 +4,8 @@ Centroids come from a sample of bounded size; every row of the table is in the l
 are one *part*, a partition of the index table, and rows are sorted by list inside, so that a search opens the parts
 of its lists only, and in them the row groups of these lists. A row has its vector as 8-bit integers with one scale
 beside the vector itself. A search looks at the codes of the nearest lists, up to ``scan`` of all rows, and reads whole vectors only of the
-``rerank`` best a query, which are ranked exactly. So it reads an eighth of a share of the table and a few vectors more.
+``rerank`` best a query, which are ranked exactly. So it reads an eighth of a share of the table and a few vectors more. Queries that are
+too many to send at once go in rounds; a round of many queries wants most vectors anyhow, so it reads these and ranks all rows of a query's lists exactly.
 """
 
 from __future__ import annotations
@@ -17,23 +18,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from marlstone.operators import ranking
+from marlstone.operators.ranking import matrix
 from marlstone.sources.tables import written
 from marlstone.sources.versions import Folder
 
 LISTS, PARTS, SAMPLE, ROUNDS, SEED = 1024, 64, 16384, 8, 7
 #: Share of the rows whose codes a search looks at, and vectors that it reads for each hit wanted.
 SCAN, RERANK = 0.25, 16
-#: Bytes of queries up to which they are sent to the lists' tasks; beyond it they meet part by part.
+#: Bytes of queries up to which they are sent to the lists' tasks at once; beyond it they go in rounds.
 BROADCAST_BYTES = 8 << 20
-#: Queries of a block where they meet part by part.
-QUERY_BLOCK = 1024
-
-
-def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A column of vectors of one length."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -101,6 +95,16 @@ def _scan(best: _Best, q: np.ndarray, lists: np.ndarray, batch, key: str) -> Non
             best.take(score, ids[some], int(p))
 
 
+def nearest(q: np.ndarray, centroids: np.ndarray, sizes: np.ndarray, most: int) -> tuple[list[np.ndarray], list[int]]:
+    """The nearest lists of each query, as many as hold ``most`` rows together (one at least), and the rows in them."""
+    if not len(q):
+        return [], []
+    order = np.argsort(-(q @ centroids.T), axis=1, kind="stable").astype(np.int32)
+    full = np.cumsum(sizes[order], axis=1)
+    n = np.maximum(1, (full <= most).sum(axis=1))
+    return [o[:k] for o, k in zip(order, n)], [int(f[k - 1]) for f, k in zip(full, n)]
+
+
 class ListIndex:
     """An index below a path. ``told`` has ``rows, lists, parts, key`` and what the builder adds."""
 
@@ -161,12 +165,7 @@ class ListIndex:
 
         def run(batches):
             for b in batches:
-                q = matrix(b.column(1)).astype(np.float32)
-                order = np.argsort(-(q @ centroids.T), axis=1, kind="stable") if b.num_rows else np.zeros((0, 0), int)
-                full = np.cumsum(sizes[order], axis=1)
-                n = np.maximum(1, (full <= most).sum(axis=1))
-                lists = [o[:k].tolist() for o, k in zip(order, n)]
-                seen = [int(f[k - 1]) for f, k in zip(full, n)]
+                lists, seen = nearest(matrix(b.column(1)).astype(np.float32), centroids, sizes, most)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, pa.list_(pa.int32())), pa.array(seen, pa.int64())], names=[query_id, "vector", "lists", "scanned"])
 
         kind = queries.schema[query_id].dataType.simpleString()
@@ -174,9 +173,8 @@ class ListIndex:
         return asked.mapInArrow(run, f"`{query_id}` {kind}, vector array<double>, lists array<int>, scanned long")
 
     def candidates(self, probed: DataFrame, keep: int, query_id: str = "query_id") -> DataFrame:
-        """``query_id, key, part, near``: the rows with the best codes in each query's lists, ``keep`` a query."""
+        """``query_id, key, part, near``: the rows with the best codes in each query's lists, ``keep`` a query. The queries are sent at once."""
         _, part_of, sizes = self._lists()
-        size = probed.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
         wanted = [r.l for r in probed.select(F.explode("lists").alias("l")).distinct().collect()]  # as many as there are lists
         parts = sorted({int(part_of[i]) for i in wanted})
         rows = self.table().where(F.col("part").isin(parts) & F.col("list").isin(wanted) if len(wanted) < len(sizes) else F.col("part").isin(parts))
@@ -192,45 +190,61 @@ class ListIndex:
                 out[i, some] = True
             return out
 
-        if size[0] * (16 + 8 * size[1] + n_lists) <= BROADCAST_BYTES:
-            asked = probed.toArrow()
-            shared = self.spark.sparkContext.broadcast((asked.column(0).to_pylist(), matrix(asked.column(1)).astype(np.float32), looked_into(asked.column(2).to_pylist())))
+        asked = probed.toArrow()
+        shared = self.spark.sparkContext.broadcast((asked.column(0).to_pylist(), matrix(asked.column(1)).astype(np.float32), looked_into(asked.column(2).to_pylist())))
 
-            def scan_rows(batches):
-                q_ids, q, lists = shared.value
-                best = _Best(len(q_ids), keep)
-                for b in batches:
-                    if b.num_rows and len(q_ids):
-                        _scan(best, q, lists, b, key)
-                yield best.batch(q_ids, kinds, names)
+        def scan_rows(batches):
+            q_ids, q, lists = shared.value
+            best = _Best(len(q_ids), keep)
+            for b in batches:
+                if b.num_rows and len(q_ids):
+                    _scan(best, q, lists, b, key)
+            yield best.batch(q_ids, kinds, names)
 
-            found = rows.mapInArrow(scan_rows, schema)
-        else:
-            places = self.spark.read.parquet(f"{self.folder.path}/centroids").select(F.col("list").alias("l"), "part")
-            asks = probed.select(query_id, "vector", F.explode("lists").alias("l")).join(F.broadcast(places), "l")  # one row a list
-            asks = asks.groupBy(query_id, "part").agg(F.first("vector").alias("vector"), F.collect_list("l").alias("lists"))
-            blocks = asks.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("_n"))
-            asks = asks.join(F.broadcast(blocks), "part").withColumn("block", F.pmod(F.xxhash64(query_id), F.col("_n")).cast("int"))  # one row a part
-            every = blocks.select("part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("block"))
-            dealt = rows.withColumn("_cut", F.pmod(F.xxhash64(self.key), F.lit(16)).cast("int")).join(F.broadcast(every), "part")
-            asks = asks.withColumn("_cut", F.explode(F.sequence(F.lit(0), F.lit(15))))
-
-            def meet(q: pa.Table, v: pa.Table) -> pa.Table:
-                q_ids = q.column(query_id).to_pylist()
-                best = _Best(len(q_ids), keep)
-                if q_ids and v.num_rows:
-                    _scan(best, matrix(q.column("vector")).astype(np.float32), looked_into(q.column("lists").to_pylist()), v, key)
-                return pa.Table.from_batches([best.batch(q_ids, kinds, names)])
-
-            found = asks.groupBy("part", "block", "_cut").cogroup(dealt.groupBy("part", "block", "_cut")).applyInArrow(meet, schema)
+        found = rows.mapInArrow(scan_rows, schema)
         place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.col("near").desc(), self.key))
         return found.withColumn("_p", place).where(F.col("_p") <= keep).drop("_p")
 
+    def in_rounds(self, queries: DataFrame, k: int, scan: float, query_id: str, a_round: int) -> DataFrame:
+        """``query_id, key, score``: the k best rows of each query's lists by exact scores, ``a_round`` queries at a time. The lists of a query travel as bits."""
+        centroids, _, sizes = self._lists()
+        most, n_lists = max(1, int(scan * self.told["rows"])), len(sizes)
+
+        def mark(batches):
+            for b in batches:
+                bits = np.zeros((b.num_rows, n_lists), bool)
+                for row, lists in zip(bits, nearest(matrix(b.column(1)).astype(np.float32), centroids, sizes, most)[0]):
+                    row[lists] = True
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())], names=[query_id, "vector", "bits"])
+
+        def share(told: pa.Table) -> tuple:
+            return matrix(told.column("vector")), told.column("bits").to_pylist()
+
+        def start(best: ranking.Best, shared: tuple):
+            packed = np.frombuffer(b"".join(shared[1]), np.uint8).reshape(len(shared[1]), -1)
+            of = np.ascontiguousarray(np.unpackbits(packed, axis=1, count=n_lists).T.astype(bool)) if len(packed) else np.zeros((n_lists, 0), bool)  # (lists, queries)
+
+            def feed(b: pa.RecordBatch) -> None:
+                v, ids, at = matrix(b.column("vector")), np.array(b.column(key).to_pylist()), b.column("list").to_numpy(zero_copy_only=False)
+                for i in np.unique(at):
+                    rows = np.flatnonzero(at == i)
+                    best.take(v[rows], ids[rows], np.flatnonzero(of[i]))
+
+            return feed
+
+        kind, key = queries.schema[query_id].dataType.simpleString(), self.key
+        asked = queries.where("vector is not null").select(query_id, F.col("vector").cast("array<double>").alias("vector"))
+        marked = asked.mapInArrow(mark, f"`{query_id}` {kind}, vector array<double>, bits binary")
+        return ranking.in_rounds(written(marked), self.table().select(key, "list", "vector"), k, query_id, key, a_round, share, start)
+
     def search(self, queries: DataFrame, k: int, scan: float = SCAN, rerank: int = RERANK, query_id: str = "query_id") -> DataFrame:
         """``query_id, rank, key, score`` of the k best rows found, by exact scores, ties to the smaller key."""
         if not self.told["lists"]:
             kind = self.table().schema[self.key].dataType.simpleString()
             return queries.limit(0).select(query_id, F.lit(0).alias("rank"), F.lit(None).cast(kind).alias(self.key), F.lit(0.0).alias("score"))
+        size = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+        if size[0] * (16 + 8 * size[1] + self.told["lists"]) > BROADCAST_BYTES:
+            return ranking.top(self.in_rounds(queries, k, scan, query_id, max(1, ranking.ROUND_BYTES // (16 + 8 * size[1] + self.told["lists"] // 8))), k, query_id, self.key)
         probed = written(self.probes(queries, scan, query_id))
         found = written(self.candidates(probed, max(64, rerank * k), query_id))
         near = found.select(query_id, F.col(self.key).alias("_key"), F.col("part").alias("_part")).distinct()

@@ -7,16 +7,16 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import answer_words
-from marlstone.operators import ivf
+from marlstone.operators import ivf, ranking
 from marlstone.sources import versions
-from marlstone.sources.tables import shared_folder
+from marlstone.sources.tables import shared_folder, written
 
 DIMENSIONS = 256
-#: Bytes of queries up to which exact search broadcasts them; beyond it they are joined in blocks.
+#: Bytes of queries up to which exact search broadcasts them; beyond it they are sent in rounds.
 BROADCAST_BYTES = 8 << 20
 
 
@@ -122,8 +122,8 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, scope: str | Non
     """``query_id, rank, id, score`` of each query's k best vectors, ties to the smaller id.
 
     ``scope`` names a column of both sides: only vectors of the query's own value are ranked (a filter before the
-    ranking), in blocks of each value. Without it each partition of the vectors ranks all queries by a matrix product and
-    emits k rows a query. Queries travel by broadcast behind a check of their size, else in joined blocks."""
+    ranking), in blocks of each value. Without it each task ranks all queries against its vectors by matrix products and
+    emits k rows a query. Queries travel by broadcast: at once behind a check of their size, else in rounds, which run right away."""
     if scope:
         scored = _cells_top_k(queries.select(query_id, "vector", F.col(scope).alias("cell")), vectors.select(key, "vector", F.col(scope).alias("cell")), k, query_id, key)
     else:
@@ -131,54 +131,37 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, scope: str | Non
         if size[0] * (16 + 8 * size[1]) <= BROADCAST_BYTES:
             scored = _matrix_top_k(queries, vectors, k, query_id, key)
         else:
-            scored = _blocked_top_k(queries, vectors, k, query_id, key)
-    w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, "rank", key, "score")
+            scored = _blocked_top_k(queries, vectors, k, query_id, key, max(1, ranking.ROUND_BYTES // (16 + 8 * size[1])))
+    return ranking.top(scored, k, query_id, key)
 
 
-def _best_of(q_ids, q: np.ndarray, ids, v: np.ndarray, k: int):
-    """The k best of a block for each query: (query, id, score)."""
-    scores = np.round(v @ q.T, 6)
-    ids = np.asarray(ids)
-    for j, name in enumerate(q_ids):
-        top = np.lexsort((ids, -scores[:, j]))[:k]
-        for i in top:
-            yield name, ids[i].item() if hasattr(ids[i], "item") else ids[i], float(scores[i, j])
-
-
-def _emit(rows, kinds, names):
-    columns = list(zip(*rows)) if rows else [[] for _ in kinds]
-    return pa.table({n: pa.array(list(c), t) for n, c, t in zip(names, columns, kinds)})
-
-
-def _kinds(queries: DataFrame, vectors: DataFrame, query_id: str, key: str):
-    to = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    q, i = queries.schema[query_id].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
-    return [to[q], to[i], pa.float64()], f"{query_id} {q}, {key} {i}, score double"
+def _taking(best: ranking.Best, _: tuple) -> Callable[[pa.RecordBatch], None]:
+    return lambda b: best.take(ranking.matrix(b.column(1)), np.array(b.column(0).to_pylist()))
 
 
 def _matrix_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, key: str) -> DataFrame:
-    asked = queries.select(query_id, "vector").toArrow()
-    q_ids = asked.column(0).to_pylist()
-    shared = queries.sparkSession.sparkContext.broadcast((q_ids, ivf.matrix(asked.column(1))))
-    kinds, schema = _kinds(queries, vectors, query_id, key)
+    asked = queries.select(query_id, "vector").where("vector is not null").toArrow()
+    shared = queries.sparkSession.sparkContext.broadcast((asked.column(0).to_pylist(), ranking.matrix(asked.column(1))))
+    types, schema = ranking.kinds(queries, vectors, query_id, key)
     names = [query_id, key, "score"]
 
     def run(batches):
         q_ids, q = shared.value
+        best = ranking.Best(q, k)
+        feed = _taking(best, shared.value)
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                v = ivf.matrix(part.column(1))
-                if len(q_ids) and len(v):
-                    yield from _emit(list(_best_of(q_ids, q, part.column(0).to_pylist(), v, k)), kinds, names).to_batches()
+            feed(b)
+        yield ranking.batch(best, q_ids, types, names)
 
     return vectors.select(key, "vector").where("vector is not null").mapInArrow(run, schema)
 
 
-def _blocked_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, key: str, block: int = 2048) -> DataFrame:
-    one = F.lit(0).alias("cell")
-    return _cells_top_k(queries.select(query_id, "vector", one), vectors.select(key, "vector", one), k, query_id, key, block)
+def _blocked_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, key: str, block: int) -> DataFrame:
+    """In rounds of ``block`` queries over vectors that are written once, so that each round has all cores' tasks."""
+    asked = queries.select(query_id, "vector").where("vector is not null")
+    rows = vectors.select(key, "vector").where("vector is not null")
+    rows = written(rows.repartition(ranking.TASKS * rows.sparkSession.sparkContext.defaultParallelism))
+    return ranking.in_rounds(asked, rows, k, query_id, key, block, lambda told: (ranking.matrix(told.column("vector")),), _taking)
 
 
 def _cells_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, key: str, block: int = 2048) -> DataFrame:
@@ -195,14 +178,14 @@ def _cells_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str,
     mine = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
     q = queries.where("vector is not null").join(sizes, "cell").select(F.col(query_id).alias(query_id), F.col("vector").alias("_q"), "cell", mine(query_id, "nq").alias("qb"), every("nv").alias("vb"))
     v = vectors.where("vector is not null").join(sizes, "cell").select(key, "vector", "cell", every("nq").alias("qb"), mine(key, "nv").alias("vb"))
-    kinds, schema = _kinds(queries, vectors, query_id, key)
+    types, schema = ranking.kinds(queries, vectors, query_id, key)
     names = [query_id, key, "score"]
 
     def run(q: pa.Table, v: pa.Table) -> pa.Table:
-        if not q.num_rows or not v.num_rows:
-            return _emit([], kinds, names)
-        a, b = ivf.matrix(q.column("_q")), ivf.matrix(v.column("vector"))
-        return _emit(list(_best_of(q.column(query_id).to_pylist(), a, v.column(key).to_pylist(), b, k)), kinds, names)
+        best = ranking.Best(ranking.matrix(q.column("_q")), k)
+        if q.num_rows and v.num_rows:
+            best.take(ranking.matrix(v.column("vector")), np.array(v.column(key).to_pylist()))
+        return pa.Table.from_batches([ranking.batch(best, q.column(query_id).to_pylist(), types, names)])
 
     return q.groupBy("cell", "qb", "vb").cogroup(v.groupBy("cell", "qb", "vb")).applyInArrow(run, schema)
 

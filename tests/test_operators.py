@@ -232,6 +232,55 @@ def test_vector_search(spark, tmp_path):
     assert store.count() == 200 and store.query(q, 2, where=F.col("doc_name") == "none").count() == 0
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-4, 1e18])
+def test_best_rows_by_blocks(monkeypatch, scale):
+    """Against all pairs: ties, copies, halves that are rounded, lists of few rows, and sizes that single precision can't hold."""
+    import numpy as np
+
+    from marlstone.operators import ranking
+
+    monkeypatch.setattr(ranking, "CELLS", 900)
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.normal(size=(300, 8)), np.round(rng.normal(size=(300, 8)) * 8) / 16]) * scale
+    v[400:420] = v[3]
+    q, ids = v[::7], rng.permutation(len(v))
+    exact = ranking.rounded(np.cumsum(q[:, None] * v[None], axis=2)[:, :, -1])
+    best, some = ranking.Best(q, 5), np.arange(0, len(q), 2)
+    for i in range(0, 500, 50):
+        best.take(v[i : i + 50], ids[i : i + 50])
+    best.take(v[500:], ids[500:], some)
+    got: dict = {}
+    for at, score, k in zip(*(x.tolist() for x in best.rows())):
+        got.setdefault(at, []).append((-score, k))
+    for j in range(len(q)):
+        n = len(v) if j % 2 == 0 else 500
+        assert sorted(got[j]) == sorted((-exact[j, i].item(), ids[i].item()) for i in range(n))[:5]
+    assert ranking.rounded(np.array([0.0078125, -0.0078125, 2.5e-7])).tolist() == [0.007813, -0.007813, 0.0]
+
+
+@pytest.mark.parametrize("backend", ["exact", "ivf"])
+def test_many_queries_are_not_copied_for_each_block(spark, monkeypatch, backend):
+    """Queries beyond one broadcast: the rows shuffled are a few for each query and task."""
+    import numpy as np
+
+    from marlstone.operators import ivf
+
+    def shuffled() -> int:
+        sc = spark.sparkContext
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    n = 9000
+    monkeypatch.setattr(ivf, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 0)
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(n)], "id long, vector array<double>")
+    before = shuffled()
+    made = vectors.BACKENDS[backend](v.withColumnRenamed("id", "query_id"), v, 2, **({"scan": 0.5, "lists": 32} if backend == "ivf" else {}))
+    assert len(made.collect()) == 2 * n and shuffled() - before < 25 * n
+    assert "CoGroups" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_search_and_answers(spark):
     chunks = spark.createDataFrame([(f"c{i}", "d", i, i, t) for i, t in enumerate(["red apples are sweet.", "green pears. they grow slowly.", "blue plums"])], "chunk_id string, doc_name string, chunk_index int, page_start int, text string")
     asked = spark.createDataFrame([(1, "d", "how do they grow", "they grow slowly.")], "query_id int, doc_name string, question string, ground_truth string")
