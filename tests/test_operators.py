@@ -258,6 +258,13 @@ def test_best_rows_by_blocks(monkeypatch, scale):
     assert ranking.rounded(np.array([0.0078125, -0.0078125, 2.5e-7])).tolist() == [0.007813, -0.007813, 0.0]
 
 
+def shuffled(spark) -> int:
+    """Rows shuffled by the session so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
 @pytest.mark.parametrize("backend", ["exact", "ivf"])
 def test_many_queries_are_not_copied_for_each_block(spark, monkeypatch, backend):
     """Queries beyond one broadcast: the rows shuffled are a few for each query and task."""
@@ -265,22 +272,33 @@ def test_many_queries_are_not_copied_for_each_block(spark, monkeypatch, backend)
 
     from marlstone.operators import ivf
 
-    def shuffled() -> int:
-        sc = spark.sparkContext
-        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
-        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
-
     n = 9000
     monkeypatch.setattr(ivf, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(vectors, "BROADCAST_BYTES", 0)
     rng = np.random.default_rng(3)
     v = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(n)], "id long, vector array<double>")
-    before = shuffled()
+    before = shuffled(spark)
     made = vectors.BACKENDS[backend](v.withColumnRenamed("id", "query_id"), v, 2, **({"scan": 0.5, "lists": 32} if backend == "ivf" else {}))
-    assert len(made.collect()) == 2 * n and shuffled() - before < 25 * n
+    assert len(made.collect()) == 2 * n and shuffled(spark) - before < 25 * n
     assert "CoGroups" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["backend_recall"])
+def test_queries_in_rounds(spark, sf_dir, monkeypatch, name):
+    """With queries that no broadcast takes: the rows of the SQL, and few rows shuffled."""
+    from marlstone.operators import ivf, ranking
+    from marlstone.plans.registry import ORACLE, QUERIES
+    from tests.oracle import connect, spark_rows, sql_rows
+
+    monkeypatch.setattr(ivf, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(ranking, "ROUND_BYTES", 150_000)
+    before = shuffled(spark)
+    made = QUERIES[name](spark, sf_dir)
+    assert spark_rows(made) == sql_rows(connect(sf_dir), ORACLE[name])
+    assert shuffled(spark) - before < 100 * 500 and "CoGroups" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_search_and_answers(spark):
     chunks = spark.createDataFrame([(f"c{i}", "d", i, i, t) for i, t in enumerate(["red apples are sweet.", "green pears. they grow slowly.", "blue plums"])], "chunk_id string, doc_name string, chunk_index int, page_start int, text string")
     asked = spark.createDataFrame([(1, "d", "how do they grow", "they grow slowly.")], "query_id int, doc_name string, question string, ground_truth string")
