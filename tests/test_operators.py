@@ -283,7 +283,7 @@ def test_many_queries_are_not_copied_for_each_block(spark, monkeypatch, backend)
     assert "CoGroups" not in made._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["backend_recall", "vector_store", "knn_topk", "ablate_k"])
+@pytest.mark.parametrize("name", ["backend_recall", "vector_store", "knn_topk", "ablate_k", "resolve_hits"])
 def test_queries_in_rounds(spark, sf_dir, monkeypatch, name):
     """With queries that no broadcast takes: the rows of the SQL, and few rows shuffled."""
     from marlstone.operators import ivf, ranking
