@@ -94,3 +94,11 @@ def test_shown(spark):
     r = jobs.shown(hits).first()
     assert r.score == 0.1235 and len(r.text) == 203 and r.text.startswith("a b") and r.text.endswith("...")
     assert hits.select(F.count("rank")).first()[0] == 1
+
+
+def test_report_and_neighbours_come_from_the_fold(spark):
+    """Neither counts nor neighbours' ids need the texts of chunks once more in the order of their documents."""
+    spans, cells, toc, catalog = layout(spark)
+    corpus = jobs.build_corpus(spans, cells, toc, catalog, ExtractionConfig(min_chunk_tokens=4))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan(corpus.report.drop("n_glossary_entries")) and "lag(" not in plan(corpus.chunks)
