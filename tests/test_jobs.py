@@ -102,3 +102,13 @@ def test_report_and_neighbours_come_from_the_fold(spark):
     corpus = jobs.build_corpus(spans, cells, toc, catalog, ExtractionConfig(min_chunk_tokens=4))
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan(corpus.report.drop("n_glossary_entries")) and "lag(" not in plan(corpus.chunks)
+
+
+def test_linked_chunks():
+    from marlstone.operators.chunking import linked_chunks
+
+    made = [{"chunk_index": i, "page_start": i // 2, "chunk_type": t} for i, t in enumerate(["narrative", "table", "narrative", "table"])]
+    got = linked_chunks("d", made)
+    assert [c["k"] for c in got] == [None, 1, None, 2]
+    assert [c["prev_chunk_id"] for c in got] == [None, "d__p0000__c0000", "d__p0000__c0001", "d__p0001__c0002"]
+    assert [c["next_chunk_id"] for c in got] == ["d__p0000__c0001", "d__p0001__c0002", "d__p0001__c0003", None] and linked_chunks("d", []) == []
